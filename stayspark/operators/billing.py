@@ -40,25 +40,30 @@ def booking_amounts(bookings: DataFrame, rooms: DataFrame) -> DataFrame:
     )
 
 
+def _billed(invoices: DataFrame, bookings: DataFrame, rooms: DataFrame) -> DataFrame:
+    """Invoices beside the amount their booking comes to; 0 for an unknown booking."""
+    amounts = booking_amounts(bookings, rooms).select(
+        F.col("BookingID").alias("BookingBookingID"), F.col("amount").alias("_derived")
+    )
+    return invoices.join(amounts, "BookingBookingID", "left").withColumn(
+        "_derived", F.coalesce("_derived", F.lit(0).cast("bigint"))
+    )
+
+
 def with_amounts(invoices: DataFrame, bookings: DataFrame, rooms: DataFrame) -> DataFrame:
     """Invoices with ``Amount`` recomputed; running it again changes nothing."""
-    amounts = booking_amounts(bookings, rooms).withColumnRenamed("BookingID", "BookingBookingID")
-    amount = F.coalesce(F.col("amount_now"), F.lit(0).cast("bigint"))
-    joined = invoices.join(
-        amounts.withColumnRenamed("amount", "amount_now"), "BookingBookingID", "left"
-    )
-    return joined.withColumn("Amount", amount).select(*invoices.columns)
+    billed = _billed(invoices, bookings, rooms)
+    return billed.withColumn("Amount", F.col("_derived")).select(*invoices.columns)
 
 
 def amount_mismatches(invoices: DataFrame, bookings: DataFrame, rooms: DataFrame) -> DataFrame:
-    """Invoices whose stored amount is not the independently derived one, NULLs included."""
-    derived = with_amounts(invoices, bookings, rooms).select(
-        "InvoiceID", F.col("Amount").alias("derived_amount")
-    )
-    return (
-        invoices.select("InvoiceID", "BookingBookingID", F.col("Amount").alias("stored_amount"))
-        .join(derived, "InvoiceID")
-        .where(~F.col("stored_amount").eqNullSafe(F.col("derived_amount")))
+    """Invoices whose stored amount is not the derived one, NULLs included."""
+    billed = _billed(invoices.select("InvoiceID", "BookingBookingID", "Amount"), bookings, rooms)
+    return billed.where(~F.col("Amount").eqNullSafe(F.col("_derived"))).select(
+        "InvoiceID",
+        "BookingBookingID",
+        F.col("Amount").alias("stored_amount"),
+        F.col("_derived").alias("derived_amount"),
     )
 
 

@@ -19,13 +19,10 @@ PIECES = 2000
 FLOOR = 500_000
 
 
-def heavy_keys(
-    rows: DataFrame, on: Sequence[str], pieces: int = PIECES, floor: int = FLOOR
-) -> DataFrame:
-    """Keys with more than ``max(floor, rows / pieces)`` rows, and how many pieces each needs."""
-    limit = rows.agg(
-        F.greatest(F.lit(float(floor)), F.count(F.lit(1)) / F.lit(float(pieces))).alias("_limit")
-    ).scalar()
+def heavy_keys(rows: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Keys with more than ``max(FLOOR, rows / PIECES)`` rows, and how many pieces each needs."""
+    share = F.count(F.lit(1)) / F.lit(float(PIECES))
+    limit = rows.agg(F.greatest(F.lit(float(FLOOR)), share).alias("_limit")).scalar()
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     return counts.where(F.col("_rows") > limit).select(
         *on, F.ceil(F.col("_rows") / limit).alias("_pieces")
@@ -39,8 +36,6 @@ def split_join(
     how: str,
     spread: Sequence[str],
     weigh: DataFrame | None = None,
-    pieces: int = PIECES,
-    floor: int = FLOOR,
 ) -> DataFrame:
     """Equi-join of ``left`` with ``right``, where ``right`` has at most one row per key.
 
@@ -50,12 +45,12 @@ def split_join(
     Supports inner, left, left_semi and left_anti.
     """
     on = list(on)
-    heavy = heavy_keys(left if weigh is None else weigh, on, pieces, floor)
+    heavy = heavy_keys(left if weigh is None else weigh, on)
     row_hash = F.xxhash64(*spread)
     no_key = F.greatest(*[F.col(c).isNull() for c in on], F.lit(False))
     # A NULL key matches nothing, so those rows may go anywhere.
     piece = (
-        F.when(no_key, F.pmod(row_hash, F.lit(pieces)))
+        F.when(no_key, F.pmod(row_hash, F.lit(PIECES)))
         .when(F.col("_pieces").isNotNull(), F.pmod(row_hash, F.col("_pieces")))
         .otherwise(F.lit(0))
         .cast("bigint")

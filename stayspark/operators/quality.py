@@ -69,34 +69,37 @@ def unique_violations(table: DataFrame, spec: TableSpec) -> DataFrame | None:
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
-def _failing(marks: Sequence[Column]) -> Column:
-    return F.explode(F.array_compact(F.array(*marks)))
-
-
-def null_violations(table: DataFrame, spec: TableSpec) -> DataFrame | None:
-    """One row per NULL in a required column, found in one pass without a shuffle."""
-    if not spec.not_null:
-        return None
-    marks = [F.when(F.col(c).isNull(), F.lit(c)) for c in spec.not_null]
-    found = table.select(*spec.primary_key, _failing(marks).alias("rule")).withColumn(
-        "row_count", F.lit(1)
-    )
-    return _report(found, spec.name, "not_null", F.col("rule"), key_text(spec.primary_key))
-
-
 def fails(check: Check) -> Column:
     """True only where the predicate is false: a NULL result passes, as in SQL."""
     return ~F.coalesce(F.expr(check.predicate), F.lit(True))
 
 
-def check_violations(table: DataFrame, spec: TableSpec) -> DataFrame | None:
-    if not spec.checks:
+def row_violations(
+    table: DataFrame, spec: TableSpec, kinds: Sequence[str] = ("not_null", "check")
+) -> DataFrame | None:
+    """One row per broken NOT NULL or CHECK rule of a row: a single pass without a shuffle."""
+    marks = []
+    if "not_null" in kinds:
+        marks += [(F.col(c).isNull(), "not_null", c) for c in spec.not_null]
+    if "check" in kinds:
+        marks += [(fails(c), "check", c.name) for c in spec.checks]
+    if not marks:
         return None
-    marks = [F.when(fails(c), F.lit(c.name)) for c in spec.checks]
-    found = table.select(*spec.primary_key, _failing(marks).alias("rule")).withColumn(
-        "row_count", F.lit(1)
+    broken = F.array_compact(
+        F.array(
+            *[
+                F.when(bad, F.struct(F.lit(kind).alias("kind"), F.lit(rule).alias("rule")))
+                for bad, kind, rule in marks
+            ]
+        )
+    )
+    return table.select(*spec.primary_key, F.inline(broken)).select(
+        F.lit(spec.name).alias("table_name"),
+        "kind",
+        "rule",
+        key_text(spec.primary_key).alias("key"),
+        F.lit(1).cast("bigint").alias("row_count"),
     )
-    return _report(found, spec.name, "check", F.col("rule"), key_text(spec.primary_key))
 
 
 def orphan_keys(child: DataFrame, fk: ForeignKey, parent: DataFrame) -> DataFrame:
@@ -146,8 +149,7 @@ def violations(
         table = tables[name]
         parts += [
             primary_key_violations(table, spec),
-            null_violations(table, spec),
-            check_violations(table, spec),
+            row_violations(table, spec),
             unique_violations(table, spec),
             foreign_key_violations(tables, spec),
         ]
@@ -171,7 +173,3 @@ def schema_drift(
         rows, "table_name string, position int, declared string, found string"
     )
 
-
-def table_names(tables: Mapping[str, DataFrame], spark: SparkSession) -> DataFrame:
-    """The table names in order."""
-    return spark.createDataFrame([(n,) for n in sorted(tables)], "table_name string")

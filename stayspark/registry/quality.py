@@ -165,13 +165,13 @@ def unique_violations(spark: SparkSession, folder: str) -> DataFrame:
 @query(_LABELLED + _sql("not_null"))
 def null_violations(spark: SparkSession, folder: str) -> DataFrame:
     tables = _tables(spark, folder)
-    return _union(quality.null_violations(tables[n], s) for n, s in SPECS.items())
+    return _union(quality.row_violations(tables[n], s, ["not_null"]) for n, s in SPECS.items())
 
 
 @query(_LABELLED + _sql("check"))
 def check_violations(spark: SparkSession, folder: str) -> DataFrame:
     tables = _tables(spark, folder)
-    return _union(quality.check_violations(tables[n], s) for n, s in SPECS.items())
+    return _union(quality.row_violations(tables[n], s, ["check"]) for n, s in SPECS.items())
 
 
 @query(_LABELLED + _sql("foreign_key"))
