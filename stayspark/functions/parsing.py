@@ -13,7 +13,7 @@ WHITESPACE = (
 )
 
 # Year-month-day with optional leading zeros.
-DATE_SHAPE = r"^\d{4}-(0?[1-9]|1[0-2])-(0?[1-9]|[12]\d|3[01])$"
+DATE_SHAPE = r"^(?!0000)\d{4}-(0?[1-9]|1[0-2])-(0?[1-9]|[12]\d|3[01])$"
 # A signed whole number; single underscores may group digits.
 INTEGER_SHAPE = r"^[+-]?\d+(_\d+)*$"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -27,25 +28,25 @@ def typed_ingest(raw: DataFrame, kinds: Mapping[str, str], table: str, key: str)
         *[F.col(c).alias(f"_raw_{c}") for c in kinds],
         *[parse(F.col(c), kind).alias(f"_typed_{c}") for c, kind in kinds.items()],
     )
-    problems = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(f"_raw_{c}").isNotNull() & F.col(f"_typed_{c}").isNull(),
-                    F.struct(
-                        F.lit(c).alias("column_name"),
-                        F.col(f"_raw_{c}").alias("raw"),
-                        F.lit(f"expected {kind}").alias("reason"),
-                    ),
-                )
-                for c, kind in kinds.items()
-            ]
+    bad = {c: F.col(f"_raw_{c}").isNotNull() & F.col(f"_typed_{c}").isNull() for c in kinds}
+    any_bad = reduce(lambda a, b: a | b, bad.values())
+    problems = [
+        F.when(
+            bad[c],
+            F.struct(
+                F.lit(c).alias("column_name"),
+                F.col(f"_raw_{c}").alias("raw"),
+                F.lit(f"expected {kind}").alias("reason"),
+            ),
         )
-    )
-    clean = parsed.where(F.size(problems) == 0).select(
-        key, *[F.col(f"_typed_{c}").alias(c) for c in kinds]
-    )
-    rejects = parsed.select(
-        F.lit(table).alias("table_name"), key, F.inline(problems)
+        for c, kind in kinds.items()
+    ]
+    clean = parsed.where(~any_bad).select(key, *[F.col(f"_typed_{c}").alias(c) for c in kinds])
+    # Only rows with a problem are unfolded; no lambda, so everything stays in generated code.
+    rejects = (
+        parsed.where(any_bad)
+        .select(key, F.explode(F.array(*problems)).alias("p"))
+        .where(F.col("p").isNotNull())
+        .select(F.lit(table).alias("table_name"), key, "p.*")
     )
     return Ingested(clean, rejects)

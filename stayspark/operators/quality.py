@@ -85,21 +85,24 @@ def row_violations(
         marks += [(fails(c), "check", c.name) for c in spec.checks]
     if not marks:
         return None
-    broken = F.array_compact(
-        F.array(
-            *[
-                F.when(bad, F.struct(F.lit(kind).alias("kind"), F.lit(rule).alias("rule")))
-                for bad, kind, rule in marks
-            ]
+    any_bad = reduce(lambda a, b: a | b, [bad for bad, _, _ in marks])
+    broken = [
+        F.when(bad, F.struct(F.lit(kind).alias("kind"), F.lit(rule).alias("rule")))
+        for bad, kind, rule in marks
+    ]
+    # Only violating rows are unfolded.
+    return (
+        table.where(any_bad)
+        .select(key_text(spec.primary_key).alias("key"), F.explode(F.array(*broken)).alias("b"))
+        .where(F.col("b").isNotNull())
+        .select(
+            F.lit(spec.name).alias("table_name"),
+            "b.kind",
+            "b.rule",
+            "key",
+            F.lit(1).cast("bigint").alias("row_count"),
         )
     )
-    return table.select(*spec.primary_key, F.inline(broken)).select(
-        F.lit(spec.name).alias("table_name"),
-        "kind",
-        "rule",
-        key_text(spec.primary_key).alias("key"),
-        F.lit(1).cast("bigint").alias("row_count"),
-    )
 
 
 def orphan_keys(child: DataFrame, fk: ForeignKey, parent: DataFrame) -> DataFrame:
