@@ -39,7 +39,7 @@ HEADLINE = [
     "typed_ingest_clean",
     "typed_ingest_rejects",
     "lookup_keys",
-    "batch_keys",
+    "batch_ids",
     "table_profile",
     "table_fingerprint_fast",
     "doc_project",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,3 +53,9 @@ def parse(raw: Column, kind: str) -> Column:
     if kind == "str":
         return strip(raw)
     raise ValueError(f"unknown kind {kind!r}, expected one of {KINDS}")
+
+
+def parse_name(raw: Column, names: Iterable[str]) -> Column:
+    """A table name typed in any casing, NULL when there is no such table."""
+    name = F.initcap(strip(raw))
+    return F.when(name.isin(*names), name)

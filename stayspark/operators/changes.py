@@ -132,7 +132,8 @@ def insert_rows(
     """Append the rows of a batch that break no rule.
 
     ``batch`` has the table's columns, in order, plus ``order``: a unique column that says which
-    row comes first.  ``rejected`` is the batch row with its first ``reason``.
+    row comes first.  ``rejected`` is the batch row with its first ``reason``.  The batch is read
+    once per rule, so store it first if it is costly to compute.
     """
     if batch.columns != [*table.columns, order]:
         raise ValueError(f"{spec.name} expects {[*table.columns, order]}, got {batch.columns}")
@@ -143,6 +144,9 @@ def insert_rows(
         staged = _mark_orphans(staged, batch, fk, (parents or {})[fk.parent], order)
     for key in spec.unique_rules:
         staged = _mark_taken(staged, batch, table, key, order)
+    if len(spec.unique_rules) > 1:
+        # Admission runs in rounds; the marked batch is computed once for them and the result.
+        staged = durable(staged)
     first = _admit(staged.where(F.col("reason").isNull()), spec.unique_rules, order)
     outcome = staged.join(first.withColumn("_in", F.lit(True)), order, "left").withColumn(
         "reason",

@@ -6,8 +6,9 @@ from collections.abc import Mapping
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stayspark.functions.parsing import parse
 
@@ -17,16 +18,28 @@ class Ingested(NamedTuple):
     rejects: DataFrame
 
 
-def typed_ingest(raw: DataFrame, kinds: Mapping[str, str], table: str, key: str) -> Ingested:
+def typed_ingest(
+    raw: DataFrame,
+    kinds: Mapping[str, str],
+    table: str,
+    key: str,
+    schema: StructType | None = None,
+) -> Ingested:
     """Rows whose every column parses go to ``clean``; each bad value is one row of ``rejects``.
 
     ``kinds`` maps every text column to int, str, bool or date.  ``key`` is a column that
     identifies the raw row; it is carried along untouched.  A NULL is no value, not a bad one.
+    With a ``schema`` the values take its types, and one that does not fit is bad.
     """
+
+    def typed(c: str, kind: str) -> Column:
+        value = parse(F.col(c), kind)
+        return value if schema is None else value.try_cast(schema[c].dataType)
+
     parsed = raw.select(
         F.col(key),
         *[F.col(c).alias(f"_raw_{c}") for c in kinds],
-        *[parse(F.col(c), kind).alias(f"_typed_{c}") for c, kind in kinds.items()],
+        *[typed(c, kind).alias(f"_typed_{c}") for c, kind in kinds.items()],
     )
     bad = {c: F.col(f"_raw_{c}").isNotNull() & F.col(f"_typed_{c}").isNull() for c in kinds}
     any_bad = reduce(lambda a, b: a | b, bad.values())

@@ -43,7 +43,7 @@ def _one_night(spark: SparkSession, folder: str) -> DataFrame:
     + """SELECT o_orderkey AS BookingID, CAST(o_orderdate AS DATE) AS Arrival_date,
   checkout AS Checkout_date, CAST(nights AS INTEGER) AS Duration FROM stays"""
 )
-def stay_durations(spark: SparkSession, folder: str) -> DataFrame:
+def order_durations(spark: SparkSession, folder: str) -> DataFrame:
     return _nights(spark, folder).select("BookingID", "Arrival_date", "Checkout_date", "Duration")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayspark.functions.numbers import money
+from stayspark.functions.parsing import parse_name
 from stayspark.operators import ids, lookup
 from stayspark.registry.base import invoices, query, read, sql_money
 
@@ -58,6 +59,26 @@ def known_keys(spark: SparkSession, folder: str) -> DataFrame:
     return lookup.known_keys(read(spark, folder, "labels"), "doc_id", typed, "typed")
 
 
+@query(
+    """SELECT CAST(doc_id AS VARCHAR) AS key FROM documents
+WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
+)
+def missing_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return known_keys(spark, folder).where(~F.col("found")).select("key")
+
+
+@query(
+    """SELECT CASE WHEN event_type <> 'view' THEN upper(event_type[1]) || event_type[2:] END
+  AS name, count(*) AS asked FROM events GROUP BY 1"""
+)
+def typed_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Names typed in any casing, against a list that lacks one of them."""
+    typed = F.concat(F.lit(" "), F.upper("event_type"), F.lit(" "))
+    name = parse_name(typed, ("Click", "Error", "Purchase", "Signup"))
+    events = read(spark, folder, "events")
+    return events.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("asked"))
+
+
 @query(
     f"""SELECT 2 * event_id AS "BookingBookingID", o_orderkey AS "InvoiceID",
   {sql_money("CAST(o_totalprice AS DECIMAL(18,2))")} AS "Amount", o_orderkey IS NOT NULL AS found
@@ -153,7 +174,7 @@ _NEXT_KEYS = {"orders": "o_orderkey", "customer": "c_custkey", "events": "event_
         for t, k in _NEXT_KEYS.items()
     )
 )
-def next_keys(spark: SparkSession, folder: str) -> DataFrame:
+def next_ids(spark: SparkSession, folder: str) -> DataFrame:
     parts = [
         ids.next_key(read(spark, folder, t), k).select(F.lit(t).alias("table_name"), "next_key")
         for t, k in _NEXT_KEYS.items()
@@ -165,6 +186,6 @@ def next_keys(spark: SparkSession, folder: str) -> DataFrame:
     """SELECT event_id, (SELECT coalesce(max(c_custkey), 0) FROM customer)
   + row_number() OVER (ORDER BY event_id) AS c_custkey FROM events"""
 )
-def batch_keys(spark: SparkSession, folder: str) -> DataFrame:
+def batch_ids(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "events").select("event_id")
     return ids.with_new_keys(rows, read(spark, folder, "customer"), "c_custkey", "event_id")

@@ -214,7 +214,7 @@ UNION ALL
 SELECT 'suppliers per nation', count(*), min(n), max(n)
 FROM (SELECT count(*) AS n FROM supplier GROUP BY s_nationkey)"""
 )
-def rows_per_hotel_minmax(spark: SparkSession, folder: str) -> DataFrame:
+def bookings_per_hotel_minmax(spark: SparkSession, folder: str) -> DataFrame:
     orders = revenue.per_hotel_spread(read(spark, folder, "orders"), "o_custkey")
     suppliers = revenue.per_hotel_spread(read(spark, folder, "supplier"), "s_nationkey")
     return orders.select(F.lit("orders per customer").alias("what"), "*").unionByName(

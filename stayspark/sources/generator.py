@@ -55,8 +55,13 @@ FIRST_ARRIVAL = date(2023, 1, 1)
 DEFAULT_SIZE = 240
 
 
+# Rows per task and output file.
+SLICE = 5_000_000
+
+
 def row_numbers(spark: SparkSession, size: int = DEFAULT_SIZE) -> DataFrame:
-    return spark.range(1, size + 1).withColumnRenamed("id", "n")
+    slices = max(spark.sparkContext.defaultParallelism, -(-size // SLICE))
+    return spark.range(1, size + 1, numPartitions=slices).withColumnRenamed("id", "n")
 
 
 def with_hashes(rows: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Change sets: the reference cases, and random batches against a one-by-one loop."""
+"""Change sets: hand-made cases, and random batches against a one-by-one loop."""
 
 import random
 from collections import Counter
@@ -7,9 +7,11 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from stayspark.model import BOOKING, CUSTOMER, FEEDBACK, HOTEL, INVOICE, Check, TableSpec
+from stayspark.model import BOOKING, CUSTOMER, FEEDBACK, HOTEL, INVOICE, ROOM, Check, TableSpec
 from stayspark.operators import changes, joins
 from stayspark.operators.billing import with_nights
+from stayspark.plans.create import create_rows
+from stayspark.session import durable
 
 
 @pytest.fixture
@@ -65,9 +67,11 @@ def test_booking_inserts(spark, tables):
 
 def test_invoice_and_review_cardinality(spark, tables):
     more = dict(tables)
-    more["Booking"] = insert(
-        spark, tables, BOOKING, [booking(1009020, date(2024, 5, 1), date(2024, 5, 3))]
-    ).table
+    more["Booking"] = durable(
+        insert(
+            spark, tables, BOOKING, [booking(1009020, date(2024, 5, 1), date(2024, 5, 3))]
+        ).table
+    )
     invoices = insert(
         spark,
         more,
@@ -88,9 +92,9 @@ def test_invoice_and_review_cardinality(spark, tables):
         more,
         FEEDBACK,
         [
-            (9191, 1000001, "Second review for the same stay.", 5, 4001),
-            (9192, None, "Anonymous review.", 3, 4001),
-            (9193, None, "Another anonymous review.", 3, 4001),
+            (9191, 1000001, "One more.", 5, 4001),
+            (9192, None, "No name.", 3, 4001),
+            (9193, None, "No name either.", 3, 4001),
             (9194, None, "Too good.", 6, 4001),
         ],
     )
@@ -112,7 +116,7 @@ def test_review_insert_then_delete(spark, tables):
         .orderBy("BookingID")
         .first()
     )
-    row = (111, free.BookingID, "Great stay, would book again.", 5, free.HotelHotelID)
+    row = (111, free.BookingID, "Fine.", 5, free.HotelHotelID)
     after = insert(spark, tables, FEEDBACK, [row]).table
     assert after.count() == 153
     key = spark.createDataFrame([(111,)], "FeedbackID bigint")
@@ -202,12 +206,36 @@ def test_null_and_delete(spark, tables):
     assert gone.table.count() == 10
     assert [r.reason for r in gone.rejected.collect()] == ["referenced"]
     rooms = spark.createDataFrame([("Studio",)], "Room_type string")
-    from stayspark.model import ROOM
-
     fewer = changes.delete_rows(tables["Room"], rooms, ROOM, "Room_type")
     assert fewer.table.count() == tables["Room"].where("Room_type <> 'Studio'").count()
 
 
+def test_create_rows_from_text(spark, tables):
+    raw = spark.createDataFrame(
+        [
+            (10, " 1000010 ", " nice ", "4", "4010"),  # already reviewed
+            (20, None, "ok", "3", "4001"),
+            (30, None, "bad number", "four", "4001"),
+            (40, None, "out of range", "9", "4001"),
+            (50, None, "too big", "99999999999", "4001"),
+            (60, None, "fine", "5", "4002"),
+        ],
+        "seq bigint, BookingBookingID string, Feedback_text string, Rating string,"
+        "HotelHotelID string",
+    )
+    made = create_rows(tables, "Feedback", raw, "seq")
+    assert made.table.schema.simpleString() == tables["Feedback"].schema.simpleString()
+    new = {r.FeedbackID: (r.Feedback_text, r.Rating) for r in made.created.collect()}
+    # One past the greatest key, without gaps for the refused rows.
+    assert new == {1241: ("ok", 3), 1242: ("fine", 5)}
+    assert made.table.count() == 154
+    assert {(r.seq, r.column_name) for r in made.unparsed.collect()} == {(30, "Rating"), (50, "Rating")}
+    assert {r.seq: r.reason for r in made.refused.collect()} == {
+        10: "duplicate BookingBookingID",
+        40: "check Rating_1_to_5",
+    }
+
+
 # --- against a loop ---------------------------------------------------------------------------
 
 TWO_KEYS = TableSpec("claim", ("a",), unique=(("b",), ("c", "d")))
