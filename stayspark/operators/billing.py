@@ -21,10 +21,10 @@ def room_totals(rooms: DataFrame) -> DataFrame:
         rooms.where(F.col("BookingBookingID").isNotNull())
         .groupBy(F.col("BookingBookingID").alias("BookingID"))
         .agg(
-            F.count("Room_number").alias("rooms"),
-            F.sum("Price").alias("nightly_total"),
-            F.min("Price").alias("cheapest_price"),
-            F.min_by("Price", "Room_number").alias("first_price"),
+            F.expr("count(Room_number) AS rooms"),
+            F.expr("sum(Price) AS nightly_total"),
+            F.expr("min(Price) AS cheapest_price"),
+            F.expr("min_by(Price, Room_number) AS first_price"),
         )
     )
 

@@ -14,9 +14,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayspark.model import ForeignKey, TableSpec
+from stayspark.model import Check, ForeignKey, TableSpec
+from stayspark.operators import quality
 from stayspark.operators.joins import split_join
-from stayspark.operators.quality import fails
 from stayspark.session import durable
 
 
@@ -26,6 +26,10 @@ class Applied(NamedTuple):
     rejected: DataFrame
 
 
+def fails(check: Check) -> Column:
+    return F.expr(quality.fails(check))
+
+
 def _first_reason(*reasons: Column) -> Column:
     return F.coalesce(*reasons, F.lit(None).cast("string"))
 

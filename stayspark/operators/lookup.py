@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayspark.functions.parsing import strip
 from stayspark.operators.joins import split_join
+from stayspark.operators.unions import union_all
 
 
 def rows_where(table: DataFrame, column: str, value) -> DataFrame:
@@ -101,7 +101,7 @@ def profile(tables: Mapping[str, DataFrame]) -> DataFrame:
     spark = next(iter(tables.values())).sparkSession
     columns = spark.createDataFrame(names, "c int, table_name string, column_name string")
     # A column of an empty table has no cell at all.
-    return columns.join(reduce(DataFrame.unionByName, figures), "c", "left").select(
+    return columns.join(union_all(figures), "c", "left").select(
         "table_name",
         "column_name",
         *[F.coalesce(f, F.lit(0)).alias(f) for f in ("row_count", "null_count", "distinct_count")],

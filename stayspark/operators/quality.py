@@ -8,70 +8,64 @@ report row and no hot task; row rules are a single narrow pass.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayspark.model import Check, ForeignKey, TableSpec
 from stayspark.operators.joins import split_join
+from stayspark.operators.unions import union_all
 
-REPORT = ["table_name", "kind", "rule", "key", "row_count"]
 
+def key_text(columns: Sequence[str]) -> str:
+    parts = ", ".join(f"coalesce(CAST({c} AS STRING), 'NULL')" for c in columns)
+    return f"concat_ws('|', {parts})"
 
-def key_text(columns: Sequence[str]) -> Column:
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in columns])
 
-
-def _all_present(columns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+def _present(columns: Sequence[str]) -> str:
+    return " AND ".join(f"{c} IS NOT NULL" for c in columns)
 
 
 def _key_counts(table: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return table.groupBy(*columns).agg(F.count(F.lit(1)).alias("row_count"))
+    return table.groupBy(*columns).agg(F.expr("count(1) AS row_count"))
 
 
-def _report(found: DataFrame, table: str, kind: str, rule: Column, key: Column) -> DataFrame:
-    return found.select(
-        F.lit(table).alias("table_name"),
-        F.lit(kind).alias("kind"),
-        rule.alias("rule"),
-        key.alias("key"),
-        F.col("row_count").cast("bigint").alias("row_count"),
+def _report(
+    found: DataFrame, table: str, kind: str, rule: str, columns: Sequence[str]
+) -> DataFrame:
+    return found.selectExpr(
+        f"'{table}' AS table_name",
+        f"'{kind}' AS kind",
+        f"'{rule}' AS rule",
+        f"{key_text(columns)} AS key",
+        "row_count",
     )
 
 
 def repeated_keys(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Key values that occur more than once; a key with a NULL part never repeats."""
-    present = table.select(*columns).where(_all_present(columns))
+    present = table.where(_present(columns))
     return _key_counts(present, columns).where("row_count > 1")
 
 
 def primary_key_violations(table: DataFrame, spec: TableSpec) -> DataFrame:
+    """Repeated keys, and keys with a NULL part however often they occur."""
     key = spec.primary_key
-    repeats = repeated_keys(table, key)
-    missing = _key_counts(table.select(*key).where(~_all_present(key)), key)
-    rule = F.lit(",".join(key))
-    return _report(repeats.unionByName(missing), spec.name, "primary_key", rule, key_text(key))
+    bad = _key_counts(table, key).where(f"row_count > 1 OR NOT ({_present(key)})")
+    return _report(bad, spec.name, "primary_key", ",".join(key), key)
 
 
 def unique_violations(table: DataFrame, spec: TableSpec) -> DataFrame | None:
     parts = [
-        _report(
-            repeated_keys(table, columns),
-            spec.name,
-            "unique",
-            F.lit(",".join(columns)),
-            key_text(columns),
-        )
-        for columns in spec.unique
+        _report(repeated_keys(table, key), spec.name, "unique", ",".join(key), key)
+        for key in spec.unique
     ]
-    return reduce(DataFrame.unionByName, parts) if parts else None
+    return union_all(parts)
 
 
-def fails(check: Check) -> Column:
+def fails(check: Check) -> str:
     """True only where the predicate is false: a NULL result passes, as in SQL."""
-    return ~F.coalesce(F.expr(check.predicate), F.lit(True))
+    return f"NOT coalesce({check.predicate}, TRUE)"
 
 
 def row_violations(
@@ -80,27 +74,27 @@ def row_violations(
     """One row per broken NOT NULL or CHECK rule of a row: a single pass without a shuffle."""
     marks = []
     if "not_null" in kinds:
-        marks += [(F.col(c).isNull(), "not_null", c) for c in spec.not_null]
+        marks += [(f"{c} IS NULL", "not_null", c) for c in spec.not_null]
     if "check" in kinds:
         marks += [(fails(c), "check", c.name) for c in spec.checks]
     if not marks:
         return None
-    any_bad = reduce(lambda a, b: a | b, [bad for bad, _, _ in marks])
-    broken = [
-        F.when(bad, F.struct(F.lit(kind).alias("kind"), F.lit(rule).alias("rule")))
+    any_bad = " OR ".join(bad for bad, _, _ in marks)
+    broken = ", ".join(
+        f"CASE WHEN {bad} THEN named_struct('kind', '{kind}', 'rule', '{rule}') END"
         for bad, kind, rule in marks
-    ]
+    )
     # Only violating rows are unfolded.
     return (
         table.where(any_bad)
-        .select(key_text(spec.primary_key).alias("key"), F.explode(F.array(*broken)).alias("b"))
-        .where(F.col("b").isNotNull())
-        .select(
-            F.lit(spec.name).alias("table_name"),
-            "b.kind",
-            "b.rule",
+        .selectExpr(f"{key_text(spec.primary_key)} AS key", f"explode(array({broken})) AS b")
+        .where("b IS NOT NULL")
+        .selectExpr(
+            f"'{spec.name}' AS table_name",
+            "b.kind AS kind",
+            "b.rule AS rule",
             "key",
-            F.lit(1).cast("bigint").alias("row_count"),
+            "CAST(1 AS BIGINT) AS row_count",
         )
     )
 
@@ -110,10 +104,9 @@ def orphan_keys(child: DataFrame, fk: ForeignKey, parent: DataFrame) -> DataFram
 
     Both sides are folded to distinct keys first, and the join reuses that partitioning.
     """
-    values = _key_counts(child.select(*fk.columns).where(_all_present(fk.columns)), fk.columns)
-    present = parent.select(
-        *[F.col(p).alias(c) for p, c in zip(fk.parent_columns, fk.columns, strict=True)]
-    ).distinct()
+    values = _key_counts(child.where(_present(fk.columns)), fk.columns)
+    renamed = [f"{p} AS {c}" for p, c in zip(fk.parent_columns, fk.columns, strict=True)]
+    present = parent.selectExpr(*renamed).distinct()
     return values.join(present, list(fk.columns), "left_anti")
 
 
@@ -135,12 +128,12 @@ def foreign_key_violations(
             orphan_keys(tables[spec.name], fk, tables[fk.parent]),
             spec.name,
             "foreign_key",
-            F.lit(fk.name),
-            key_text(fk.columns),
+            fk.name,
+            fk.columns,
         )
         for fk in spec.foreign_keys
     ]
-    return reduce(DataFrame.unionByName, parts) if parts else None
+    return union_all(parts)
 
 
 def violations(
@@ -156,7 +149,7 @@ def violations(
             unique_violations(table, spec),
             foreign_key_violations(tables, spec),
         ]
-    return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
+    return union_all(parts)
 
 
 def schema_drift(

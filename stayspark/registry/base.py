@@ -35,32 +35,29 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def bookings(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as bookings; an open order has no cancellation flag yet."""
-    status = F.col("o_orderstatus")
-    return read(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("BookingID"),
-        F.col("o_custkey").alias("CustomerCustomerID"),
-        F.col("o_orderdate").cast("date").alias("Arrival_date"),
-        F.when(status == "F", 1).when(status == "O", 0).alias("Cancellation"),
+    return read(spark, folder, "orders").selectExpr(
+        "o_orderkey AS BookingID",
+        "o_custkey AS CustomerCustomerID",
+        "CAST(o_orderdate AS DATE) AS Arrival_date",
+        "CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS Cancellation",
     )
 
 
 def rooms(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as rooms.  Line numbers repeat, so the room number is the whole line."""
-    lines = read(spark, folder, "lineitem")
-    cents = minor_units(F.col("l_extendedprice"))
-    return lines.select(
-        F.col("l_orderkey").alias("BookingBookingID"),
-        cents.alias("Price"),
-        F.struct("l_linenumber", "l_partkey", "l_suppkey", cents).alias("Room_number"),
+    priced = read(spark, folder, "lineitem").withColumn(
+        "Price", minor_units(F.col("l_extendedprice"))
+    )
+    return priced.selectExpr(
+        "l_orderkey AS BookingBookingID",
+        "Price",
+        "struct(l_linenumber, l_partkey, l_suppkey, Price) AS Room_number",
     )
 
 
 def invoices(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("InvoiceID"),
-        F.col("o_orderkey").alias("BookingBookingID"),
-        minor_units(F.col("o_totalprice")).alias("Amount"),
-    )
+    priced = read(spark, folder, "orders").withColumn("Amount", minor_units(F.col("o_totalprice")))
+    return priced.selectExpr("o_orderkey AS InvoiceID", "o_orderkey AS BookingBookingID", "Amount")
 
 
 def stays(spark: SparkSession, folder: str) -> DataFrame:

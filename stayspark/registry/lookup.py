@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayspark.functions.numbers import money
 from stayspark.functions.parsing import parse_name
 from stayspark.operators import ids, lookup
+from stayspark.operators.unions import union_all
 from stayspark.registry.base import invoices, query, read, sql_money
 
 # The given tables and their columns.
@@ -152,7 +151,7 @@ def table_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
         digest = F.conv(F.substring(F.md5(text), 1, 15), 16, 10)
         part = lookup.fingerprint(read(spark, folder, name), digest)
         parts.append(part.select(F.lit(name).alias("table_name"), "*"))
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
 
 
 @query()
@@ -162,7 +161,7 @@ def table_fingerprint_fast(spark: SparkSession, folder: str) -> DataFrame:
         lookup.fingerprint(read(spark, folder, n)).select(F.lit(n).alias("table_name"), "*")
         for n in COLUMNS
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
 
 
 _NEXT_KEYS = {"orders": "o_orderkey", "customer": "c_custkey", "events": "event_id"}
@@ -179,7 +178,7 @@ def next_ids(spark: SparkSession, folder: str) -> DataFrame:
         ids.next_key(read(spark, folder, t), k).select(F.lit(t).alias("table_name"), "next_key")
         for t, k in _NEXT_KEYS.items()
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
 
 
 @query(

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayspark.model import Check, ForeignKey, TableSpec
 from stayspark.operators import quality
 from stayspark.operators.joins import split_join
+from stayspark.operators.unions import union_all
 from stayspark.registry.base import query, read
 
 
@@ -146,38 +145,34 @@ def _sql(kind: str) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-def _union(parts) -> DataFrame:
-    return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
-
-
 @query(_LABELLED + _sql("primary_key"))
 def pk_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     tables = _tables(spark, folder)
-    return _union(quality.primary_key_violations(tables[n], s) for n, s in SPECS.items())
+    return union_all(quality.primary_key_violations(tables[n], s) for n, s in SPECS.items())
 
 
 @query(_LABELLED + _sql("unique"))
 def unique_violations(spark: SparkSession, folder: str) -> DataFrame:
     tables = _tables(spark, folder)
-    return _union(quality.unique_violations(tables[n], s) for n, s in SPECS.items())
+    return union_all(quality.unique_violations(tables[n], s) for n, s in SPECS.items())
 
 
 @query(_LABELLED + _sql("not_null"))
 def null_violations(spark: SparkSession, folder: str) -> DataFrame:
     tables = _tables(spark, folder)
-    return _union(quality.row_violations(tables[n], s, ["not_null"]) for n, s in SPECS.items())
+    return union_all(quality.row_violations(tables[n], s, ["not_null"]) for n, s in SPECS.items())
 
 
 @query(_LABELLED + _sql("check"))
 def check_violations(spark: SparkSession, folder: str) -> DataFrame:
     tables = _tables(spark, folder)
-    return _union(quality.row_violations(tables[n], s, ["check"]) for n, s in SPECS.items())
+    return union_all(quality.row_violations(tables[n], s, ["check"]) for n, s in SPECS.items())
 
 
 @query(_LABELLED + _sql("foreign_key"))
 def fk_orphans_all(spark: SparkSession, folder: str) -> DataFrame:
     tables = _tables(spark, folder)
-    return _union(quality.foreign_key_violations(tables, s) for s in SPECS.values())
+    return union_all(quality.foreign_key_violations(tables, s) for s in SPECS.values())
 
 
 _KINDS = ("primary_key", "not_null", "check", "unique", "foreign_key")

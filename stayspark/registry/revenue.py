@@ -24,30 +24,27 @@ from stayspark.session import durable
 def _facts(spark: SparkSession, folder: str, three_valued: bool = False) -> DataFrame:
     """One row per order: customer, cancelled, amount in cents (0 without a line item)."""
     totals = room_totals(rooms(spark, folder)).select("BookingID", "nightly_total")
-    flag = F.col("Cancellation")
-    if not three_valued:
-        flag = F.coalesce(flag, F.lit(0))
+    flag = "Cancellation" if three_valued else "coalesce(Cancellation, 0)"
     return (
         bookings(spark, folder)
-        .select("BookingID", F.col("CustomerCustomerID").alias("c_custkey"), flag.alias("cancelled"))
         .join(totals, "BookingID", "left")
-        .select("c_custkey", "cancelled", F.coalesce("nightly_total", F.lit(0)).alias("amount"))
+        .selectExpr(
+            "CustomerCustomerID AS c_custkey",
+            f"{flag} AS cancelled",
+            "coalesce(nightly_total, 0) AS amount",
+        )
     )
 
 
 def _per_nation(spark: SparkSession, folder: str, three_valued: bool = False) -> DataFrame:
     """Folded per customer first: the join to customers then has unique keys on both sides."""
-    owners = read(spark, folder, "customer").select(
-        "c_custkey", F.col("c_nationkey").alias("hotel_id")
-    )
+    owners = read(spark, folder, "customer").selectExpr("c_custkey", "c_nationkey AS hotel_id")
     per_customer = revenue.measures(_facts(spark, folder, three_valued), "c_custkey")
     return revenue.roll_up(per_customer, owners, "c_custkey", "hotel_id")
 
 
 def _risk(spark: SparkSession, folder: str) -> DataFrame:
-    hotels = read(spark, folder, "nation").select(
-        F.col("n_nationkey").alias("hotel_id"), F.col("n_name").alias("hotel")
-    )
+    hotels = read(spark, folder, "nation").selectExpr("n_nationkey AS hotel_id", "n_name AS hotel")
     feedback = read(spark, folder, "supplier").select(
         F.col("s_nationkey").alias("HotelHotelID"),
         minor_units(F.col("s_acctbal")).alias("Rating"),

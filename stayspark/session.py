@@ -15,6 +15,8 @@ def local_session(cores: str = "8", app: str = "stayspark", **conf: str) -> Spar
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        # Building an expression does not record where in the Python code it was written.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.driver.memory": os.environ.get("SPARK_DRIVER_MEMORY", "8g"),
         **conf,
     }
