@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from stayspark.model import Check, ForeignKey, TableSpec
 from stayspark.operators import quality
-from stayspark.operators.joins import split_join
+from stayspark.operators.joins import keys_among, split_join
+from stayspark.operators.unions import union_all
 from stayspark.session import durable
 
 
@@ -62,9 +63,10 @@ def _mark_orphans(
 ) -> DataFrame:
     """``on`` names the batch columns that hold the foreign key, when they are called differently."""
     on = on or fk.columns
-    keys = parent.select(
+    present = parent.select(
         *[F.col(p).alias(c) for p, c in zip(fk.parent_columns, on, strict=True)]
-    ).distinct()
+    )
+    keys = keys_among(present, batch.select(*on).distinct())
     orphan = _present(on) & F.col("_hit").isNull()
     return (
         _flag(staged, batch, keys, on, order)
@@ -76,7 +78,7 @@ def _mark_orphans(
 def _mark_taken(
     staged: DataFrame, batch: DataFrame, table: DataFrame, key: Sequence[str], order: str
 ) -> DataFrame:
-    keys = table.select(*key).where(_present(key)).distinct()
+    keys = keys_among(table.select(*key), batch.select(*key).distinct())
     reason = F.when(F.col("_hit"), f"duplicate {','.join(key)}")
     return (
         _flag(staged, batch, keys, key, order)
@@ -172,10 +174,12 @@ def _join_to_table(
     )
 
 
-def _referenced(children: Sequence[tuple[DataFrame, str]], name: str) -> DataFrame:
-    """Every parent key some child row points at."""
-    refs = [child.select(F.col(c).alias(name)).where(F.col(name).isNotNull()) for child, c in children]
-    return reduce(DataFrame.unionByName, refs).distinct()
+def _referenced(
+    children: Sequence[tuple[DataFrame, str]], name: str, wanted: DataFrame
+) -> DataFrame:
+    """The wanted parent keys that some child row points at."""
+    refs = union_all(child.select(F.col(c).alias(name)) for child, c in children)
+    return keys_among(refs, wanted)
 
 
 def update_rows(
@@ -220,7 +224,8 @@ def update_rows(
         if not by_primary_key:
             raise ValueError("a primary key can only be changed by primary key")
         if children:
-            staged = _flag(staged, batch, _referenced(children, key), [key], order)
+            asked = batch.select(key).distinct()
+            staged = _flag(staged, batch, _referenced(children, key, asked), [key], order)
             staged = staged.withColumn(
                 "reason", _first_reason("reason", F.when(F.col("_hit"), "referenced"))
             ).drop("_hit")
@@ -229,9 +234,10 @@ def update_rows(
     if tied and by_primary_key:
         # One table row per change at most, so every change can be tested on its own row.
         others = list(dict.fromkeys(c for t in tied for c in t.columns if c not in (column, key)))
+        rows = table.select(key, *others).join(batch.select(key).distinct(), key, "left_semi")
         staged = split_join(
             staged,
-            table.select(key, *others).withColumn("_hit", F.lit(True)),
+            rows.withColumn("_hit", F.lit(True)),
             [key],
             "left",
             spread=[order],
@@ -289,8 +295,8 @@ def _mark_value_conflicts(
     if rule != (column,):
         raise ValueError(f"{column!r} belongs to a composite unique key")
     reason = f"duplicate {column}"
-    holders = table.where(F.col(column).isNotNull()).select(
-        F.col(column).alias("value"), F.col(key).alias("_holder")
+    holders = table.select(F.col(column).alias("value"), F.col(key).alias("_holder")).join(
+        batch.select("value").distinct(), "value", "left_semi"
     )
     staged = split_join(
         staged, holders, ["value"], "left", spread=[order], weigh=batch.select("value")
@@ -298,7 +304,9 @@ def _mark_value_conflicts(
     other = F.col("_holder").isNotNull() & (F.col("_holder") != F.col(key))
     staged = staged.withColumn("reason", _first_reason("reason", F.when(other, reason)))
     if spec.primary_key != (key,):
-        many = table.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
+        counts = table.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        asked = batch.select(key).distinct()
+        many = counts.join(asked, key, "left_semi").where("_n > 1").select(key)
         staged = _flag(staged.drop("_holder"), batch, many, [key], order)
         several = F.col("_hit") & F.col("value").isNotNull()
         staged = staged.withColumn("reason", _first_reason("reason", F.when(several, reason)))
@@ -347,12 +355,12 @@ def delete_rows(
     wanted = keys.select(F.col(keys.columns[0]).alias(key)).where(F.col(key).isNotNull()).distinct()
     if children:
         (primary,) = spec.primary_key
-        referenced = _referenced(children, primary)
         if primary == key:
-            hit = wanted
+            blocked = _referenced(children, primary, wanted)
         else:
             hit = _join_to_table(table.select(primary, key), wanted, key, spec, "left_semi")
-        blocked = hit.join(referenced, primary, "left_semi").select(key).distinct()
+            referenced = _referenced(children, primary, hit.select(primary))
+            blocked = hit.join(referenced, primary, "left_semi").select(key).distinct()
         allowed = wanted.join(blocked, key, "left_anti")
     else:
         blocked = wanted.limit(0)

@@ -19,6 +19,15 @@ PIECES = 2000
 FLOOR = 500_000
 
 
+def keys_among(keys: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The distinct keys that are also in ``wanted``, a frame of distinct keys.
+
+    Where ``wanted`` is small enough to broadcast, Catalyst filters the keys before it folds them
+    and a large table is only scanned; otherwise hot keys are folded before the shuffle.
+    """
+    return keys.distinct().join(wanted, wanted.columns, "left_semi")
+
+
 def heavy_keys(rows: DataFrame, on: Sequence[str]) -> DataFrame:
     """Keys with more than ``max(FLOOR, rows / PIECES)`` rows, and how many pieces each needs."""
     share = F.count(F.lit(1)) / F.lit(float(PIECES))

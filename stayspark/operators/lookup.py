@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayspark.functions.parsing import strip
-from stayspark.operators.joins import split_join
+from stayspark.operators.joins import keys_among, split_join
 from stayspark.operators.unions import union_all
 
 
@@ -33,14 +33,9 @@ def rows_with_keys(
 
 def known_keys(table: DataFrame, column: str, typed: DataFrame, key: str) -> DataFrame:
     """Typed key text (spaces around it ignored) with ``found`` telling whether the key exists."""
-    present = (
-        table.where(F.col(column).isNotNull())
-        .select(F.col(column).cast("string").alias("key"))
-        .distinct()
-        .withColumn("found", F.lit(True))
-    )
     asked = typed.select(strip(F.col(key)).alias("key")).distinct()
-    return asked.join(present, "key", "left").select(
+    present = keys_among(table.select(F.col(column).cast("string").alias("key")), asked)
+    return asked.join(present.withColumn("found", F.lit(True)), "key", "left").select(
         "key", F.coalesce("found", F.lit(False)).alias("found")
     )
 
@@ -48,9 +43,11 @@ def known_keys(table: DataFrame, column: str, typed: DataFrame, key: str) -> Dat
 def invoices_for(bookings: DataFrame, invoices: DataFrame) -> DataFrame:
     """One row per asked booking with its invoice; ``found`` is false where there is none."""
     asked = bookings.select(F.col(bookings.columns[0]).alias("BookingBookingID")).distinct()
-    return asked.join(
-        invoices.withColumn("found", F.lit(True)), "BookingBookingID", "left"
-    ).withColumn("found", F.coalesce("found", F.lit(False)))
+    # Filtered first: with few asked bookings the invoices are scanned but not shuffled.
+    hits = invoices.join(asked, "BookingBookingID", "left_semi").withColumn("found", F.lit(True))
+    return asked.join(hits, "BookingBookingID", "left").withColumn(
+        "found", F.coalesce("found", F.lit(False))
+    )
 
 
 def distinct_values(table: DataFrame, column: str) -> DataFrame:

@@ -69,3 +69,14 @@ def test_hot_key_is_spread_over_partitions(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_small_batches_do_not_shuffle_the_table(spark, tmp_path):
+    """Few wanted keys against a large table: the table's own scan feeds a broadcast join."""
+    spark.range(200_000).withColumnRenamed("id", "k").write.parquet(str(tmp_path / "big"))
+    spark.range(3).withColumnRenamed("id", "k").write.parquet(str(tmp_path / "few"))
+    keys, few = spark.read.parquet(str(tmp_path / "big")), spark.read.parquet(str(tmp_path / "few"))
+    plan = joins.keys_among(keys, few)._jdf.queryExecution().optimizedPlan().toString()
+    # Aggregate on top, semi join below it.
+    assert plan.index("Aggregate") < plan.index("LeftSemi")
+    assert joins.keys_among(keys, few).count() == 3
