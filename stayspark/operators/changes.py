@@ -2,7 +2,8 @@
 
 A batch is checked against the table as it was before the batch, and then against earlier accepted
 rows of the same batch.  Rows that break a rule come back with a reason; they never abort the job.
-Write a result to a new path: a plan must not overwrite the files it reads.
+The marks are stored with ``session.durable`` as soon as they are known, because the new table and
+both lists read them.  Write a result to a new path: a plan must not overwrite the files it reads.
 """
 
 from __future__ import annotations
@@ -145,19 +146,24 @@ def insert_rows(
         raise ValueError(f"{spec.name} expects {[*table.columns, order]}, got {batch.columns}")
     nulls = [F.when(F.col(c).isNull(), f"not_null {c}") for c in spec.required]
     checks = [F.when(fails(c), f"check {c.name}") for c in spec.checks]
-    staged = batch.withColumn("reason", _first_reason(*nulls, *checks))
+    # Only keys travel through the rule joins; the rows come back in by their order at the end.
+    keys = [c for fk in spec.foreign_keys for c in fk.columns]
+    keys += [c for key in spec.unique_rules for c in key]
+    staged = batch.select(
+        order, *dict.fromkeys(keys), _first_reason(*nulls, *checks).alias("reason")
+    )
     for fk in spec.foreign_keys:
         staged = _mark_orphans(staged, batch, fk, (parents or {})[fk.parent], order)
     for key in spec.unique_rules:
         staged = _mark_taken(staged, batch, table, key, order)
-    if len(spec.unique_rules) > 1:
-        # Admission runs in rounds; the marked batch is computed once for them and the result.
-        staged = durable(staged)
+    # Admission and every result below read the marks: computed once.
+    staged = durable(staged)
     first = _admit(staged.where(F.col("reason").isNull()), spec.unique_rules, order)
-    outcome = staged.join(first.withColumn("_in", F.lit(True)), order, "left").withColumn(
-        "reason",
-        _first_reason("reason", F.when(F.col("_in").isNull(), "duplicate in batch")),
+    late = F.when(F.col("_in").isNull(), "duplicate in batch")
+    marks = staged.join(first.withColumn("_in", F.lit(True)), order, "left").select(
+        order, _first_reason("reason", late).alias("reason")
     )
+    outcome = batch.join(marks, order)
     accepted = outcome.where(F.col("reason").isNull()).select(*table.columns)
     rejected = outcome.where(F.col("reason").isNotNull()).select(*batch.columns, "reason")
     return Applied(table.unionByName(accepted), accepted, rejected)
@@ -245,7 +251,7 @@ def update_rows(
         ).withColumn(column, F.col("value"))
         broken = [F.when(F.col("_hit") & fails(c), f"check {c.name}") for c in tied]
         staged = staged.withColumn("reason", _first_reason("reason", *broken))
-    staged = staged.select(order, key, "value", "reason")
+    staged = durable(staged.select(order, key, "value", "reason"))
 
     last = (
         staged.where(F.col("reason").isNull())
