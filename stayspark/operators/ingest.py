@@ -54,12 +54,17 @@ def typed_ingest(
         )
         for c, kind in kinds.items()
     ]
-    clean = parsed.where(~any_bad).select(key, *[F.col(f"_typed_{c}").alias(c) for c in kinds])
-    # Only rows with a problem are unfolded; no lambda, so everything stays in generated code.
+    # A filter on the parsed values would be pushed below the parsing, and every value would be
+    # parsed again above it.  Unfolding instead looks at each parsed value once.
+    values = F.struct(*[F.col(f"_typed_{c}").alias(c) for c in kinds])
+    clean = (
+        parsed.select(key, F.explode_outer(F.when(~any_bad, F.array(values))).alias("row"))
+        .where(F.col("row").isNotNull())
+        .select(key, "row.*")
+    )
     rejects = (
-        parsed.where(any_bad)
-        .select(key, F.explode(F.array(*problems)).alias("p"))
-        .where(F.col("p").isNotNull())
-        .select(F.lit(table).alias("table_name"), key, "p.*")
+        parsed.select(key, F.explode(F.array(*problems)).alias("problem"))
+        .where(F.col("problem").isNotNull())
+        .select(F.lit(table).alias("table_name"), key, "problem.*")
     )
     return Ingested(clean, rejects)
