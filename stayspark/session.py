@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +14,7 @@ def local_session(cores: str = "8", app: str = "stayspark", **conf: str) -> Spar
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Building an expression does not record where in the Python code it was written.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.driver.memory": os.environ.get("SPARK_DRIVER_MEMORY", "8g"),
@@ -28,19 +28,24 @@ def local_session(cores: str = "8", app: str = "stayspark", **conf: str) -> Spar
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where results that are read again go: a folder that driver and executors share.
+
+    It is the one named by ``spark.checkpoint.dir``; where that is unset, as in tests, a folder beside
+    the warehouse tables, whatever the master.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and cut its lineage.
+    """Write ``df`` to the shared folder and cut its lineage.
 
-    The folder is the one named by ``spark.checkpoint.dir``.  A private folder is made only for a
-    local master; on a cluster a machine-local folder would be lost with its executor.
+    Spark removes the files once the frame is out of use where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on, as ``local_session`` sets it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="stayspark-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
