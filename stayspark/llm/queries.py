@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayspark.llm import packing, token_files
+from stayspark.llm import dedup, packing, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,26 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
         "sequence_id",
         "offset",
     )
+
+
+@query(
+    r"""
+    WITH t AS (
+      SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm
+      FROM documents
+    ), g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
+    FROM t JOIN g USING (norm)
+    """
+)
+def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact copies among all documents."""
+    return dedup.mark_copies(read(spark, folder, "documents"))
+
+
+@query()
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of near copies among all documents."""
+    marked = simhash.near_copies(read(spark, folder, "documents"), shingle=3, distance=2)
+    digits = F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint")
+    return marked.select("doc_id", digits, "component_id")
