@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayspark.llm import dedup, packing, simhash, token_files
+from stayspark.llm import dedup, mixing, packing, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,9 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     marked = simhash.near_copies(read(spark, folder, "documents"), shingle=3, distance=2)
     digits = F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint")
     return marked.select("doc_id", digits, "component_id")
+
+
+@query()
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Mix all documents to the weights of their sources."""
+    return mixing.taken_words(read(spark, folder, "documents"), mixing.Mix())
