@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayspark.llm import dedup, mixing, packing, simhash, token_files
+from stayspark.llm import dedup, mixing, packing, simhash, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,16 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Mix all documents to the weights of their sources."""
     return mixing.taken_words(read(spark, folder, "documents"), mixing.Mix())
+
+
+def toxic_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The given labels say toxic or not; the grades of toxic texts follow from the fit."""
+    return read(spark, folder, "labels").select("doc_id", F.col("toxic").alias("grade"))
+
+
+@query()
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected severity of all documents, by a model fitted on the labelled ones."""
+    docs = read(spark, folder, "documents")
+    model = toxicity.fit_model(docs, toxic_labels(spark, folder), toxicity.Fit())
+    return toxicity.score_documents(docs, model)
