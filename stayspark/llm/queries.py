@@ -12,6 +12,7 @@ from stayspark.llm import (
     chat,
     dedup,
     knn,
+    license_scan,
     mixing,
     packing,
     simhash,
@@ -205,3 +206,9 @@ def op6_top_k(spark: SparkSession, folder: str) -> DataFrame:
         F.col("vec_id").alias("id"), knn.integer_vectors(F.col("embedding")).alias("vector")
     )
     return knn.top_k(vectors.where("id % 20 = 0"), vectors, k=20)
+
+
+@query()
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licenses named in all documents."""
+    return license_scan.scan(read(spark, folder, "documents"))
