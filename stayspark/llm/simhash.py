@@ -9,6 +9,7 @@ boundary on: every close pair meets in some shard.  Each shard is searched exact
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 
 from stayspark.llm.components import components
 from stayspark.llm.joins import sized
-from stayspark.llm.tokens import text_slices
 from stayspark.session import durable
 
 SEED = 42
@@ -32,36 +32,77 @@ SHARD, SHARD_LIMIT = 20_000, 4_000_000
 DIRECT = 256
 
 
-def _fingerprints(shingle: int) -> Callable:
-    digest = xxhash.xxh64_digest
+# Text that is cut into words at a time, and hashes whose bits are counted at a time.
+WINDOW_BYTES, HASHES = 1 << 20, 1 << 16
+
+
+def _windows(text: bytes, shingle: int) -> Iterator[list[bytes]]:
+    """The words of a text in windows, each with the last words of the one before."""
+    text = text.lower()  # of bytes: A-Z only; split() knows the same six white-space bytes
+    carried: list[bytes] = []
+    at = 0
+    while at < len(text):
+        end = at + WINDOW_BYTES
+        if end < len(text):
+            gap = re.compile(rb"[\x20\x09-\x0D]").search(text, end)
+            end = gap.start() if gap else len(text)
+        words = carried + text[at:end].split()
+        yield words
+        carried = words[len(words) - shingle + 1 :] if shingle > 1 else []
+        at = end
+
 
-    def hashes(text: bytes) -> list[bytes]:
-        words = text.lower().split()  # of bytes: A-Z, and the six white-space bytes
-        if len(words) <= shingle:
-            return [digest(b" ".join(words), SEED)] if words else []
+def _digests(text: bytes, shingle: int) -> Iterator[list[bytes]]:
+    """The hashes of all shingles, window by window; a text of fewer words is one shingle."""
+    digest = xxhash.xxh64_digest
+    some, few = False, []
+    for words in _windows(text, shingle):
+        if len(words) < shingle:
+            few = words
+            continue
+        some = True
         joined = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = np.concatenate(([0], ends[:-shingle] + 1))
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[: len(ends) - shingle] + 1))
         spans = zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)
-        return [digest(joined[a:b], SEED) for a, b in spans]
+        yield [digest(joined[a:b], SEED) for a, b in spans]
+    if few and not some:
+        yield [digest(b" ".join(few), SEED)]
+
 
+def _fingerprints(shingle: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "").cast(pa.binary())
-            out = np.zeros(len(texts), "<i8")
-            for first, last in text_slices(texts):
-                found = [hashes(t) for t in texts.slice(first, last - first).to_pylist()]
-                counts = np.array([len(h) for h in found])
-                some = np.flatnonzero(counts)
-                if not len(some):
-                    continue
-                flat = np.frombuffer(b"".join(d for h in found for d in h), np.uint8)
+            ones = np.zeros((len(texts), 64), np.int64)
+            sizes = np.zeros(len(texts), np.int64)
+            rows: list[int] = []
+            held: list[list[bytes]] = []
+
+            def count() -> None:
+                lengths = np.array([len(h) for h in held])
+                flat = np.frombuffer(b"".join(d for h in held for d in h), np.uint8)
                 bits = np.unpackbits(flat).reshape(-1, 64)
-                starts = np.cumsum(counts[some]) - counts[some]
-                ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-                packed = np.packbits(2 * ones > counts[some, None], axis=1)
-                out[first + some] = packed.view(">i8").ravel()
-            yield pa.record_batch([batch.column("doc_id"), pa.array(out)], ["doc_id", "print"])
+                sums = np.add.reduceat(bits, np.cumsum(lengths) - lengths, axis=0, dtype=np.int32)
+                np.add.at(ones, rows, sums)
+                np.add.at(sizes, rows, lengths)
+                rows.clear()
+                held.clear()
+
+            waiting = 0
+            for row in range(len(texts)):
+                for found in _digests(texts[row].as_py(), shingle):
+                    rows.append(row)
+                    held.append(found)
+                    waiting += len(found)
+                    if waiting >= HASHES:
+                        count()
+                        waiting = 0
+            if held:
+                count()
+            packed = np.packbits(2 * ones > sizes[:, None], axis=1)
+            prints = packed.view(">i8").ravel().astype("<i8")
+            yield pa.record_batch([batch.column("doc_id"), pa.array(prints)], ["doc_id", "print"])
 
     return run
 

@@ -100,3 +100,13 @@ def test_components_of_a_chain_and_a_star(spark):
     frame = spark.createDataFrame([*chain, (None, 3), *chain], "x long, y long")
     found = {r.node: r.root for r in components.components(frame).collect()}
     assert found == {i: 0 for i in range(1, 41)} | {i: 50 for i in range(51, 61) if i != 50}
+
+
+@pytest.mark.parametrize("window,shingle", [(1, 3), (7, 3), (40, 1), (10**6, 5), (3, 2)])
+def test_windows_give_all_shingles(monkeypatch, window, shingle):
+    monkeypatch.setattr(simhash, "WINDOW_BYTES", window)
+    for text in ["", " ", "one", "one two", " a  b\tC d\n\n e f g ", "aaa " * 50, "a" * 90 + " b c"]:
+        words = text.lower().split()
+        runs = [words[i : i + shingle] for i in range(len(words) - shingle + 1)] or [words][: len(words)]
+        want = [xxhash.xxh64_digest(" ".join(r), 42) for r in runs]
+        assert [d for block in simhash._digests(text.encode(), shingle) for d in block] == want
