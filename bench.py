@@ -41,7 +41,7 @@ HEADLINE = [
     "lookup_keys",
     "batch_ids",
     "table_profile",
-    "table_fingerprint_fast",
+    "table_fingerprint",
     "doc_project",
     "doc_delete_first",
     "gen_customers",

@@ -25,9 +25,12 @@ def minor_units(amount: Column) -> Column:
     """A two-decimal DOUBLE amount as whole cents.
 
     Floor of a shifted double stays in generated code; a cast to DECIMAL formats every value as
-    text first.
+    text first.  An amount that is not finite, or too large for its cents to be exact, raises.
     """
-    return F.floor(amount * F.lit(100.0) + F.lit(0.5))
+    cents = F.floor(amount * F.lit(100.0) + F.lit(0.5))
+    exact = F.abs(amount) <= F.lit(9e13)  # NaN counts as larger than any number
+    wrong = F.raise_error(F.concat(F.lit("no exact amount: "), amount.cast("string"))).cast("bigint")
+    return F.when(amount.isNull() | exact, cents).otherwise(wrong)
 
 
 def money(cents: Column) -> Column:

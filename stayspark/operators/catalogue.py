@@ -47,6 +47,11 @@ def find(docs: DataFrame, equal: Mapping[str, str]) -> DataFrame:
     return docs
 
 
+def field_types(docs: DataFrame, name: str) -> DataFrame:
+    """``seq`` and the type of one field in each document; VOID for a null."""
+    return docs.select("seq", F.schema_of_variant(field(name, "variant")).alias("kind"))
+
+
 def count(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("documents"))
 

@@ -2,8 +2,9 @@
 
 A batch is checked against the table as it was before the batch, and then against earlier accepted
 rows of the same batch.  Rows that break a rule come back with a reason; they never abort the job.
-The marks are stored with ``session.durable`` as soon as they are known, because the new table and
-both lists read them.  Write a result to a new path: a plan must not overwrite the files it reads.
+``outcomes`` says of every batch row what became of it: accepted, superseded by a later change of its key,
+unknown key, or rejected with a reason.  The batch is read once for its marks, which are stored with ``session.durable``, and once
+for the results.  Write a result to a new path: a plan must not overwrite the files it reads.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayspark.model import Check, ForeignKey, TableSpec
+from stayspark.model import Check, ForeignKey, TableSpec, children_of
 from stayspark.operators import quality
-from stayspark.operators.joins import keys_among, split_join
+from stayspark.operators.joins import keys_among
 from stayspark.operators.unions import union_all
 from stayspark.session import durable
 
@@ -26,6 +27,23 @@ class Applied(NamedTuple):
     table: DataFrame
     accepted: DataFrame
     rejected: DataFrame
+    outcomes: DataFrame
+
+
+def _outcome(reason: Column, *others: tuple[Column, str]) -> Column:
+    """The reason comes first, then the others in order."""
+    found = F.when(reason.isNotNull(), "rejected")
+    for condition, name in others:
+        found = found.when(condition, name)
+    return found.otherwise("accepted")
+
+
+def _same_types(found: DataFrame, wanted: Mapping[str, str]) -> None:
+    """A value of another type would change the type of the whole column."""
+    kinds = dict(found.dtypes)
+    wrong = {c: kinds[c] for c, kind in wanted.items() if kinds[c] != kind}
+    if wrong:
+        raise ValueError(f"expected {({c: wanted[c] for c in wrong})}, got {wrong}")
 
 
 def fails(check: Check) -> Column:
@@ -40,49 +58,33 @@ def _present(columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
 
 
-def _flag(
-    staged: DataFrame, batch: DataFrame, keys: DataFrame, on: Sequence[str], order: str
-) -> DataFrame:
+def _flag(staged: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Add ``_hit``: whether the row's key is among ``keys`` (unique on ``on``)."""
-    return split_join(
-        staged,
-        keys.withColumn("_hit", F.lit(True)),
-        on,
-        "left",
-        spread=[order],
-        weigh=batch.select(*on),
-    )
+    return staged.join(keys.withColumn("_hit", F.lit(True)), list(on), "left")
 
 
 def _mark_orphans(
-    staged: DataFrame,
-    batch: DataFrame,
-    fk: ForeignKey,
-    parent: DataFrame,
-    order: str,
-    on: Sequence[str] = (),
+    staged: DataFrame, fk: ForeignKey, parent: DataFrame, on: Sequence[str] = ()
 ) -> DataFrame:
     """``on`` names the batch columns that hold the foreign key, when they are called differently."""
     on = on or fk.columns
     present = parent.select(
         *[F.col(p).alias(c) for p, c in zip(fk.parent_columns, on, strict=True)]
     )
-    keys = keys_among(present, batch.select(*on).distinct())
+    keys = keys_among(present, staged.select(*on).distinct())
     orphan = _present(on) & F.col("_hit").isNull()
     return (
-        _flag(staged, batch, keys, on, order)
+        _flag(staged, keys, on)
         .withColumn("reason", _first_reason("reason", F.when(orphan, f"foreign_key {fk.name}")))
         .drop("_hit")
     )
 
 
-def _mark_taken(
-    staged: DataFrame, batch: DataFrame, table: DataFrame, key: Sequence[str], order: str
-) -> DataFrame:
-    keys = keys_among(table.select(*key), batch.select(*key).distinct())
+def _mark_taken(staged: DataFrame, table: DataFrame, key: Sequence[str]) -> DataFrame:
+    keys = keys_among(table.select(*key), staged.select(*key).distinct())
     reason = F.when(F.col("_hit"), f"duplicate {','.join(key)}")
     return (
-        _flag(staged, batch, keys, key, order)
+        _flag(staged, keys, key)
         .withColumn("reason", _first_reason("reason", reason))
         .drop("_hit")
     )
@@ -99,34 +101,35 @@ def _admit(valid: DataFrame, rules: Sequence[Sequence[str]], order: str) -> Data
 
     With one rule that is the first row of every key.  With several, a row that loses on one key
     must not block another row on its other key.  Each round admits every row that comes first on
-    all its keys and drops the rows that share a key with it; the earliest pending row is always
-    admitted, so the rounds end, and the outcome is the one-by-one outcome exactly.
+    all its keys (in the first round, also all whose keys occur once) and drops the rows that share a
+    key with it; the earliest pending row is always admitted, so the rounds end, and the outcome
+    is the one-by-one outcome exactly.  A round stores one result, the pending rows with their marks.
+
+    The rounds grow with the longest chain of rows in which each is blocked by one key of the row before
+    it and by nothing earlier: linear in that chain at worst, whatever the size of the batch.
     """
     if len(rules) == 1:
         return _first_per_key(valid, rules[0], order).select(order)
     columns = list(dict.fromkeys(c for rule in rules for c in rule))
     keyed = sum((F.when(_present(rule), 1).otherwise(0) for rule in rules), F.lit(0))
-    pending = durable(valid.select(order, *columns, keyed.alias("_keyed")))
-    admitted = None
-    while not pending.isEmpty():
-        firsts = reduce(
-            DataFrame.unionByName,
-            [_first_per_key(pending, rule, order).select(order) for rule in rules],
-        )
+    pending = valid.select(order, *columns, keyed.alias("_keyed"))
+    admitted = []
+    while True:
+        firsts = union_all(_first_per_key(pending, rule, order).select(order) for rule in rules)
         wins = firsts.groupBy(order).agg(F.count(F.lit(1)).alias("_wins"))
-        winners = durable(
-            pending.join(wins, order, "left").where(F.coalesce("_wins", F.lit(0)) == F.col("_keyed"))
+        won = F.coalesce("_wins", F.lit(0)) == F.col("_keyed")
+        marked = durable(
+            pending.join(wins, order, "left").select(order, *columns, "_keyed", won.alias("_won"))
         )
-        rest = pending.join(winners.select(order), order, "left_anti")
+        winners = marked.where("_won")
+        if winners.isEmpty():
+            break
+        admitted.append(winners.select(order))
+        pending = marked.where("NOT _won").drop("_won")
         for rule in rules:
             taken = winners.where(_present(rule)).select(*rule)
-            rest = split_join(
-                rest, taken, rule, "left_anti", spread=[order], weigh=pending.select(*rule)
-            )
-        pending = durable(rest.select(order, *columns, "_keyed"))
-        won = winners.select(order)
-        admitted = won if admitted is None else admitted.unionByName(won)
-    return valid.select(order).limit(0) if admitted is None else admitted
+            pending = pending.join(taken, list(rule), "left_anti")
+    return union_all(admitted) if admitted else valid.select(order).limit(0)
 
 
 def insert_rows(
@@ -138,24 +141,24 @@ def insert_rows(
 ) -> Applied:
     """Append the rows of a batch that break no rule.
 
-    ``batch`` has the table's columns, in order, plus ``order``: a unique column that says which
-    row comes first.  ``rejected`` is the batch row with its first ``reason``.  The batch is read
-    once per rule, so store it first if it is costly to compute.
+    ``batch`` has the table's columns, in order and of the same types, plus ``order``: a unique column
+    that says which row comes first.  ``rejected`` is the batch row with its first ``reason``.
     """
     if batch.columns != [*table.columns, order]:
         raise ValueError(f"{spec.name} expects {[*table.columns, order]}, got {batch.columns}")
+    _same_types(batch, dict(table.dtypes))
     nulls = [F.when(F.col(c).isNull(), f"not_null {c}") for c in spec.required]
     checks = [F.when(fails(c), f"check {c.name}") for c in spec.checks]
     # Only keys travel through the rule joins; the rows come back in by their order at the end.
     keys = [c for fk in spec.foreign_keys for c in fk.columns]
     keys += [c for key in spec.unique_rules for c in key]
-    staged = batch.select(
-        order, *dict.fromkeys(keys), _first_reason(*nulls, *checks).alias("reason")
+    staged = durable(
+        batch.select(order, *dict.fromkeys(keys), _first_reason(*nulls, *checks).alias("reason"))
     )
     for fk in spec.foreign_keys:
-        staged = _mark_orphans(staged, batch, fk, (parents or {})[fk.parent], order)
+        staged = _mark_orphans(staged, fk, (parents or {})[fk.parent])
     for key in spec.unique_rules:
-        staged = _mark_taken(staged, batch, table, key, order)
+        staged = _mark_taken(staged, table, key)
     # Admission and every result below read the marks: computed once.
     staged = durable(staged)
     first = _admit(staged.where(F.col("reason").isNull()), spec.unique_rules, order)
@@ -163,21 +166,11 @@ def insert_rows(
     marks = staged.join(first.withColumn("_in", F.lit(True)), order, "left").select(
         order, _first_reason("reason", late).alias("reason")
     )
-    outcome = batch.join(marks, order)
-    accepted = outcome.where(F.col("reason").isNull()).select(*table.columns)
-    rejected = outcome.where(F.col("reason").isNotNull()).select(*batch.columns, "reason")
-    return Applied(table.unionByName(accepted), accepted, rejected)
-
-
-def _join_to_table(
-    table: DataFrame, keyed: DataFrame, key: str, spec: TableSpec, how: str
-) -> DataFrame:
-    """Join table rows to one row per key; only a non-key column can be hot."""
-    if spec.primary_key == (key,):
-        return table.join(keyed, key, how)
-    return split_join(
-        table, keyed, [key], how, spread=spec.primary_key, weigh=table.select(key)
-    )
+    rows = batch.join(marks, order)
+    accepted = rows.where(F.col("reason").isNull()).select(*table.columns)
+    rejected = rows.where(F.col("reason").isNotNull()).select(*batch.columns, "reason")
+    outcomes = marks.select(order, _outcome(F.col("reason")).alias("outcome"), "reason")
+    return Applied(table.unionByName(accepted), accepted, rejected, outcomes)
 
 
 def _referenced(
@@ -196,104 +189,120 @@ def update_rows(
     column: str,
     order: str,
     parents: Mapping[str, DataFrame] | None = None,
-    children: Sequence[tuple[DataFrame, str]] = (),
+    children: Sequence[tuple[DataFrame, str]] | None = None,
 ) -> Applied:
     """Set ``column`` to ``value`` in every row where ``key`` equals the change's key.
 
-    ``changes`` has the columns ``order`` (unique), ``key`` and ``value``.  The last valid change
-    of a key wins; a key without a row does nothing.  Where a check ties the new value to other
-    columns and ``key`` is not the primary key, the last change of the key is the one tested, and
-    it is refused as a whole if any of its rows would fail.
+    ``changes`` has the columns ``order`` (unique), ``key`` and ``value``, of the columns' types.  The
+    last valid change of a key wins, the others are superseded.  A change without a key is rejected; one
+    whose key has no row is reported as unknown, unless its value breaks a rule.  Where a check ties
+    the new value to other columns and ``key`` is not the primary key, the last change of the key is
+    the one tested, and it is refused as a whole if any of its rows would fail.  Changing a primary
+    key takes ``children``, as ``delete_rows`` does.
     """
     spec.column(key), spec.column(column)
     if sorted(changes.columns) != sorted([order, key, "value"]):
         raise ValueError(f"changes need the columns {order}, {key} and value")
+    kinds = dict(table.dtypes)
+    _same_types(changes, {key: kinds[key], "value": kinds[column]})
     by_primary_key = spec.primary_key == (key,)
-    batch = changes.select(order, key, "value").where(F.col(key).isNotNull())
+    batch = changes.select(order, key, "value")
     new = batch.withColumn(column, F.col("value")) if column != key else batch
     own = [c for c in spec.checks if c.columns == (column,)]
     tied = [c for c in spec.checks if column in c.columns and c not in own]
 
-    reasons = []
+    reasons = [F.when(F.col(key).isNull(), f"not_null {key}")]
     if column in spec.required:
         reasons.append(F.when(F.col("value").isNull(), f"not_null {column}"))
     if column != key:
         reasons += [F.when(fails(c), f"check {c.name}") for c in own]
-    staged = new.withColumn("reason", _first_reason(*reasons)).select(
-        order, key, "value", "reason"
+    staged = durable(
+        new.withColumn("reason", _first_reason(*reasons)).select(order, key, "value", "reason")
     )
+    asked = staged.select(key).distinct()
+    others = list(dict.fromkeys(c for t in tied for c in t.columns if c not in (column, key)))
+    if tied and by_primary_key:
+        # One table row per change at most, so every change can be tested on its own row.
+        known = table.select(key, *others).join(asked, key, "left_semi")
+    else:
+        known = keys_among(table.select(key), asked)
+    staged = staged.join(known.withColumn("_known", F.lit(True)), key, "left")
+    if tied and by_primary_key:
+        staged = staged.withColumn(column, F.col("value"))
+        broken = F.coalesce(*[F.when(F.col("_known") & fails(c), f"check {c.name}") for c in tied])
+    else:
+        broken = F.lit(None).cast("string")
+    staged = staged.select(order, key, "value", "reason", "_known", broken.alias("_broken"))
     for fk in spec.foreign_keys:
         if fk.columns == (column,):
-            parent = (parents or {})[fk.parent]
-            staged = _mark_orphans(staged, batch, fk, parent, order, on=["value"])
+            staged = _mark_orphans(staged, fk, (parents or {})[fk.parent], on=["value"])
     if column in spec.primary_key:
         if not by_primary_key:
             raise ValueError("a primary key can only be changed by primary key")
+        children = _declared_children(spec, children)
         if children:
-            asked = batch.select(key).distinct()
-            staged = _flag(staged, batch, _referenced(children, key, asked), [key], order)
+            staged = _flag(staged, _referenced(children, key, asked), [key])
             staged = staged.withColumn(
                 "reason", _first_reason("reason", F.when(F.col("_hit"), "referenced"))
             ).drop("_hit")
     if any(column in rule for rule in spec.unique_rules):
-        staged = _mark_value_conflicts(staged, batch, table, spec, key, column, order)
-    if tied and by_primary_key:
-        # One table row per change at most, so every change can be tested on its own row.
-        others = list(dict.fromkeys(c for t in tied for c in t.columns if c not in (column, key)))
-        rows = table.select(key, *others).join(batch.select(key).distinct(), key, "left_semi")
-        staged = split_join(
-            staged,
-            rows.withColumn("_hit", F.lit(True)),
-            [key],
-            "left",
-            spread=[order],
-            weigh=batch.select(key),
-        ).withColumn(column, F.col("value"))
-        broken = [F.when(F.col("_hit") & fails(c), f"check {c.name}") for c in tied]
-        staged = staged.withColumn("reason", _first_reason("reason", *broken))
-    staged = durable(staged.select(order, key, "value", "reason"))
-
-    last = (
-        staged.where(F.col("reason").isNull())
-        .groupBy(key)
-        .agg(F.max_by("value", order).alias("value"), F.max(order).alias(order))
-        .withColumn("_set", F.lit(True))
+        staged = _mark_value_conflicts(staged, table, spec, key, column, order)
+    staged = durable(
+        staged.withColumn("reason", _first_reason("reason", "_broken")).drop("_broken")
+    )
+
+    valid = staged.where(F.col("reason").isNull())
+    last = valid.groupBy(key).agg(
+        F.max_by("value", order).alias("value"),
+        F.max(order).alias(order),
+        F.max("_known").alias("_known"),
     )
     if tied and not by_primary_key:
-        others = list(dict.fromkeys(c for t in tied for c in t.columns if c not in (column, key)))
-        touched = _join_to_table(
-            table.select(*dict.fromkeys([*spec.primary_key, key, *others])),
-            last.select(key, "value"),
-            key,
-            spec,
-            "inner",
-        ).withColumn(column, F.col("value"))
+        touched = table.select(*dict.fromkeys([*spec.primary_key, key, *others])).join(
+            last.select(key, "value"), key
+        )
         any_broken = reduce(lambda a, b: a | b, [fails(c) for c in tied])
+        touched = touched.withColumn(column, F.col("value"))
         refused = touched.where(any_broken).select(key).distinct().withColumn("_no", F.lit(True))
+        losers = last.join(refused, key, "left_semi").select(order).withColumn("_no", F.lit(True))
         last = last.join(refused, key, "left_anti")
-        losers = staged.where(F.col("reason").isNull()).groupBy(key).agg(F.max(order).alias(order))
-        losers = losers.join(refused, key, "left_semi").select(order).withColumn("_no", F.lit(True))
-        staged = staged.join(losers, order, "left").withColumn(
-            "reason",
-            _first_reason("reason", F.when(F.col("_no"), f"check {tied[0].name}")),
+        staged = (
+            staged.join(losers, order, "left")
+            .withColumn("reason", _first_reason("reason", F.when(F.col("_no"), f"check {tied[0].name}")))
+            .drop("_no")
         )
-    joined = _join_to_table(table, last.select(key, "value", "_set"), key, spec, "left")
-    updated = joined.withColumn(
+    last = last.withColumn("_set", F.lit(True))
+    updated = table.join(last.select(key, "value", "_set"), key, "left").withColumn(
         column, F.when(F.col("_set"), F.col("value")).otherwise(F.col(column))
-    ).select(*table.columns)
-    accepted = last.select(order, key, "value")
+    )
+    accepted = last.where("_known").select(order, key, "value")
     rejected = staged.where(F.col("reason").isNotNull()).select(order, key, "value", "reason")
-    return Applied(updated, accepted, rejected)
+    outcome = _outcome(
+        F.col("reason"),
+        (F.col("_known").isNull(), "unknown key"),
+        (F.col("_set").isNull(), "superseded"),
+    )
+    outcomes = staged.join(last.select(order, "_set"), order, "left").select(
+        order, key, outcome.alias("outcome"), "reason"
+    )
+    return Applied(updated.select(*table.columns), accepted, rejected, outcomes)
+
+
+def _declared_children(
+    spec: TableSpec, children: Sequence[tuple[DataFrame, str]] | None
+) -> list[tuple[DataFrame, str]]:
+    """The given children; every foreign key that the model points at the table must be among them."""
+    if children is None:
+        raise ValueError(f"say which tables point at {spec.name}, or that none does")
+    wanted = sorted(fk.columns[0] for _, fk in children_of(spec.name))
+    given = sorted(column for _, column in children)
+    if len(given) < len(wanted) or any(given.count(c) < wanted.count(c) for c in wanted):
+        raise ValueError(f"{spec.name} is referenced by {wanted}, got {given}")
+    return list(children)
 
 
 def _mark_value_conflicts(
-    staged: DataFrame,
-    batch: DataFrame,
-    table: DataFrame,
-    spec: TableSpec,
-    key: str,
-    column: str,
-    order: str,
+    staged: DataFrame, table: DataFrame, spec: TableSpec, key: str, column: str, order: str
 ) -> DataFrame:
     """Refuse a value that another row already has, that one change would write to several rows,
     or that an earlier valid change of the batch claims for another key."""
@@ -302,32 +311,32 @@ def _mark_value_conflicts(
         raise ValueError(f"{column!r} belongs to a composite unique key")
     reason = f"duplicate {column}"
     holders = table.select(F.col(column).alias("value"), F.col(key).alias("_holder")).join(
-        batch.select("value").distinct(), "value", "left_semi"
-    )
-    staged = split_join(
-        staged, holders, ["value"], "left", spread=[order], weigh=batch.select("value")
+        staged.select("value").distinct(), "value", "left_semi"
     )
     other = F.col("_holder").isNotNull() & (F.col("_holder") != F.col(key))
-    staged = staged.withColumn("reason", _first_reason("reason", F.when(other, reason)))
+    staged = (
+        staged.join(holders, "value", "left")
+        .withColumn("reason", _first_reason("reason", F.when(other, reason)))
+        .drop("_holder")
+    )
     if spec.primary_key != (key,):
         counts = table.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        asked = batch.select(key).distinct()
+        asked = staged.select(key).distinct()
         many = counts.join(asked, key, "left_semi").where("_n > 1").select(key)
-        staged = _flag(staged.drop("_holder"), batch, many, [key], order)
         several = F.col("_hit") & F.col("value").isNotNull()
-        staged = staged.withColumn("reason", _first_reason("reason", F.when(several, reason)))
-    staged = staged.select(order, key, "value", "reason")
-    owners = (
-        staged.where(F.col("reason").isNull() & F.col("value").isNotNull())
-        .groupBy("value")
-        .agg(F.min_by(key, order).alias("_owner"))
-    )
-    staged = split_join(
-        staged, owners, ["value"], "left", spread=[order], weigh=batch.select("value")
-    )
+        staged = (
+            _flag(staged, many, [key])
+            .withColumn("reason", _first_reason("reason", F.when(several, reason)))
+            .drop("_hit")
+        )
+    staged = durable(staged)
+    good = F.col("reason").isNull() & F.col("_broken").isNull() & F.col("value").isNotNull()
+    owners = staged.where(good).groupBy("value").agg(F.min_by(key, order).alias("_owner"))
     claimed = F.col("_owner").isNotNull() & (F.col("_owner") != F.col(key))
-    return staged.withColumn("reason", _first_reason("reason", F.when(claimed, reason))).drop(
-        "_owner"
+    return (
+        staged.join(owners, "value", "left")
+        .withColumn("reason", _first_reason("reason", F.when(claimed, reason)))
+        .drop("_owner")
     )
 
 
@@ -350,27 +359,42 @@ def delete_rows(
     keys: DataFrame,
     spec: TableSpec,
     key: str,
-    children: Sequence[tuple[DataFrame, str]] = (),
+    children: Sequence[tuple[DataFrame, str]],
 ) -> Applied:
     """Delete every row whose ``key`` is among the keys.
 
     A key is refused as a whole when a child row still points at one of its rows; ``children`` are
-    (child table, foreign-key column) pairs.
+    (child table, foreign-key column) pairs, and all that the model knows must be given.
+    ``accepted`` and ``rejected`` hold distinct keys.  ``outcomes`` has each asked key with what became of
+    it and how many ``requests`` named it, the null key included.
     """
     spec.column(key)
-    wanted = keys.select(F.col(keys.columns[0]).alias(key)).where(F.col(key).isNotNull()).distinct()
+    _same_types(keys, {keys.columns[0]: dict(table.dtypes)[key]})
+    children = _declared_children(spec, children)
+    asked = durable(
+        keys.groupBy(F.col(keys.columns[0]).alias(key)).agg(F.count(F.lit(1)).alias("requests"))
+    )
+    wanted = asked.where(F.col(key).isNotNull()).select(key)
+    known = keys_among(table.select(key), wanted)
+    blocked = wanted.limit(0)
     if children:
         (primary,) = spec.primary_key
         if primary == key:
             blocked = _referenced(children, primary, wanted)
         else:
-            hit = _join_to_table(table.select(primary, key), wanted, key, spec, "left_semi")
+            hit = table.select(primary, key).join(wanted, key, "left_semi")
             referenced = _referenced(children, primary, hit.select(primary))
             blocked = hit.join(referenced, primary, "left_semi").select(key).distinct()
-        allowed = wanted.join(blocked, key, "left_anti")
-    else:
-        blocked = wanted.limit(0)
-        allowed = wanted
-    remaining = _join_to_table(table, allowed, key, spec, "left_anti").select(*table.columns)
-    rejected = blocked.withColumn("reason", F.lit("referenced"))
-    return Applied(remaining, allowed, rejected)
+    marked = asked.join(known.withColumn("_known", F.lit(True)), key, "left").join(
+        blocked.withColumn("_no", F.lit(True)), key, "left"
+    )
+    reason = F.when(F.col(key).isNull(), f"not_null {key}").when(F.col("_no"), "referenced")
+    marked = durable(marked.select(key, "requests", "_known", reason.alias("reason")))
+    unknown = F.col("_known").isNull()
+    allowed = marked.where(F.col("reason").isNull() & ~unknown).select(key)
+    remaining = table.join(allowed, key, "left_anti").select(*table.columns)
+    rejected = marked.where("reason = 'referenced'").select(key, "reason")
+    outcomes = marked.select(
+        key, _outcome(F.col("reason"), (unknown, "unknown key")).alias("outcome"), "reason", "requests"
+    )
+    return Applied(remaining, allowed, rejected, outcomes)

@@ -1,22 +1,14 @@
 """Joins that stay balanced when one key holds a large part of the rows.
 
 Aggregations need no help: partial aggregation folds a hot key inside every map task.  A join that
-must return *rows* does: all rows of one key go to one task.  ``split_join`` cuts only the heavy
-keys into pieces, sized by an exact count, and copies the matching unique row to every piece.
+must return *rows* of a hot key is left to adaptive execution, which reads the sizes of the shuffled
+partitions and cuts the large ones; that holds for inner, left, semi and anti joins with one row
+per key on the right, the only ones used here.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# A key is heavy when it holds more than 1/PIECES of the rows, so there are fewer than PIECES heavy
-# keys and fewer than 2 * PIECES copied rows, whatever the size of the data.
-PIECES = 2000
-# Below this many rows a key is never worth splitting.
-FLOOR = 500_000
 
 
 def keys_among(keys: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -26,49 +18,3 @@ def keys_among(keys: DataFrame, wanted: DataFrame) -> DataFrame:
     and a large table is only scanned; otherwise hot keys are folded before the shuffle.
     """
     return keys.distinct().join(wanted, wanted.columns, "left_semi")
-
-
-def heavy_keys(rows: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Keys with more than ``max(FLOOR, rows / PIECES)`` rows, and how many pieces each needs."""
-    share = F.count(F.lit(1)) / F.lit(float(PIECES))
-    limit = rows.agg(F.greatest(F.lit(float(FLOOR)), share).alias("_limit")).scalar()
-    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.where(F.col("_rows") > limit).select(
-        *on, F.ceil(F.col("_rows") / limit).alias("_pieces")
-    )
-
-
-def split_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str,
-    spread: Sequence[str],
-    weigh: DataFrame | None = None,
-) -> DataFrame:
-    """Equi-join of ``left`` with ``right``, where ``right`` has at most one row per key.
-
-    ``spread`` names left columns that vary within a key (its primary key); their hash picks the
-    piece, so a retried task sends every row to the same place.  ``weigh`` is a cheaper frame to
-    count the keys in, holding the same rows as ``left`` or more of them.
-    Supports inner, left, left_semi and left_anti.
-    """
-    on = list(on)
-    heavy = heavy_keys(left if weigh is None else weigh, on)
-    row_hash = F.xxhash64(*spread)
-    no_key = F.greatest(*[F.col(c).isNull() for c in on], F.lit(False))
-    # A NULL key matches nothing, so those rows may go anywhere.
-    piece = (
-        F.when(no_key, F.pmod(row_hash, F.lit(PIECES)))
-        .when(F.col("_pieces").isNotNull(), F.pmod(row_hash, F.col("_pieces")))
-        .otherwise(F.lit(0))
-        .cast("bigint")
-    )
-    cut = left.join(F.broadcast(heavy), on, "left").withColumn("_piece", piece).drop("_pieces")
-    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_pieces"), F.lit(1)) - 1)
-    copied = (
-        right.join(F.broadcast(heavy), on, "left")
-        .withColumn("_piece", F.explode(copies))
-        .drop("_pieces")
-    )
-    return cut.join(copied, [*on, "_piece"], how).drop("_piece")

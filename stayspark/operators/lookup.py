@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayspark.functions.parsing import strip
-from stayspark.operators.joins import keys_among, split_join
+from stayspark.operators.joins import keys_among
 from stayspark.operators.unions import union_all
 
 
@@ -19,23 +19,27 @@ def rows_where(table: DataFrame, column: str, value) -> DataFrame:
     return table.where(F.col(column) == F.lit(value))
 
 
-def rows_with_keys(
-    table: DataFrame, column: str, keys: DataFrame, primary_key: Sequence[str]
-) -> DataFrame:
+def rows_with_keys(table: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """Rows whose column holds any of the keys; a value may own any number of rows."""
     wanted = keys.select(F.col(keys.columns[0]).alias(column)).distinct()
-    if [column] == list(primary_key):
-        return table.join(wanted, column, "left_semi")
-    return split_join(
-        table, wanted, [column], "left_semi", spread=primary_key, weigh=table.select(column)
-    )
+    return table.join(wanted, column, "left_semi")
 
 
 def known_keys(table: DataFrame, column: str, typed: DataFrame, key: str) -> DataFrame:
-    """Typed key text (spaces around it ignored) with ``found`` telling whether the key exists."""
+    """Typed key text (spaces around it ignored) with ``found`` telling whether the key exists.
+
+    The text must be written as the key itself is.  It is turned into the key's type before the join, so
+    that the table's column is read as it stands.
+    """
+    kind = table.schema[column].dataType
     asked = typed.select(strip(F.col(key)).alias("key")).distinct()
-    present = keys_among(table.select(F.col(column).cast("string").alias("key")), asked)
-    return asked.join(present.withColumn("found", F.lit(True)), "key", "left").select(
+    value = F.col("key").try_cast(kind)
+    asked = asked.withColumn("_value", F.when(value.cast("string") == F.col("key"), value))
+    present = keys_among(
+        table.select(F.col(column).alias("_value")),
+        asked.select("_value").where("_value IS NOT NULL").distinct(),
+    )
+    return asked.join(present.withColumn("found", F.lit(True)), "_value", "left").select(
         "key", F.coalesce("found", F.lit(False)).alias("found")
     )
 
@@ -56,6 +60,15 @@ def distinct_values(table: DataFrame, column: str) -> DataFrame:
     return table.select(column).distinct()
 
 
+def same_content(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One row: how many rows the first frame has, and whether both have the same content."""
+    one, two = (fingerprint(frame).toDF(*names) for frame, names in zip(
+        (first, second), (("row_count", "content"), ("other_count", "other_content")), strict=True
+    ))
+    same = (F.col("row_count") == F.col("other_count")) & (F.col("content") == F.col("other_content"))
+    return one.crossJoin(two).select("row_count", same.alias("same"))  # one row each
+
+
 def value_types(table: DataFrame, *columns: str) -> DataFrame:
     """The distinct combinations of runtime types the columns hold."""
     return table.select(*[F.typeof(c).alias(c) for c in columns]).distinct()
@@ -106,9 +119,14 @@ def profile(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def fingerprint(table: DataFrame, row_hash: Column | None = None) -> DataFrame:
-    """Row count and a content sum that depends on neither row order nor partitioning."""
+    """Row count and a content sum that depends on neither row order nor partitioning.
+
+    The hash skips NULLs, so each column's NULL flag is hashed as well: a value that moves to another
+    column changes the sum.
+    """
     if row_hash is None:
-        row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in table.columns])
+        cells = [F.col(f"`{c}`") for c in table.columns]
+        row_hash = F.xxhash64(*cells, *[cell.isNull() for cell in cells])
     return table.select(row_hash.cast("decimal(38,0)").alias("h")).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.coalesce(F.sum("h"), F.lit(0)).cast("decimal(38,0)").alias("content_sum"),

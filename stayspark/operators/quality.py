@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayspark.model import Check, ForeignKey, TableSpec
-from stayspark.operators.joins import split_join
 from stayspark.operators.unions import union_all
 
 
@@ -110,14 +109,10 @@ def orphan_keys(child: DataFrame, fk: ForeignKey, parent: DataFrame) -> DataFram
     return values.join(present, list(fk.columns), "left_anti")
 
 
-def orphan_rows(
-    child: DataFrame, fk: ForeignKey, parent: DataFrame, primary_key: Sequence[str]
-) -> DataFrame:
+def orphan_rows(child: DataFrame, fk: ForeignKey, parent: DataFrame) -> DataFrame:
     """The child rows themselves, for when the keys are not enough."""
     lost = orphan_keys(child, fk, parent).drop("row_count")
-    return split_join(
-        child, lost, fk.columns, "left_semi", spread=primary_key, weigh=child.select(*fk.columns)
-    )
+    return child.join(lost, list(fk.columns), "left_semi")
 
 
 def foreign_key_violations(
@@ -139,17 +134,47 @@ def foreign_key_violations(
 def violations(
     tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec]
 ) -> DataFrame:
-    """Every broken rule of every table in one report."""
-    parts = []
+    """Every broken rule of every table in one report; each table is read twice.
+
+    One pass tests the rules of single rows.  The other unfolds each row to its keys: those of the table itself, and
+    those that children and parents of a foreign key share.  All key rules are then counted together,
+    and a foreign key is broken where its key has child rows but no parent row.
+    """
+    rules, keys = [], {name: [] for name in specs}
     for name, spec in specs.items():
-        table = tables[name]
-        parts += [
-            primary_key_violations(table, spec),
-            row_violations(table, spec),
-            unique_violations(table, spec),
-            foreign_key_violations(tables, spec),
-        ]
-    return union_all(parts)
+        own = [("primary_key", spec.primary_key), *[("unique", key) for key in spec.unique]]
+        for kind, columns in own:
+            keys[name].append((len(rules), columns, False))
+            rules.append((len(rules), name, kind, ",".join(columns)))
+        for fk in spec.foreign_keys:
+            keys[name].append((len(rules), fk.columns, False))
+            keys.setdefault(fk.parent, []).append((len(rules), fk.parent_columns, True))
+            rules.append((len(rules), name, "foreign_key", fk.name))
+    unfolded = []
+    for name, listed in keys.items():
+        if listed:
+            entries = ", ".join(
+                f"struct({rule} AS rule_no, array({', '.join(f'CAST({c} AS STRING)' for c in columns)})"
+                f" AS parts, {str(parent).lower()} AS parent)"
+                for rule, columns, parent in listed
+            )
+            unfolded.append(tables[name].selectExpr(f"inline(array({entries}))"))
+    counted = union_all(unfolded).groupBy("rule_no", "parts").agg(
+        F.count_if(~F.col("parent")).alias("row_count"), F.max("parent").alias("parent")
+    )
+    spark = next(iter(tables.values())).sparkSession
+    # As many rows as the model has key rules.
+    named = spark.createDataFrame(rules, "rule_no int, table_name string, kind string, rule string")
+    holes = F.exists("parts", F.isnull)
+    broken = (
+        F.when(F.col("kind") == "primary_key", (F.col("row_count") > 1) | holes)
+        .when(F.col("kind") == "unique", (F.col("row_count") > 1) & ~holes)
+        .otherwise((F.col("row_count") > 0) & ~holes & ~F.col("parent"))
+    )
+    key = F.concat_ws("|", F.transform("parts", lambda part: F.coalesce(part, F.lit("NULL"))))
+    by_key = counted.join(F.broadcast(named), "rule_no").where(broken)
+    report = by_key.select("table_name", "kind", "rule", key.alias("key"), "row_count")
+    return union_all([report, *[row_violations(tables[n], s) for n, s in specs.items()]])
 
 
 def schema_drift(

@@ -21,9 +21,14 @@ def derived(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
-def build(spark: SparkSession, folder: str, size: int = DEFAULT_SIZE) -> dict[str, DataFrame]:
-    """Write the six tables to ``folder``, replacing what is there, and return them."""
-    write_tables(derived(all_tables(spark, size)), folder)
+def build(
+    spark: SparkSession, folder: str, size: int = DEFAULT_SIZE, **bounds: int
+) -> dict[str, DataFrame]:
+    """Write the six tables to ``folder``, replacing what is there, and return them.
+
+    ``bounds`` are those of ``all_tables``.
+    """
+    write_tables(derived(all_tables(spark, size, **bounds)), folder)
     return read_tables(spark, folder)
 
 

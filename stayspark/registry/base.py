@@ -44,14 +44,19 @@ def bookings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rooms(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items as rooms.  Line numbers repeat, so the room number is the whole line."""
+    """Line items as rooms.  Line numbers repeat, so the room number is the whole line.
+
+    It is one number, which orders as the columns do and stays in hash aggregation: 3 digits of line
+    number, 11 each of part and supplier, 13 of cents.
+    """
     priced = read(spark, folder, "lineitem").withColumn(
         "Price", minor_units(F.col("l_extendedprice"))
     )
-    return priced.selectExpr(
-        "l_orderkey AS BookingBookingID",
-        "Price",
-        "struct(l_linenumber, l_partkey, l_suppkey, Price) AS Room_number",
+    parts = [("l_linenumber", 3), ("l_partkey", 11), ("l_suppkey", 11), ("Price", 13)]
+    digits = [F.lpad(F.col(c).cast("string"), n, "0") for c, n in parts]
+    number = F.concat(*digits).cast("decimal(38,0)")
+    return priced.select(
+        F.col("l_orderkey").alias("BookingBookingID"), "Price", number.alias("Room_number")
     )
 
 

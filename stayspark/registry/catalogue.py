@@ -86,6 +86,35 @@ def doc_insert(spark: SparkSession, folder: str) -> DataFrame:
     return catalogue.project(docs, ["k", "ID"])
 
 
+@query("SELECT 0 AS documents, count(*) AS cleared FROM events")
+def doc_clear(spark: SparkSession, folder: str) -> DataFrame:
+    """Delete all documents."""
+    docs = _event_docs(spark, folder)
+    left = catalogue.count(catalogue.clear(docs)).select(F.col("documents").cast("int"))
+    return left.crossJoin(catalogue.count(docs).toDF("cleared"))  # one row each
+
+
+@query(
+    """SELECT kind, count(*) AS documents FROM (
+  SELECT CASE WHEN c_acctbal < 0 THEN 'VOID' WHEN c_custkey % 3 = 0 THEN 'STRING'
+    WHEN c_custkey % 3 = 1 THEN 'BIGINT' ELSE 'BOOLEAN' END AS kind FROM customer) GROUP BY kind"""
+)
+def doc_value_types(spark: SparkSession, folder: str) -> DataFrame:
+    """The types that one field of the documents has; they differ from document to document."""
+    number = F.col("c_custkey")
+    value = (
+        F.when(F.col("c_acctbal") < 0, "null")
+        .when(number % 3 == 0, F.concat(F.lit('"'), number.cast("string"), F.lit('"')))
+        .when(number % 3 == 1, number.cast("string"))
+        .otherwise("true")
+    )
+    text = F.concat(F.lit('{"X": '), value, F.lit("}"))
+    docs = catalogue.collection(
+        read(spark, folder, "customer").withColumn("text", text), "text", "c_custkey"
+    )
+    return catalogue.field_types(docs, "X").groupBy("kind").agg(F.count(F.lit(1)).alias("documents"))
+
+
 _FIRST = (
     _HOTELS
     + """, victims AS (

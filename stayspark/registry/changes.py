@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stayspark.model import Check, ForeignKey, TableSpec
 from stayspark.operators import changes
 from stayspark.operators.catalogue import field
+from stayspark.plans import edit
 from stayspark.registry.base import query, read
 
 _NATION = ForeignKey(("s_nationkey",), "nation", ("n_nationkey",))
@@ -97,10 +98,28 @@ def apply_insert_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return _insert(spark, folder).rejected.select("event_id", "s_suppkey", "reason")
 
 
-@query()
+# Whether a row gets in depends on all earlier rows: the recursion carries the users and seats that
+# are taken and goes on with the earliest event that is free of both.
+@query(
+    """
+WITH RECURSIVE b AS (
+  SELECT event_id, user_id AS claim_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS seat
+  FROM events),
+s AS (
+  SELECT event_id, claim_id, seat, [claim_id] AS users, [seat] AS seats FROM b
+  WHERE event_id = (SELECT min(event_id) FROM b)
+  UNION ALL
+  SELECT n.event_id, n.claim_id, n.seat, list_append(n.users, n.claim_id), list_append(n.seats, n.seat)
+  FROM (
+    SELECT min(b.event_id) AS event_id, arg_min(b.claim_id, b.event_id) AS claim_id,
+      arg_min(b.seat, b.event_id) AS seat, any_value(s.users) AS users, any_value(s.seats) AS seats
+    FROM s JOIN b ON b.event_id > s.event_id
+      AND NOT list_contains(s.users, b.claim_id) AND NOT list_contains(s.seats, b.seat)
+  ) n WHERE n.event_id IS NOT NULL)
+SELECT claim_id, seat FROM s"""
+)
 def apply_insert_two_keys(spark: SparkSession, folder: str) -> DataFrame:
-    """Every event claims a seat for its user; user and seat are unique.  Whether a row gets in
-    depends on all earlier rows, which plain SQL cannot say; tests compare it with a loop."""
+    """Every event claims a seat for its user; user and seat are unique."""
     batch = _events(spark, folder).select(
         F.col("user_id").alias("claim_id"), _event_number().alias("seat"), "event_id"
     )
@@ -154,6 +173,85 @@ def apply_update_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return _moves(spark, folder).rejected
 
 
+@query(
+    _MOVES
+    + """, known AS (
+  SELECT m.*, EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = m.c_custkey) AS known FROM marked m)
+SELECT event_id, c_custkey, reason, CASE
+  WHEN reason IS NOT NULL THEN 'rejected'
+  WHEN NOT known THEN 'unknown key'
+  WHEN event_id < max(event_id) FILTER (reason IS NULL) OVER (PARTITION BY c_custkey) THEN 'superseded'
+  ELSE 'accepted' END AS outcome
+FROM known"""
+)
+def apply_update_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """What became of every request; users beyond the customers are unknown, most come several times."""
+    return _moves(spark, folder).outcomes
+
+
+# Edits as typed text: key and value may not parse, may break a rule, or name no customer.
+_EDITS = """
+WITH raw AS (
+  SELECT event_id, CASE event_type WHEN 'error' THEN 'no ' ELSE ' ' END || user_id || ' ' AS key,
+    CASE event_type WHEN 'view' THEN json_extract_string(props, '$.k') || '.5'
+      ELSE json_extract_string(props, '$.k') || chr(9) END AS value
+  FROM events),
+typed AS (
+  SELECT *, TRY_CAST(regexp_replace(key, '^ | $', '', 'g') AS BIGINT) AS c_custkey,
+    CASE WHEN value NOT LIKE '%.5' THEN CAST(replace(value, chr(9), '') AS INTEGER) END AS n FROM raw),
+marked AS (
+  SELECT t.*, c.c_custkey IS NOT NULL AS known, CASE
+    WHEN n NOT IN (SELECT n_nationkey FROM nation) THEN 'foreign_key c_nationkey->nation'
+    WHEN NOT coalesce(c.c_acctbal >= 10 * n, TRUE) THEN 'check c_reserve' END AS reason
+  FROM typed t LEFT JOIN customer c USING (c_custkey) WHERE t.c_custkey IS NOT NULL AND n IS NOT NULL)
+"""
+
+
+def _edits(spark: SparkSession, folder: str) -> edit.Edited:
+    kind, number = F.col("event_type"), _event_number().cast("string")
+    raw = _events(spark, folder).select(
+        "event_id",
+        F.concat(
+            F.when(kind == "error", "no ").otherwise(" "), F.col("user_id").cast("string"), F.lit(" ")
+        ).alias("key"),
+        F.concat(number, F.when(kind == "view", ".5").otherwise("\t")).alias("value"),
+    )
+    parents = {"nation": read(spark, folder, "nation")}
+    customers = read(spark, folder, "customer")
+    return edit.edit_rows(customers, raw, CUSTOMER, "c_nationkey", "int", "event_id", parents)
+
+
+@query(
+    _EDITS
+    + """SELECT c_custkey, c_name, coalesce(n, c_nationkey) AS c_nationkey FROM customer LEFT JOIN (
+  SELECT c_custkey, arg_max(n, event_id) AS n FROM marked WHERE reason IS NULL GROUP BY c_custkey)
+USING (c_custkey)"""
+)
+def typed_edit(spark: SparkSession, folder: str) -> DataFrame:
+    return _edits(spark, folder).table.select("c_custkey", "c_name", "c_nationkey")
+
+
+@query(
+    _EDITS
+    + """SELECT event_id, 'key' AS column_name, key AS raw, 'expected int' AS reason
+FROM typed WHERE c_custkey IS NULL
+UNION ALL SELECT event_id, 'value', value, 'expected int' FROM typed WHERE n IS NULL"""
+)
+def typed_edit_unparsed(spark: SparkSession, folder: str) -> DataFrame:
+    return _edits(spark, folder).unparsed.select("event_id", "column_name", "raw", "reason")
+
+
+@query(
+    _EDITS
+    + """SELECT event_id, c_custkey, reason, CASE WHEN reason IS NOT NULL THEN 'rejected'
+  WHEN NOT known THEN 'unknown key'
+  WHEN event_id < max(event_id) FILTER (reason IS NULL) OVER (PARTITION BY c_custkey) THEN 'superseded'
+  ELSE 'accepted' END AS outcome FROM marked"""
+)
+def typed_edit_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    return _edits(spark, folder).outcomes
+
+
 # Updates by a column many rows share: every supplier sets the balance of its nation's customers.
 @query(
     """WITH last AS (
@@ -188,13 +286,21 @@ def apply_null(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT event_id, user_id AS c_custkey, 'not_null c_name' AS reason FROM events")
 def apply_null_rejects(spark: SparkSession, folder: str) -> DataFrame:
-    """A required column cannot be blanked: every request comes back."""
+    """A required column cannot be blanked: every request comes back, whoever it names."""
     keys = read(spark, folder, "events").select("event_id", F.col("user_id").alias("c_custkey"))
     return changes.null_values(
         read(spark, folder, "customer"), keys, CUSTOMER, "c_custkey", "c_name", "event_id"
     ).rejected.select("event_id", "c_custkey", "reason")
 
 
+def _delete_by_customer(spark: SparkSession, folder: str) -> changes.Applied:
+    """Delete all orders of every customer with events, unless one of them is referenced."""
+    orders = read(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    keys = read(spark, folder, "events").select(F.col("user_id").alias("o_custkey"))
+    children = [(read(spark, folder, "supplier"), "s_suppkey")]
+    return changes.delete_rows(orders, keys, ORDERS, "o_custkey", children)
+
+
 # Deletes: cancelled orders go, unless a line item still points at them.
 def _delete_cancelled(spark: SparkSession, folder: str) -> changes.Applied:
     orders = read(spark, folder, "orders")
@@ -219,6 +325,19 @@ def apply_delete_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return _delete_cancelled(spark, folder).rejected
 
 
+@query(
+    """WITH asked AS (SELECT user_id AS o_custkey, count(*) AS requests FROM events GROUP BY user_id)
+SELECT o_custkey, requests, CASE WHEN blocked THEN 'rejected' WHEN known THEN 'accepted' ELSE 'unknown key' END
+  AS outcome, CASE WHEN blocked THEN 'referenced' END AS reason
+FROM (
+  SELECT *, o_custkey IN (SELECT o_custkey FROM orders) AS known, o_custkey IN (
+    SELECT o_custkey FROM orders WHERE o_orderkey IN (SELECT s_suppkey FROM supplier)) AS blocked
+  FROM asked)"""
+)
+def apply_delete_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    return _delete_by_customer(spark, folder).outcomes
+
+
 @query(
     """SELECT o_orderkey, o_custkey FROM orders
 WHERE NOT (o_custkey IN (SELECT user_id FROM events)
@@ -226,8 +345,4 @@ WHERE NOT (o_custkey IN (SELECT user_id FROM events)
     SELECT o_custkey FROM orders WHERE o_orderkey IN (SELECT s_suppkey FROM supplier)))"""
 )
 def apply_delete_by_column(spark: SparkSession, folder: str) -> DataFrame:
-    """Delete all orders of every customer with events, unless one of them is referenced."""
-    orders = read(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    keys = read(spark, folder, "events").select(F.col("user_id").alias("o_custkey"))
-    children = [(read(spark, folder, "supplier"), "s_suppkey")]
-    return changes.delete_rows(orders, keys, ORDERS, "o_custkey", children).table
+    return _delete_by_customer(spark, folder).table

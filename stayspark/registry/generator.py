@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayspark.operators import billing
-from stayspark.operators.lookup import value_types
+from stayspark.operators.lookup import same_content, value_types
+from stayspark.operators.unions import union_all
 from stayspark.plans import revenue
 from stayspark.registry.base import query, read, sql_percent
 from stayspark.sources import generator as gen
 from stayspark.sources.sample import sample_table
 
-# Above every primary room number this many rows could produce.
+# Any number of orders stays below this; the customers who book are those of the published data set.
 SECOND_ROOMS = 1_000_000_000_000
+CUSTOMERS = gen.DEFAULT_SIZE + gen.HAND_CUSTOMERS
 
 
 def _rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,6 +33,7 @@ def _pick(values: tuple, index: str) -> str:
     return f"list_extract([{listed}], CAST({index} AS BIGINT) + 1)"
 
 
+# The same arithmetic as SQL, written out so that it checks the operator.
 _BASE = f"""
 WITH numbered AS (SELECT o_orderkey + 1 AS n FROM orders),
 hashed AS (
@@ -51,7 +54,7 @@ booking AS (
     CAST(1 + (h // 1000) % 14 AS INTEGER) AS "Duration",
     CAST(1 + (h2 // 3) % 4 AS INTEGER) AS "Number_of_guests",
     CAST((h2 // 11) % 2 AS INTEGER) AS "Meal",
-    1001 + h2 % 250 AS "CustomerCustomerID", hid AS "HotelHotelID" FROM g),
+    1001 + h2 % {CUSTOMERS} AS "CustomerCustomerID", hid AS "HotelHotelID" FROM g),
 room AS (
   SELECT 10000 + n AS "Room_number", {_pick(gen.ROOM_TYPES, "(h2 // 17) % 4")} AS "Room_type",
     CAST(base_price - 20 + (h // 41) % 41 AS BIGINT) AS "Price", hid AS "HotelHotelID",
@@ -88,7 +91,7 @@ def gen_customers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_BASE + "SELECT * FROM booking")
 def gen_bookings(spark: SparkSession, folder: str) -> DataFrame:
-    return billing.with_nights(gen.bookings(_rows(spark, folder)))
+    return billing.with_nights(gen.bookings(_rows(spark, folder), CUSTOMERS))
 
 
 @query(_BASE + "SELECT * FROM room")
@@ -105,7 +108,7 @@ def gen_rooms(spark: SparkSession, folder: str) -> DataFrame:
 FROM g JOIN booking ON "BookingID" = 1000010 + n LEFT JOIN amount USING ("BookingID")"""
 )
 def gen_invoices(spark: SparkSession, folder: str) -> DataFrame:
-    bookings = billing.with_nights(gen.bookings(_rows(spark, folder)))
+    bookings = billing.with_nights(gen.bookings(_rows(spark, folder), CUSTOMERS))
     return billing.with_amounts(
         gen.invoices(_rows(spark, folder)), bookings, _rooms(spark, folder)
     )
@@ -139,7 +142,7 @@ FROM hotel LEFT JOIN rated ON hid = hotel_id"""
 )
 def gen_revenue_at_risk(spark: SparkSession, folder: str) -> DataFrame:
     rows = _rows(spark, folder)
-    bookings = billing.with_nights(gen.bookings(rows))
+    bookings = billing.with_nights(gen.bookings(rows, CUSTOMERS))
     invoices = billing.with_amounts(gen.invoices(rows), bookings, _rooms(spark, folder))
     risk = revenue.hotel_revenue_at_risk(
         sample_table(spark, "Hotel"), bookings, invoices, gen.feedback(rows)
@@ -159,3 +162,28 @@ def gen_hash_bounds(spark: SparkSession, folder: str) -> DataFrame:
 @query(_BASE + "SELECT DISTINCT lower(typeof(h)) AS h, lower(typeof(h2)) AS h2 FROM hashed")
 def gen_hash_types(spark: SparkSession, folder: str) -> DataFrame:
     return value_types(_rows(spark, folder), "h", "h2")
+
+
+@query(
+    _BASE
+    + """SELECT 'Booking' AS table_name, count(*) AS row_count, TRUE AS same FROM booking
+UNION ALL SELECT 'Room', count(*), TRUE FROM room
+UNION ALL SELECT 'Feedback', count(*), TRUE FROM review"""
+)
+def gen_two_builds(spark: SparkSession, folder: str) -> DataFrame:
+    """Two builds, the second from rows dealt out otherwise, have the same content."""
+
+    def build(rows: DataFrame) -> dict[str, DataFrame]:
+        return {
+            "Booking": billing.with_nights(gen.bookings(rows, CUSTOMERS)),
+            "Room": gen.primary_rooms(rows).unionByName(gen.second_rooms(rows, SECOND_ROOMS)),
+            "Feedback": gen.feedback(rows),
+        }
+
+    numbers = read(spark, folder, "orders").select((F.col("o_orderkey") + 1).alias("n"))
+    first = build(gen.with_hashes(numbers))
+    second = build(gen.with_hashes(numbers.repartition(7, "n")))
+    return union_all(
+        same_content(first[name], second[name]).select(F.lit(name).alias("table_name"), "*")
+        for name in first
+    )

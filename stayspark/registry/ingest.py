@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stayspark.operators.ingest import Ingested, typed_ingest
 from stayspark.registry.base import query, read
 
+LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 KINDS = {"quantity": "int", "cancelled": "bool", "ship_day": "date", "note": "str"}
 
 
@@ -15,8 +16,9 @@ def _ingest(spark: SparkSession, folder: str) -> Ingested:
     unit = F.when(F.col("l_linestatus") == "O", " ").otherwise(" pcs")
     flag = F.when(F.col("l_returnflag") == "R", "True").when(F.col("l_returnflag") == "A", " 0 ")
     shipped = F.col("l_shipdate").cast("date")
+    # No single column identifies a line.
     raw = read(spark, folder, "lineitem").select(
-        "l_orderkey",
+        F.concat_ws("/", *[F.col(c).cast("string") for c in LINE]).alias("line"),
         F.concat(F.lit(" "), F.col("l_quantity").cast("int").cast("string"), unit).alias("quantity"),
         flag.otherwise("no").alias("cancelled"),
         # The day runs past the end of some months.
@@ -28,12 +30,12 @@ def _ingest(spark: SparkSession, folder: str) -> Ingested:
         ).alias("ship_day"),
         F.concat(F.lit("  "), F.col("l_returnflag"), F.lit("  ")).alias("note"),
     )
-    return typed_ingest(raw, KINDS, "lineitem", "l_orderkey")
+    return typed_ingest(raw, KINDS, "lineitem", "line")
 
 
 _BASE = """
 WITH raw AS (
-  SELECT l_orderkey,
+  SELECT concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line,
     ' ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)
       || CASE WHEN l_linestatus = 'O' THEN ' ' ELSE ' pcs' END AS quantity,
     CASE l_returnflag WHEN 'R' THEN 'True' WHEN 'A' THEN ' 0 ' ELSE 'no' END AS cancelled,
@@ -52,7 +54,7 @@ typed AS (
 
 @query(
     _BASE
-    + """SELECT l_orderkey, q AS quantity, c AS cancelled, d AS ship_day, trim(note) AS note
+    + """SELECT line, q AS quantity, c AS cancelled, d AS ship_day, trim(note) AS note
 FROM typed WHERE q IS NOT NULL AND c IS NOT NULL AND d IS NOT NULL"""
 )
 def typed_ingest_clean(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,12 +63,12 @@ def typed_ingest_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     _BASE
-    + """SELECT 'lineitem' AS table_name, l_orderkey, 'quantity' AS column_name, quantity AS raw,
+    + """SELECT 'lineitem' AS table_name, line, 'quantity' AS column_name, quantity AS raw,
   'expected int' AS reason FROM typed WHERE q IS NULL
 UNION ALL
-SELECT 'lineitem', l_orderkey, 'cancelled', cancelled, 'expected bool' FROM typed WHERE c IS NULL
+SELECT 'lineitem', line, 'cancelled', cancelled, 'expected bool' FROM typed WHERE c IS NULL
 UNION ALL
-SELECT 'lineitem', l_orderkey, 'ship_day', ship_day, 'expected date' FROM typed WHERE d IS NULL"""
+SELECT 'lineitem', line, 'ship_day', ship_day, 'expected date' FROM typed WHERE d IS NULL"""
 )
 def typed_ingest_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return _ingest(spark, folder).rejects

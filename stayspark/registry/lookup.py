@@ -27,7 +27,12 @@ COLUMNS = {
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     ),
     "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
+    "documents": ("doc_id", "text", "lang", "source", "n_chars"),
+    "embeddings": ("vec_id", "embedding", "label"),
+    "pages": ("page_id", "url", "html"),
+    "benchmark": ("item_id", "text"),
     "labels": ("doc_id", "quality", "toxic"),
+    "conversations": ("conv_id", "turn", "role", "text"),
 }
 
 
@@ -44,7 +49,7 @@ WHERE o_custkey IN (SELECT user_id FROM events)"""
 def lookup_keys(spark: SparkSession, folder: str) -> DataFrame:
     orders = read(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     keys = read(spark, folder, "events").select("user_id")
-    return lookup.rows_with_keys(orders, "o_custkey", keys, ["o_orderkey"])
+    return lookup.rows_with_keys(orders, "o_custkey", keys)
 
 
 @query(
@@ -124,43 +129,74 @@ def table_profile(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# Tables whose columns are written as the same text by both engines.
-_FINGERPRINTED = {
-    "region": COLUMNS["region"],
-    "nation": COLUMNS["nation"],
-    "labels": COLUMNS["labels"],
-    "documents": ("doc_id", "text", "lang", "source", "n_chars"),
-    "conversations": ("conv_id", "turn", "role", "text"),
-    "pages": ("page_id", "url", "html"),
-}
+# Columns that the engines would write as different text.
+_DOUBLES = {
+    "c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "value",
+}
+_TIMES = {"o_orderdate", "l_shipdate", "ts"}
+
+
+def _double(value: str) -> str:
+    """A double as two whole numbers: multiples of 2**-20, and of 2**-52 what is left."""
+    shifted = f"{value} * 1048576"
+    rest = f"({shifted} - floor({shifted})) * 4294967296"
+    parts = [f"CAST(CAST(floor({part}) AS BIGINT) AS {{text}})" for part in (shifted, rest)]
+    return f"concat({parts[0]}, '.', {parts[1]})"
+
+
+def _cell(column: str, sql: bool) -> str:
+    """A column as text that holds its length, or a mark for NULL, in either engine."""
+    if column in _DOUBLES:
+        text = _double(column)
+    elif column in _TIMES:
+        day = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')" if sql else "date_format({}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
+        text = day.format(column)
+    elif column == "embedding":
+        item = _double("CAST(x AS DOUBLE)")
+        text = (
+            f"array_to_string(list_transform(embedding, lambda x: {item}), ',')"
+            if sql
+            else f"array_join(transform(embedding, x -> {item}), ',')"
+        )
+    else:
+        text = f"CAST({column} AS {{text}})"
+    text = text.replace("{text}", "VARCHAR" if sql else "STRING")
+    whole = f"concat('v', CAST(length({text}) AS {'VARCHAR' if sql else 'STRING'}), ':', {text})"
+    return f"CASE WHEN {column} IS NULL THEN 'n' ELSE {whole} END"
 
 
 def _fingerprint_sql(table: str, columns) -> str:
-    listed = ", ".join(f"CAST({c} AS VARCHAR)" for c in columns)
+    listed = ", ".join(_cell(c, sql=True) for c in columns)
     return f"""SELECT '{table}' AS table_name, count(*) AS row_count,
-  CAST(sum(CAST('0x' || substr(md5(concat_ws('|', {listed})), 1, 15) AS BIGINT)) AS DECIMAL(38,0))
+  CAST(sum(CAST('0x' || substr(md5(concat({listed})), 1, 15) AS BIGINT)) AS DECIMAL(38,0))
     AS content_sum FROM {table}"""
 
 
-@query("\nUNION ALL\n".join(_fingerprint_sql(t, c) for t, c in _FINGERPRINTED.items()))
+@query("\nUNION ALL\n".join(_fingerprint_sql(t, c) for t, c in COLUMNS.items()))
 def table_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    """Content sums of all given tables, by a digest that every engine has."""
     parts = []
-    for name, columns in _FINGERPRINTED.items():
-        text = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
-        # A digest every engine has; the default row hash is faster.
+    for name, columns in COLUMNS.items():
+        text = F.concat(*[F.expr(_cell(c, sql=False)) for c in columns])
         digest = F.conv(F.substring(F.md5(text), 1, 15), 16, 10)
         part = lookup.fingerprint(read(spark, folder, name), digest)
         parts.append(part.select(F.lit(name).alias("table_name"), "*"))
     return union_all(parts)
 
 
-@query()
+@query(
+    "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS table_name, count(*) AS row_count, TRUE AS same FROM {t}" for t in COLUMNS
+    )
+)
 def table_fingerprint_fast(spark: SparkSession, folder: str) -> DataFrame:
-    """The default fingerprint; its hash function exists in Spark only."""
-    parts = [
-        lookup.fingerprint(read(spark, folder, n)).select(F.lit(n).alias("table_name"), "*")
-        for n in COLUMNS
-    ]
+    """The default hash exists in Spark only: every table against itself, dealt out otherwise."""
+    parts = []
+    for name in COLUMNS:
+        table = read(spark, folder, name)
+        same = lookup.same_content(table, table.repartition(5))
+        parts.append(same.select(F.lit(name).alias("table_name"), "*"))
     return union_all(parts)
 
 

@@ -50,6 +50,7 @@ HASH_MODULUS = 4294967291
 # The first key of every generated table is one past these.
 CUSTOMER_BASE, BOOKING_BASE, INVOICE_BASE, FEEDBACK_BASE = 1010, 1000010, 3000, 1000
 ROOM_BASE, FIRST_CUSTOMER, FIRST_HOTEL, HAND_CUSTOMERS = 10000, 1001, 4001, 10
+SECOND_ROOM_BASE = 20000
 FIRST_ARRIVAL = date(2023, 1, 1)
 
 DEFAULT_SIZE = 240
@@ -145,7 +146,8 @@ def customers(rows: DataFrame) -> DataFrame:
     )
 
 
-def bookings(rows: DataFrame, customer_count: int = DEFAULT_SIZE + HAND_CUSTOMERS) -> DataFrame:
+def bookings(rows: DataFrame, customer_count: int) -> DataFrame:
+    """``customer_count`` customers, from the first one on, are there to book."""
     return _as_table(
         rows,
         "Booking",
@@ -177,8 +179,12 @@ def primary_rooms(rows: DataFrame) -> DataFrame:
     return _rooms(rows, ROOM_BASE, "h", "h2")
 
 
-def second_rooms(rows: DataFrame, base: int = 2 * ROOM_BASE) -> DataFrame:
-    """A second room for about one booking in five."""
+def second_rooms(rows: DataFrame, base: int = SECOND_ROOM_BASE) -> DataFrame:
+    """A second room for about one booking in five.
+
+    The numbers start past ``base``, which must lie beyond the primary rooms' and does not follow from
+    how many rows there are: a larger build holds every row of a smaller one.
+    """
     return _rooms(rows.where(_digits("h2", 23, 5) == 0), base, "h2", "h")
 
 
@@ -209,11 +215,6 @@ def feedback(rows: DataFrame) -> DataFrame:
     )
 
 
-def second_room_base(size: int) -> int:
-    """Where second-room numbers start, clear of the primary ones at any size."""
-    return 2 * ROOM_BASE if size <= ROOM_BASE else ROOM_BASE + size
-
-
 def hash_bounds(rows: DataFrame) -> DataFrame:
     """Smallest and largest hash: whole numbers below the modulus show that nothing overflowed."""
     return with_hashes(rows).agg(

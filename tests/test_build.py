@@ -57,13 +57,30 @@ def test_hash_bounds(spark):
     assert 0 <= row.h2_min < row.h2_max < generator.HASH_MODULUS
 
 
-@pytest.mark.parametrize("size", [0, 17, 12_000])
-def test_rules_hold_at_other_sizes(spark, size):
-    frames = build.derived(stored.all_tables(spark, size))
+@pytest.mark.parametrize("size,bounds", [
+    (0, {"customer_count": 10}), (17, {"customer_count": 27}), (10_000, {}), (10_001, {"second_room_base": 10**9}),
+])
+def test_rules_hold_at_other_sizes(spark, size, bounds):
+    frames = build.derived(stored.all_tables(spark, size, **bounds))
     assert quality.violations(frames, TABLES).count() == 0
     assert frames["Booking"].count() == 10 + size
 
 
+def test_a_larger_build_holds_the_smaller(spark):
+    bounds = {"second_room_base": 10**9}
+    small, large = (stored.all_tables(spark, n, **bounds) for n in (10_000, 10_001))
+    for name in TABLES:
+        assert small[name].exceptAll(large[name]).count() == 0
+        assert large[name].count() - small[name].count() in (0, 1, 2)
+
+
+def test_overlapping_rooms_and_missing_customers_raise(spark):
+    with pytest.raises(ValueError):
+        stored.all_tables(spark, 10_001)
+    with pytest.raises(ValueError):
+        stored.all_tables(spark, 239)
+
+
 def test_stored_tables(spark, tables, tmp_path):
     source, target = str(tmp_path / "a"), str(tmp_path / "b")
     written = build.build(spark, source)

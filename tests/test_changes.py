@@ -8,18 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from stayspark.model import BOOKING, CUSTOMER, FEEDBACK, HOTEL, INVOICE, ROOM, Check, TableSpec
-from stayspark.operators import changes, joins
+from stayspark.operators import changes
 from stayspark.operators.billing import with_nights
+from stayspark.plans import edit
 from stayspark.plans.create import create_rows
 from stayspark.session import durable
 
 
-@pytest.fixture
-def small_pieces(monkeypatch):
-    monkeypatch.setattr(joins, "FLOOR", 3)
-    monkeypatch.setattr(joins, "PIECES", 20)
-
-
 def batch(spark, spec, rows):
     frame = spark.createDataFrame(rows, spec.schema)
     return frame.withColumn("seq", F.col(spec.primary_key[0]))
@@ -33,6 +28,7 @@ def reasons(applied, key):
     return {r[key]: r.reason for r in applied.rejected.collect()}
 
 
+# The published cases below use these keys and texts.
 def booking(key, arrival, checkout, customer=1001, hotel=4001):
     return (key, arrival, checkout, 0, None, 2, 0, customer, hotel)
 
@@ -120,7 +116,7 @@ def test_review_insert_then_delete(spark, tables):
     after = insert(spark, tables, FEEDBACK, [row]).table
     assert after.count() == 153
     key = spark.createDataFrame([(111,)], "FeedbackID bigint")
-    assert changes.delete_rows(after, key, FEEDBACK, "FeedbackID").table.count() == 152
+    assert changes.delete_rows(after, key, FEEDBACK, "FeedbackID", []).table.count() == 152
 
 
 def test_arity_and_names(spark, tables):
@@ -134,6 +130,51 @@ def test_arity_and_names(spark, tables):
         changes.update_rows(tables["Hotel"], frame, HOTEL, "HotelID", "Nope", "seq")
 
 
+def test_types_must_be_the_tables(spark, tables):
+    wrong = tables["Hotel"].limit(1).withColumn("HotelID", F.lit(1.5)).withColumn("seq", F.lit(1))
+    with pytest.raises(ValueError):
+        changes.insert_rows(tables["Hotel"], wrong, HOTEL, "seq")
+    ask = spark.createDataFrame([(1, 1001, 5)], "seq bigint, CustomerID bigint, value bigint")
+    with pytest.raises(ValueError):
+        changes.update_rows(tables["Customer"], ask, CUSTOMER, "CustomerID", "Last_name", "seq")
+
+
+def test_every_change_has_one_outcome(spark):
+    frame = spark.createDataFrame([(1, 0, 1, 9), (2, 0, 2, 9)], "id int, grp int, low int, high int")
+    asks = [(1, 1, 3), (2, 1, 4), (3, None, 5), (4, 99, 6), (5, 2, -1), (6, 2, 50), (7, 1, 20), (8, 99, -2)]
+    ask = spark.createDataFrame(asks, "seq int, id int, value int")
+    got = changes.update_rows(frame, ask, SHELF, "id", "low", "seq")
+    outcomes = {r.seq: (r.outcome, r.reason) for r in got.outcomes.collect()}
+    assert outcomes == {
+        1: ("superseded", None), 2: ("accepted", None), 3: ("rejected", "not_null id"), 4: ("unknown key", None),
+        5: ("rejected", "check low_positive"), 6: ("rejected", "check low_below_high"),
+        7: ("rejected", "check low_below_high"), 8: ("rejected", "check low_positive"),
+    }
+    assert [r.seq for r in got.accepted.collect()] == [2] and got.outcomes.count() == len(asks)
+    assert {r.seq for r in got.rejected.collect()} == {3, 5, 6, 7, 8}
+    keys = spark.createDataFrame([(1,), (1,), (None,), (7,), (2,)], "id int")
+    child = [(spark.createDataFrame([(2,)], "ref int"), "ref")]
+    gone = changes.delete_rows(frame, keys, SHELF, "id", child).outcomes.collect()
+    assert {(r.id, r.outcome, r.reason, r.requests) for r in gone} == {
+        (1, "accepted", None, 2), (None, "rejected", "not_null id", 1), (7, "unknown key", None, 1),
+        (2, "rejected", "referenced", 1),
+    }
+
+
+def test_a_chain_stores_one_result_a_round(spark, monkeypatch):
+    """Each row is blocked by the one before it, unless that one is blocked itself."""
+    stored = []
+    monkeypatch.setattr(changes, "durable", lambda df: stored.append(1) or durable(df))
+    rows = [(1 + i // 2, 1 + (i + 1) // 2, i) for i in range(30)]
+    spec = TableSpec("t", ("a",), unique=(("b",),))
+    chain = spark.createDataFrame(rows, "a bigint, b bigint, seq bigint")
+    empty = spark.createDataFrame([], "a bigint, b bigint")
+    got = changes.insert_rows(empty, chain, spec, "seq")
+    assert {tuple(r) for r in got.accepted.collect()} == {r[:2] for r in rows[::2]}
+    assert len(stored) <= 2 + 15 + 1
+    assert {r.outcome for r in got.outcomes.collect()} == {"accepted", "rejected"}
+
+
 def test_hostile_text_is_data(spark, tables):
     text = "Smith'); DROP TABLE Hotel;--"
     ask = spark.createDataFrame([(1, 1001, text)], "seq bigint, CustomerID bigint, value string")
@@ -185,12 +226,17 @@ def test_primary_key_update_and_reference(spark, tables):
     ask = spark.createDataFrame(
         [(1, 4001, 5001), (2, 4002, 4003)], "seq bigint, HotelID bigint, value bigint"
     )
-    children = [(tables["Booking"], "HotelHotelID")]
+    children = [(tables[n], "HotelHotelID") for n in ("Booking", "Room", "Feedback")]
     kept = changes.update_rows(
         tables["Hotel"], ask, HOTEL, "HotelID", "HotelID", "seq", children=children
     )
     assert {r.reason for r in kept.rejected.collect()} == {"referenced"}
-    free = changes.update_rows(tables["Hotel"], ask, HOTEL, "HotelID", "HotelID", "seq")
+    none = [(child.limit(0), column) for child, column in children]
+    free = changes.update_rows(
+        tables["Hotel"], ask, HOTEL, "HotelID", "HotelID", "seq", children=none
+    )
+    with pytest.raises(ValueError):
+        changes.update_rows(tables["Hotel"], ask, HOTEL, "HotelID", "HotelID", "seq")
     assert {r.seq: r.reason for r in free.rejected.collect()} == {2: "duplicate HotelID"}
     assert {r.HotelID for r in free.table.collect()} == {5001, *range(4002, 4011)}
 
@@ -201,12 +247,14 @@ def test_null_and_delete(spark, tables):
     assert blank.table.where("Contact IS NULL").count() == 1
     refused = changes.null_values(tables["Hotel"], keys, HOTEL, "HotelID", "Name", "seq")
     assert refused.rejected.count() == 2 and refused.table.where("Name IS NULL").count() == 0
-    children = [(tables["Booking"], "HotelHotelID"), (tables["Room"], "HotelHotelID")]
+    children = [(tables[n], "HotelHotelID") for n in ("Booking", "Room", "Feedback")]
+    with pytest.raises(ValueError):
+        changes.delete_rows(tables["Hotel"], keys.select("HotelID"), HOTEL, "HotelID", children[:2])
     gone = changes.delete_rows(tables["Hotel"], keys.select("HotelID"), HOTEL, "HotelID", children)
     assert gone.table.count() == 10
     assert [r.reason for r in gone.rejected.collect()] == ["referenced"]
     rooms = spark.createDataFrame([("Studio",)], "Room_type string")
-    fewer = changes.delete_rows(tables["Room"], rooms, ROOM, "Room_type")
+    fewer = changes.delete_rows(tables["Room"], rooms, ROOM, "Room_type", [])
     assert fewer.table.count() == tables["Room"].where("Room_type <> 'Studio'").count()
 
 
@@ -236,6 +284,35 @@ def test_create_rows_from_text(spark, tables):
     }
 
 
+def test_edits_as_text_equal_the_loop(spark):
+    frame = spark.createDataFrame([(i, 0, i % 4, 9) for i in range(8)], "id int, grp int, low int, high int")
+    rnd = random.Random(2)
+    keys, values = [" 3", "5 ", "x", "77", None, "1_0"], ["4", " 5\t", "oops", "-1", "30", None]
+    raw = [(s, rnd.choice(keys), rnd.choice(values)) for s in range(60)]
+    made = edit.edit_rows(
+        frame, spark.createDataFrame(raw, "seq int, key string, value string"), SHELF, "low", "int", "seq"
+    )
+    table, bad, want = {i: i % 4 for i in range(8)}, set(), {}
+    typed = {" 3": 3, "5 ": 5, "77": 77, "1_0": 10, None: None, "4": 4, " 5\t": 5, "-1": -1, "30": 30}
+    for seq, key, value in raw:
+        if key == "x" or value == "oops":
+            bad.add(seq)
+            continue
+        k, v = typed[key], typed[value]
+        if k is None or v is None or v < 0 or (k in table and v >= 9):
+            want[seq] = "rejected"
+        elif k not in table:
+            want[seq] = "unknown key"
+        else:
+            want = {s: "superseded" if w == ("accepted", k) else w for s, w in want.items()}
+            want[seq], table[k] = ("accepted", k), v
+    got = {r.seq: r.outcome for r in made.outcomes.collect()}
+    # Of several edits of an unknown key, all are unknown.
+    assert got == {s: w if isinstance(w, str) else w[0] for s, w in want.items()}
+    assert {r.seq for r in made.unparsed.collect()} == bad
+    assert {r.id: r.low for r in made.table.collect()} == table
+
+
 # --- against a loop ---------------------------------------------------------------------------
 
 TWO_KEYS = TableSpec("claim", ("a",), unique=(("b",), ("c", "d")))
@@ -259,7 +336,7 @@ def one_by_one(existing, rows):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_insert_with_several_keys_equals_the_loop(spark, small_pieces, seed):
+def test_insert_with_several_keys_equals_the_loop(spark, seed):
     rnd = random.Random(seed)
 
     def value(top):
@@ -304,7 +381,7 @@ SHELF = TableSpec(
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_updates_equal_the_loop(spark, small_pieces, seed):
+def test_updates_equal_the_loop(spark, seed):
     rnd = random.Random(seed)
     table = {i: [i, rnd.randint(0, 4), rnd.randint(0, 5), rnd.choice([None, 5, 9])] for i in range(30)}
     asks = [
@@ -328,7 +405,7 @@ def test_updates_equal_the_loop(spark, small_pieces, seed):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_updates_by_another_column(spark, small_pieces, seed):
+def test_updates_by_another_column(spark, seed):
     """Group 0 holds a third of the rows; the last locally valid change of a group is the one
     tested, and any row that would fail refuses it."""
     rnd = random.Random(seed)
@@ -353,7 +430,7 @@ def test_updates_by_another_column(spark, small_pieces, seed):
     assert {r.seq for r in got.rejected.collect()} == refused
 
 
-def test_delete_by_column_refuses_whole_keys(spark, small_pieces):
+def test_delete_by_column_refuses_whole_keys(spark):
     frame = spark.range(30).select("id", (F.col("id") % 4).alias("grp"))
     children = [(spark.createDataFrame([(5,), (None,)], "ref bigint"), "ref")]
     keys = spark.createDataFrame([(1,), (2,), (2,), (9,)], "grp bigint")

@@ -6,15 +6,12 @@ import pytest
 from oracle import difference, duck
 
 import __spark_entry__ as contract
-from stayspark.operators import joins
 from stayspark.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 
 # The queries of the optional subpackage have their own tests.
-# Hash function of Spark only; greedy choice that depends on all earlier rows.
-ROWS_ONLY = {"table_fingerprint_fast", "apply_insert_two_keys"}
 
 
 @pytest.fixture(scope="module")
@@ -23,8 +20,7 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
-    assert set(ORACLES) <= set(QUERIES) <= set(contract.queries())
+    assert set(ORACLES) == set(QUERIES) <= set(contract.queries())
     assert set(ORACLES) <= set(contract.oracle_sql()) <= set(contract.queries())
 
 
@@ -33,21 +29,6 @@ def test_query_equals_sql(spark, db, name):
     assert difference(db, ORACLES[name], QUERIES[name](spark, FOLDER)) is None
 
 
-# The queries that join rows on a key which may be hot.
-SPLIT = [
-    "apply_delete_by_column", "apply_insert", "apply_insert_rejects", "apply_null", "apply_update",
-    "apply_update_by_column", "apply_update_rejects", "chronology_violations", "lookup_keys",
-    "orphan_order_rows",
-]
-
-
-@pytest.mark.parametrize("name", SPLIT)
-def test_query_equals_sql_with_split_keys(spark, db, monkeypatch, name):
-    monkeypatch.setattr(joins, "FLOOR", 4)
-    monkeypatch.setattr(joins, "PIECES", 200)
-    assert difference(db, ORACLES[name], QUERIES[name](spark, FOLDER)) is None
-
-
 def test_two_key_insert_equals_the_loop(spark, db):
     rows = db.execute(
         "SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) FROM events ORDER BY event_id"
@@ -62,12 +43,6 @@ def test_two_key_insert_equals_the_loop(spark, db):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
-def test_fast_fingerprint_sees_a_change(spark):
-    first = QUERIES["table_fingerprint_fast"](spark, FOLDER).collect()
-    assert sorted(first) == sorted(QUERIES["table_fingerprint_fast"](spark, FOLDER).collect())
-    assert len(first) == 9
-
-
 def test_entry(spark):
     frame = contract.entry(spark)
     assert frame.count() == 25
