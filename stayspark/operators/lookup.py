@@ -82,36 +82,40 @@ def _widened(kind: str) -> str:
 def profile(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Rows, NULLs and distinct values of every column of every table.
 
-    Columns of one type are unfolded to (column, value) and counted together, so there is one
-    shuffle per type rather than per column.  Equal values are folded before it, which makes hot
-    values harmless, and the second aggregation gives all three figures at once.
+    Each table is read once: its rows are unfolded to cells, a column's number and its value in the place of
+    its type, and all cells are counted together.  Equal values are folded before the shuffle, which makes
+    hot values harmless, and the second aggregation gives all three figures at once.
     """
-    names, cells = [], {}
+    kinds = sorted({_widened(kind) for table in tables.values() for _, kind in table.dtypes})
+    names, cells = [], []
     for table_name, table in tables.items():
-        by_kind: dict[str, list] = {}
+        unfolded = []
         for column, kind in table.dtypes:
-            cell = F.lit(len(names)), F.col(f"`{column}`").cast(_widened(kind))
-            by_kind.setdefault(_widened(kind), []).extend(cell)
+            places = [
+                (F.col(f"`{column}`") if k == _widened(kind) else F.lit(None)).cast(k).alias(f"v{i}")
+                for i, k in enumerate(kinds)
+            ]
+            unfolded.append(F.struct(F.lit(len(names)).alias("c"), *places))
             names.append((len(names), table_name, column))
-        for kind, pairs in by_kind.items():
-            unfolded = table.select(F.stack(F.lit(len(pairs) // 2), *pairs).alias("c", "v"))
-            cells[kind] = cells[kind].unionByName(unfolded) if kind in cells else unfolded
-    n = F.col("n")
-    figures = [
-        unfolded.groupBy("c", "v")
+        cells.append(table.select(F.inline(F.array(*unfolded))))
+    values = [f"v{i}" for i in range(len(kinds))]
+    n, missing = F.col("n"), F.coalesce(*[F.when(F.col(v).isNotNull(), False) for v in values], F.lit(True))
+    figures = (
+        union_all(cells)
+        .groupBy("c", *values)
         .agg(F.count(F.lit(1)).alias("n"))
+        .select("c", "n", missing.alias("missing"))
         .groupBy("c")
         .agg(
             F.sum(n).alias("row_count"),
-            F.sum(F.when(F.col("v").isNull(), n).otherwise(0)).alias("null_count"),
-            F.count("v").alias("distinct_count"),
+            F.sum(F.when(F.col("missing"), n).otherwise(0)).alias("null_count"),
+            F.count_if(~F.col("missing")).alias("distinct_count"),
         )
-        for unfolded in cells.values()
-    ]
+    )
     spark = next(iter(tables.values())).sparkSession
     columns = spark.createDataFrame(names, "c int, table_name string, column_name string")
     # A column of an empty table has no cell at all.
-    return columns.join(union_all(figures), "c", "left").select(
+    return columns.join(figures, "c", "left").select(
         "table_name",
         "column_name",
         *[F.coalesce(f, F.lit(0)).alias(f) for f in ("row_count", "null_count", "distinct_count")],
