@@ -6,7 +6,8 @@ one whose demand vector has the largest dot product with the sequence's remainin
 relative to its limit.  When nothing fits, the best piece is cut to the room that is left.
 
 Each task packs its own stretch of the input with a bounded pool of waiting pieces, so nothing is
-shuffled and no token waits for more than a pool.  Only a task's last sequence can end short.
+shuffled and no token waits for more than a pool.  A sequence that ends short, at another limit
+or at the end of a task, is cut into sequences of a power of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -43,13 +44,14 @@ class Packer:
     """Packs a stream of examples; ``done`` collects pieces of closed sequences.
 
     A piece is ``(example, start, length, loss, sequence, offset)``.  The first ``prompt`` tokens of
-    an example bear no loss, the others do.
+    an example bear no loss, the others do.  ``rest`` makes of an example the one that waits, given where
+    its waiting tokens start.
     """
 
-    def __init__(self, limits: Limits, first_sequence: int = 0):
+    def __init__(self, limits: Limits, first_sequence: int = 0, rest: Callable = lambda e, start: e):
         if min(limits.tokens, limits.segments, limits.loss, limits.pool) < 1:
             raise ValueError("every limit must be positive")
-        self.limits = limits
+        self.limits, self.rest = limits, rest
         self.sequence = first_sequence
         self.done: list[tuple] = []
         self.size = 0
@@ -63,10 +65,21 @@ class Packer:
         self.tokens, self.loss = self.limits.tokens, self.limits.loss
 
     def _close(self) -> None:
-        offset = 0
+        """End the sequence; one that is not full is cut into stretches of a power of two."""
+        total = sum(piece[2] for piece in self.held)
+        offset = room = 0
         for example, start, length, loss in self.held:
-            self.done.append((example, start, length, loss, self.sequence, offset))
-            offset += length
+            unpaid = length - loss  # the tokens before the first that bears loss
+            while length:
+                if not room:
+                    self.sequence += offset > 0
+                    full = total == self.limits.tokens
+                    offset, room = 0, total if full else 1 << (total.bit_length() - 1)
+                part = min(length, room)
+                free = min(unpaid, part)
+                self.done.append((example, start, part, part - free, self.sequence, offset))
+                start, length, unpaid = start + part, length - part, unpaid - free
+                offset, room, total = offset + part, room - part, total - part
         self.sequence += 1
         self._open()
 
@@ -92,29 +105,14 @@ class Packer:
             return
         at = self.size
         self.start[at], self.left[at], self.prompt[at] = start, tokens - start, prompt
-        self.example[at] = example
+        self.example[at] = self.rest(example, start)
         self.size += 1
         if self.size == len(self.example):
             self._fill(self.limits.pool)
 
     def finish(self) -> None:
-        """Place all that waits; what is left then is cut into stretches of a power of two."""
+        """Place all that waits."""
         self._fill(0)
-        held, self.held = self.held, []
-        total = sum(piece[2] for piece in held)
-        room = 0
-        for example, start, length, loss in held:
-            unpaid = length - loss  # the tokens before the first that bears loss
-            while length:
-                if not room:
-                    if self.held:
-                        self._close()
-                    room = 1 << (total.bit_length() - 1)
-                part = min(length, room)
-                free = min(unpaid, part)
-                self.held.append((example, start, part, part - free))
-                start, length, unpaid = start + part, length - part, unpaid - free
-                room, total = room - part, total - part
         if self.held:
             self._close()
 
@@ -153,19 +151,24 @@ def _pack(path: str, chunked: bool, end: int, limits: Limits) -> Callable:
 
     def rows(done: list[tuple]) -> pa.RecordBatch:
         columns: list[list] = [[] for _ in kinds]
-        for (key, ids), start, length, loss, sequence, offset in done:
-            piece = ids[start : start + length].tobytes()
+        for (key, ids, base, size), start, length, loss, sequence, offset in done:
+            piece = ids[start - base : start - base + length].tobytes()
             for column, value in zip(
-                columns, (key, start, length, len(ids), loss, sequence, offset, piece), strict=True
+                columns, (key, start, length, size, loss, sequence, offset, piece), strict=True
             ):
                 column.append(value)
         done.clear()
         arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
         return pa.record_batch(arrays, names)
 
+    def waiting(example: tuple, start: int) -> tuple:
+        """A waiting example holds a copy of the ids that wait, less than a sequence, and nothing else."""
+        key, ids, _, size = example
+        return key, ids[start:].copy(), start, size
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, chunked)
-        packer = Packer(limits, TaskContext.get().partitionId() << 40)
+        packer = Packer(limits, TaskContext.get().partitionId() << 40, waiting)
         for batch in batches:
             texts, prompts, keys = (batch.column(c) for c in ("text", "prompt", "doc_id"))
             for first, last in text_slices(texts):
@@ -177,9 +180,7 @@ def _pack(path: str, chunked: bool, end: int, limits: Limits) -> Callable:
                     own, head = ids[offsets[row] : offsets[row + 1]], int(prompt_sizes[row])
                     if head:
                         own = np.concatenate((before[starts[row] : starts[row + 1]], own))
-                    else:
-                        own = own.copy()  # a waiting piece holds its own ids only
-                    packer.add((key, own), len(own), head)
+                    packer.add((key, own, 0, len(own)), len(own), head)
                 if packer.done:
                     yield rows(packer.done)
         packer.finish()
