@@ -21,8 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stayspark.llm.tokens import text_slices, tidy
 from stayspark.session import durable
 
+# Text that is cut at a time.
+SLICE_BYTES = 4 << 20
+
 
 @dataclass(frozen=True)
 class Mix:
@@ -353,7 +357,10 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     )
     twin = F.xxhash64(F.col("text").cast("string"))
     rows = docs.withColumn("_mix_twin", twin).where(F.col("text").isNotNull())
-    rows = rows.dropDuplicates(["doc_id", "source", "_mix_twin"])
+    same_rows = placed.groupBy("doc_id", "source", "twin").agg(F.count(F.lit(1)).alias("rows"))
+    if same_rows.where("rows > 1").limit(1).count():
+        # Each of the repeated rows has its share already.
+        rows = rows.dropDuplicates(["doc_id", "source", "_mix_twin"])
     same = (
         F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id"))
         & F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))
@@ -367,22 +374,25 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            columns = {n: [] for n in ("row", "text")}
-            texts, sizes, pieces = (batch.column(c) for c in ("text", "_mix_size", "_mix_pieces"))
-            for row in range(batch.num_rows):
-                text, size = texts[row].as_py(), sizes[row].as_py()
-                for first, words in merged(pieces[row].as_py()):
-                    columns["row"].append(row)
-                    columns["text"].append(cut_text(text, first, words, size))
-            out = batch.take(pa.array(columns["row"], pa.int64())).select(names)
-            arrays = dict(zip(names, out.columns, strict=True))
-            arrays["text"] = pa.array(columns["text"], pa.string())
-            if "n_chars" in arrays:
-                lengths = pa.array([len(t) for t in columns["text"]], pa.int64())
-                arrays["n_chars"] = lengths.cast(arrays["n_chars"].type)
-            yield pa.record_batch(list(arrays.values()), names)
-
-    return joined.mapInArrow(cut, kinds)
+            for first_row, last_row in text_slices(batch.column("text"), SLICE_BYTES):
+                part = batch.slice(first_row, last_row - first_row)
+                taken_rows, cuts = [], []
+                for row, (text, size, pieces) in enumerate(
+                    zip(*(part.column(c) for c in ("text", "_mix_size", "_mix_pieces")), strict=True)
+                ):
+                    text, size = text.as_py(), size.as_py()
+                    for first, words in merged(pieces.as_py()):
+                        taken_rows.append(row)
+                        cuts.append(cut_text(text, first, words, size))
+                index = pa.array(taken_rows, pa.int64())
+                arrays = {n: part.column(n).take(index) for n in names if n != "text"}
+                arrays["text"] = pa.array(cuts, pa.string())
+                if "n_chars" in arrays:
+                    lengths = pa.array([len(t) for t in cuts], pa.int64())
+                    arrays["n_chars"] = lengths.cast(arrays["n_chars"].type)
+                yield pa.record_batch([arrays[n] for n in names], names)
+
+    return joined.mapInArrow(tidy(cut), kinds)
 
 
 def merged(pieces: list[dict]) -> list[tuple[int, int]]:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayspark.llm.tokens import encoder, text_slices
+from stayspark.llm.tokens import encoder, text_slices, tidy
 
 
 @dataclass(frozen=True)
@@ -214,4 +214,4 @@ def pack(
     rows = examples.select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"), head.alias("prompt")
     )
-    return rows.mapInArrow(_pack(tokenizer, chunked, end, limits), PIECE)
+    return rows.mapInArrow(tidy(_pack(tokenizer, chunked, end, limits)), PIECE)

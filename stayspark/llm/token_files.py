@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayspark.llm import dac
-from stayspark.llm.tokens import encoder, text_slices
+from stayspark.llm.tokens import encoder, text_slices, tidy
 from stayspark.session import shared_folder
 
 # A segment ends with the first document that takes it to this many tokens.
@@ -98,7 +98,7 @@ def write_token_files(
     order = ["doc_id", F.xxhash64("text"), "text"]
     dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions(*order)
     write = _segments(tokenizer, chunked, end, SEGMENT_TOKENS)
-    dealt.mapInArrow(write, SEGMENT).write.parquet(folder)
+    dealt.mapInArrow(tidy(write), SEGMENT).write.parquet(folder)
 
 
 def _read(digest: bool) -> Callable:
@@ -141,7 +141,7 @@ def read_token_files(spark: SparkSession, folder: str, digest: bool = False) ->
     # One row per writing task: its tokens, and those of all tasks before it.
     parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("held"))
     before = parts.selectExpr("part", "sum(held) OVER (ORDER BY part) - held AS before")
-    documents = segments.mapInArrow(_read(digest), schema)
+    documents = segments.mapInArrow(tidy(_read(digest)), schema)
     last = schema.split(", ")[-1].split(" ")[0]
     return documents.join(F.broadcast(before), "part").select(
         "doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", last

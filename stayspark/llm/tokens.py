@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterator
 from itertools import accumulate, chain, pairwise
 
 import numpy as np
@@ -63,9 +63,9 @@ class TextEncoder:
 
     def _distinct(self, chunks: list[str]) -> list[bytes]:
         cache, tails = self.cache, self.tails
-        new: dict[str, bytes] = {}
-        parts = []
-        for text in chunks:
+        out: list[bytes] = []
+        missing: dict[str, list[tuple[int, bytes]]] = {}
+        for place, text in enumerate(chunks):
             tail = tails.get(text[-1:])
             if tail is not None and text[-2:-1].isalpha():
                 text = text[:-1]
@@ -75,13 +75,16 @@ class TextEncoder:
                 text = text.lower()
             ids = cache.get(text)
             if ids is None:
-                new[text] = b""
-            parts.append((ids, text, tail))
-        for text, ids in zip(new, self._encode(list(new)), strict=True):
-            new[text] = ids
+                missing.setdefault(text, []).append((place, tail))
+                out.append(b"")
+            else:
+                out.append(ids + tail if tail else ids)
+        for (text, places), ids in zip(missing.items(), self._encode(list(missing)), strict=True):
             if len(cache) < CACHED_CHUNKS:
                 cache[text] = ids
-        return [(new[text] if ids is None else ids) + tail for ids, text, tail in parts]
+            for place, tail in places:
+                out[place] = ids + tail if tail else ids
+        return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one uint32 array, and the offset of each text's first id (one more at the end).
@@ -114,7 +117,37 @@ class TextEncoder:
         return out, offsets
 
 
-@lru_cache(maxsize=4)
+_held: dict[tuple, object] = {}
+
+
+def give_back() -> None:
+    """Return memory that is free to the system; a worker process outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """An Arrow function that gives memory back after each batch."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield batch
+            give_back()
+
+    return tidied
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What a worker process remembers from task to task: one thing, the last that was asked for."""
+    if key not in _held:
+        _held.clear()
+        give_back()
+        _held[key] = make()
+    return _held[key]
+
+
 def encoder(path: str, chunked: bool = True) -> TextEncoder:
-    """One encoder per worker process and file, so that its cache lives as long as the worker."""
-    return TextEncoder(path, chunked)
+    """An encoder that lives from task to task, with its cache."""
+    return held(("encoder", path, chunked), lambda: TextEncoder(path, chunked))

@@ -8,6 +8,7 @@ letters of words; a feature's value is the logarithm of one plus its count in th
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -18,11 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayspark.llm.tokens import text_slices
+from stayspark.llm.tokens import give_back, held, text_slices, tidy
 from stayspark.session import durable
 
 LETTERS = re.compile(r"[^\W\d_]+")
-# Chunks of text whose features a worker remembers.
+# Text that is taken at a time, and chunks of text whose features a worker remembers.
+SLICE_BYTES = 4 << 20
 CACHED_CHUNKS = 200_000
 
 
@@ -68,25 +70,27 @@ def text_features(text: str) -> Counter:
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts each feature stands, by toxic and other; summed per batch."""
+    """In how many texts each feature stands, by toxic and other; summed per slice of a batch."""
     for batch in batches:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, grade in zip(*(batch.column(c).to_pylist() for c in ("text", "grade")), strict=True):
-            counts[grade > 0].update(text_features(text).keys())
-        names = list(counts[0].keys() | counts[1].keys())
-        yield pa.record_batch(
-            [
-                pa.array(names, pa.string()),
-                pa.array([counts[1][n] for n in names], pa.int64()),
-                pa.array([counts[0][n] for n in names], pa.int64()),
-            ],
-            ["feature", "toxic", "other"],
-        )
+        for first, last in text_slices(batch.column("text"), SLICE_BYTES):
+            part = batch.slice(first, last - first)
+            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, grade in zip(part.column("text"), part.column("grade"), strict=True):
+                counts[grade.as_py() > 0].update(text_features(text.as_py()).keys())
+            names = list(counts[0].keys() | counts[1].keys())
+            yield pa.record_batch(
+                [
+                    pa.array(names, pa.string()),
+                    pa.array([counts[1][n] for n in names], pa.int64()),
+                    pa.array([counts[0][n] for n in names], pa.int64()),
+                ],
+                ["feature", "toxic", "other"],
+            )
 
 
 def _choose(sample: DataFrame, toxic: int, other: int, fit: Fit) -> list[str]:
     """The features that tell toxic texts best; none that speak for clean ones, which could hide them."""
-    counts = sample.mapInArrow(_document_counts, "feature string, toxic long, other long")
+    counts = sample.mapInArrow(tidy(_document_counts), "feature string, toxic long, other long")
     p, q = F.col("toxic") + 0.5, F.col("other") + 0.5
     z = (F.log(p / (toxic + 1.0)) - F.log(q / (other + 1.0))) / F.sqrt(1 / p + 1 / q)
     sums = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
@@ -102,8 +106,8 @@ def _matrix(sample: DataFrame, names: list[str]) -> list:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"grade": [], "hits": [], "at": [], "counts": []}
-            for text, grade in zip(*(batch.column(c).to_pylist() for c in ("text", "grade")), strict=True):
-                words = Counter(LETTERS.findall(text.lower()))
+            for text, grade in zip(batch.column("text"), batch.column("grade").to_pylist(), strict=True):
+                words = Counter(LETTERS.findall(text.as_py().lower()))
                 counts: Counter = Counter()
                 hits = 0
                 for word, n in words.items():
@@ -116,7 +120,7 @@ def _matrix(sample: DataFrame, names: list[str]) -> list:
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.record_batch([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 
-    return sample.mapInArrow(rows, "grade long, hits long, at array<long>, counts array<long>").collect()
+    return sample.mapInArrow(tidy(rows), "grade long, hits long, at array<long>, counts array<long>").collect()
 
 
 def ordinal_fit(
@@ -240,7 +244,7 @@ class Scorer:
     def __call__(self, texts: pa.Array) -> np.ndarray:
         texts = pc.fill_null(texts, "")
         scores = np.zeros(len(texts))
-        for first, last in text_slices(texts):
+        for first, last in text_slices(texts, SLICE_BYTES):
             lists = pc.utf8_split_whitespace(texts.slice(first, last - first))
             chunks = lists.flatten().dictionary_encode()
             features = self._features(chunks.dictionary.to_pylist())
@@ -265,12 +269,12 @@ class Scorer:
 def linear_score(model: Model, text: Column) -> Column:
     """w.x of each text; a null text scores as an empty one, 0."""
     weights = model.weights
-    held: dict[str, Scorer] = {}
+    key = ("scorer", uuid.uuid4().hex)
 
     def score(texts: pa.Array) -> pa.Array:
-        if "scorer" not in held:
-            held["scorer"] = Scorer(weights)
-        return pa.array(held["scorer"](texts))
+        found = held(key, lambda: Scorer(weights))(texts)
+        give_back()
+        return pa.array(found)
 
     score.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(score, "double")(text.cast("string"))
