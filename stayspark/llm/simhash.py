@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 
 from stayspark.llm.components import components
 from stayspark.llm.joins import sized
+from stayspark.llm.tokens import tidy
 from stayspark.session import durable
 
 SEED = 42
 # Fingerprints on which the shards' tree is fitted, and how many of them a shard must have.
 SAMPLE, SAMPLE_PER_SHARD = 262_144, 16
 # Distinct fingerprints that a shard is meant to hold; a larger one is searched in blocks.
-SHARD, SHARD_LIMIT = 20_000, 4_000_000
+SHARD, SHARD_LIMIT = 5_000, 4_000_000
 # Groups that are compared directly inside a shard.
 DIRECT = 256
 
@@ -115,7 +116,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     words make one shingle; none, as in a null text, give 0.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, print long")
+    return rows.mapInArrow(tidy(_fingerprints(shingle)), "doc_id long, print long")
 
 
 def _away(prints: np.ndarray, point: np.uint64) -> np.ndarray:
@@ -235,8 +236,8 @@ def links(prints: DataFrame, count: int, distance: int = 2) -> DataFrame:
     nodes: list = []
     if shards > 1:
         part = F.pmod(F.xxhash64("print"), F.lit(1 << 30)) < int((1 << 30) * min(1, SAMPLE / count))
-        rows = prints.where(part).limit(2 * SAMPLE).collect()
-        nodes = shard_tree(np.array([r["print"] for r in rows], np.int64).view(np.uint64), distance, shards)
+        sample = prints.select("print").where(part).limit(2 * SAMPLE).toArrow().column("print")
+        nodes = shard_tree(sample.to_numpy().view(np.uint64), distance, shards)
     routed = prints.select("print").mapInArrow(_route(nodes, distance), "shard int, print long")
     if count * 2 > SHARD_LIMIT:
         routed = _in_blocks(durable(routed))
