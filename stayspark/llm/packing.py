@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayspark.llm.tokens import encoder, text_slices, tidy
+from stayspark.llm.tokens import CACHED_CHUNKS, SLICE_BYTES, encoder, text_slices, tidy
 
 
 @dataclass(frozen=True)
@@ -145,7 +145,9 @@ class Packer:
                 self.example[best], self.example[last] = self.example[last], None
 
 
-def _pack(path: str, chunked: bool, end: int, limits: Limits) -> Callable:
+def _pack(
+    path: str, chunked: bool, end: int, limits: Limits, slice_bytes: int, cached: int
+) -> Callable:
     kinds = [pa.int64()] * 7 + [pa.binary()]
     names = [column.split()[0] for column in PIECE.split(", ")]
 
@@ -167,11 +169,11 @@ def _pack(path: str, chunked: bool, end: int, limits: Limits) -> Callable:
         return key, ids[start:].copy(), start, size
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, chunked)
+        encode = encoder(path, chunked, cached)
         packer = Packer(limits, TaskContext.get().partitionId() << 40, waiting)
         for batch in batches:
             texts, prompts, keys = (batch.column(c) for c in ("text", "prompt", "doc_id"))
-            for first, last in text_slices(texts):
+            for first, last in text_slices(texts, slice_bytes):
                 count = last - first
                 ids, offsets = encode.with_end(texts.slice(first, count), end)
                 before, starts = encode(prompts.slice(first, count))
@@ -197,6 +199,8 @@ def pack(
     limits: Limits = Limits(),
     prompt: str | None = None,
     chunked: bool = True,
+    slice_bytes: int = SLICE_BYTES,
+    cached: int = CACHED_CHUNKS,
 ) -> DataFrame:
     """Pack ``doc_id``, ``text`` rows into sequences; one row per piece, with its token ids.
 
@@ -209,9 +213,14 @@ def pack(
     Null text is empty (its example is ``end`` alone); a repeated row is an example of its own; an
     empty table gives no rows; other columns are ignored.  Sequence ids are the task's number times
     2**40 plus a counter, so they are unique, not dense.
+
+    ``slice_bytes`` of text are encoded at a time and ``cached`` words remembered: less of either takes
+    less memory and more time, and gives the same pieces.
     """
     head = F.lit("") if prompt is None else F.col(prompt).cast("string")
     rows = examples.select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"), head.alias("prompt")
     )
-    return rows.mapInArrow(tidy(_pack(tokenizer, chunked, end, limits)), PIECE)
+    return rows.mapInArrow(
+        tidy(_pack(tokenizer, chunked, end, limits, slice_bytes, cached)), PIECE
+    )

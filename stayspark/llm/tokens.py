@@ -46,11 +46,11 @@ class TextEncoder:
     whole texts are encoded.
     """
 
-    def __init__(self, path: str, chunked: bool = True):
+    def __init__(self, path: str, chunked: bool = True, cached: int = CACHED_CHUNKS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunked = chunked
+        self.chunked, self.cached = chunked, cached
         self.cache: dict[str, bytes] = {"": b""}
         self.tails = dict(zip(".,", self._encode([".", ","]), strict=True))
 
@@ -80,7 +80,7 @@ class TextEncoder:
             else:
                 out.append(ids + tail if tail else ids)
         for (text, places), ids in zip(missing.items(), self._encode(list(missing)), strict=True):
-            if len(cache) < CACHED_CHUNKS:
+            if len(cache) < self.cached:
                 cache[text] = ids
             for place, tail in places:
                 out[place] = ids + tail if tail else ids
@@ -148,6 +148,7 @@ def held(key: tuple, make: Callable[[], object]):
     return _held[key]
 
 
-def encoder(path: str, chunked: bool = True) -> TextEncoder:
+def encoder(path: str, chunked: bool = True, cached: int = CACHED_CHUNKS) -> TextEncoder:
     """An encoder that lives from task to task, with its cache."""
-    return held(("encoder", path, chunked), lambda: TextEncoder(path, chunked))
+    key = ("encoder", path, chunked, cached)
+    return held(key, lambda: TextEncoder(path, chunked, cached))
