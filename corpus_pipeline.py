@@ -35,7 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens, a row for each piece of a text, with its ids and their checksum."""
-    pieces = packing.pack(docs, queries.word_bpe(), end=1)
+    # The workers have served four other stages by now: smaller slices and a smaller cache.
+    pieces = packing.pack(docs, queries.word_bpe(), end=1, slice_bytes=2 << 20, cached=100_000)
     return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 
