@@ -13,7 +13,7 @@ LICENSE = "(?: public| software| documentation)? licen[cs]e"
 
 # label, keyword, name, identifier, and where there is one: address, characteristic words of the text
 LICENSES = [
-    ("mit", "mit", "(?:mit|expat)(?: x11)?", "mit", "opensource org licenses mit", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", "t", "(?:mit|expat)(?: x11)?", "mit", "opensource org licenses mit", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit-0", "mit", "mit no attribution", "mit 0", "opensource org licenses mit 0", None),
     ("apache-2", "apache", f"apache(?: software)?(?: licen[cs]e)?{V} ?2(?: 0)?", "apache 2 0", "apache org licenses license 2 0", "unless required by applicable law or agreed to in writing software distributed under the license"),
     ("apache-1.1", "apache", f"apache(?: software)?(?: licen[cs]e)?{V} 1 1", "apache 1 1", "apache org licenses license 1 1", None),
@@ -95,13 +95,19 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# One of these stands in every text that any rule finds; the names below need one of them around.
+# What a grant begins with.
+VERBS = ("licensed", "released", "distributed", "available", "provided", "published", "used", "covered")
+BY = ("under", "by")
+
+# One of these stands in every text that any rule finds: a grant may name a license without that word,
+# so what it begins with is among them.
 GATES = (
     "licen", "spdx", "cc by", "cc0", "publicdomain", "public domain", "unlicense", "creativecommons",
     "permission", "rights reserved", "free and unencumbered", "buy me a beer", "used for good", "wtfpl", "gpl",
     "without any express", "remotely through", "the names of its", "advertising materials", "mariadb com bsl11", "bsl 1 0",
     "opensource org", "eclipse org", "mozilla org", "boost org", "python org psf", "scripts sil org", "joinup ec",
     "w3 org consortium", "mongodb com", "odbl", "pddl",
+    *(f"{verb} {by}" for verb in VERBS if "licen" not in verb for by in BY),
 )
 
 
@@ -118,7 +124,7 @@ class LicenseRule:
 def rules(phrases: dict[str, str] = PHRASES) -> list[LicenseRule]:
     """All rules in order: of equal priority and place, the earlier one counts."""
     found = [LicenseRule(label, words, words, 1, 0.95, True) for words, label in phrases.items()]
-    granted = "(?:licensed|released|distributed|available|provided|published|used|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?"
+    granted = f"(?:{'|'.join(VERBS)}) (?:{'|'.join(BY)}) (?:the )?(?:terms of )?(?:the )?"
     for label, keyword, name, identifier, address, text in LICENSES:
         found.append(LicenseRule(label, "spdx", f"spdx license identifier {identifier}", 0, 1.0))
         found.append(LicenseRule(label, keyword, f"{granted}{name}(?:{LICENSE})?", 1, 0.95))

@@ -2,6 +2,7 @@
 
 import random
 import re
+from re import _parser as parser
 
 from llm_tables import FOLDER, documents, load
 from pyspark.sql import functions as F
@@ -87,6 +88,50 @@ def test_gates_hide_nothing(spark):
     assert ungated == got
 
 
+def variants(pattern):
+    """Every text of a rule's pattern: each branch, and each optional group with and without it."""
+
+    def walk(items):
+        texts = [""]
+        for kind, value in items:
+            if kind == parser.LITERAL:
+                some = [chr(value)]
+            elif kind == parser.IN:  # [cs], and [1-4]
+                some = [chr(v if k == parser.LITERAL else v[0]) for k, v in value]
+            elif kind == parser.SUBPATTERN:
+                some = walk(value[3])
+            elif kind == parser.BRANCH:
+                some = [t for branch in value[1] for t in walk(branch)]
+            else:
+                assert kind == parser.MAX_REPEAT and value[:2] == (0, 1)
+                some = ["", *walk(value[2])]
+            texts = [a + b for a in texts for b in some]
+        return texts
+
+    return walk(parser.parse(pattern))
+
+
+def test_every_text_of_every_rule_holds_a_gate_and_its_keyword():
+    for rule in RULES:
+        for text in variants(rule.pattern):
+            assert re.fullmatch(rule.pattern, text) and rule.keyword in text, (rule, text)
+            assert any(gate in text for gate in license_rules.GATES), (rule, text)
+
+
+def test_grants_without_the_word_license(spark):
+    texts = [min(variants(r.pattern), key=len) for r in RULES]
+    texts += [
+        "released under MIT", "Distributed under the terms of Apache 2.0.", "available under MPL 2.0", "Published under the 3-Clause BSD",
+        "used by ISC", "covered by the EUPL 1.2", "provided under zlib", "released under Expat", "Licensed under the Expat license",
+    ]
+    docs = documents(spark, list(enumerate(texts)))
+    got = {r.doc_id: tuple(r)[1:] for r in license_scan.scan(docs).collect()}
+    assert got == {r.doc_id: tuple(r)[1:] for r in license_scan.scan(docs, gates=None).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+    assert all(r[5] for r in got.values())
+    assert [got[len(RULES) + i][5:] for i in (0, 1, 7)] == [("mit", 0.95), ("apache-2", 0.95), ("mit", 0.95)]
+
+
 def test_phrases_that_overlap_themselves(spark):
     found = license_rules.rules({"a b a": "x"})[:1]
     got = license_scan.scan(documents(spark, [(1, "a b a b a c a b a")]), found, None).collect()
