@@ -28,19 +28,31 @@ GROUP, PART = 2048, 8192
 GROUPS = 4096
 # Components up to this size give inner products that fit into a long, for any usual dimension.
 LARGEST = 2**24
+# Beyond it squares are no finite doubles.
+FINITE = 2.0**500
+# Rounding of an inner product of doubles, as a share of the product of the lengths, for each dimension.
+ROUNDING = 2.0**-50
 
 
-def integer_vectors(embedding: Column, scale: int = 64) -> Column:
-    """floor(scale * x) of every component; null for a vector that takes no part.
+def integer_vectors(embedding: Column, scale: int = 64, largest: float | None = LARGEST) -> Column:
+    """floor(scale * x) of every component, as doubles; null for a vector that takes no part.
 
-    That is one that is null or holds a component that is null, not finite, or beyond ``LARGEST``.
+    That is one that is null or holds a component that is null, not finite, or beyond ``largest``; with None
+    vectors of every finite size take part.
     """
-    scaled = F.transform(embedding, lambda x: F.floor(x.cast("double") * scale))
-    wrong = F.exists(
-        embedding,
-        lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) * scale > LARGEST),
-    )
-    return F.when(embedding.isNotNull() & ~F.coalesce(wrong, F.lit(False)), scaled)
+
+    def whole(x: Column) -> Column:
+        scaled = x.cast("double") * scale
+        # From 2**53 on doubles are whole; floor would stop at the largest long.
+        return F.when(F.abs(scaled) < 2.0**53, F.floor(scaled).cast("double")).otherwise(scaled)
+
+    def wrong(x: Column) -> Column:
+        size = F.abs(x.cast("double"))
+        beyond = size == float("inf") if largest is None else size * scale > largest
+        return x.isNull() | F.isnan(x) | beyond
+
+    odd = F.coalesce(F.exists(embedding, wrong), F.lit(False))
+    return F.when(embedding.isNotNull() & ~odd, F.transform(embedding, whole))
 
 
 def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
@@ -51,6 +63,8 @@ def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
     flat = vectors.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
     row = np.repeat(np.arange(len(sizes)), sizes)
     out[row, np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], sizes)] = flat
+    if not (np.abs(out) < FINITE).all():
+        raise ValueError("a component is not a number below 2**500")
     return out
 
 
@@ -59,19 +73,60 @@ def _column(batch, name: str) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
+def _most(a: np.ndarray, b: np.ndarray) -> float:
+    """What no inner product, and no part of its sum, is beyond."""
+    return np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in doubles where these hold them, else in longs."""
-    most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
-    if most < 2**53:
+    """Exact integer inner products that fit a long: in doubles where these hold them, else in longs."""
+    if _most(a, b) < 2**53:
         return a @ b.T
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
+def _lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x**2).sum(axis=1))
+
+
+def _rounding(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far each inner product in doubles may be from the exact one; 0 where doubles hold it."""
+    width = a.shape[1]
+    held = np.abs(a).max(axis=1)[:, None] * np.abs(b).max(axis=1)[None, :] * width < 2**53
+    off = _lengths(a)[:, None] * _lengths(b)[None, :] * (ROUNDING * (width + 2))
+    return np.where(held, 0.0, off)
+
+
+def _wide(query: np.ndarray, own: int, bound: float, near: np.ndarray, keys: np.ndarray, begins: np.ndarray, k: int):
+    """The ``k`` best of ``near`` for one query, where scores may not fit a long: ids and whole scores.
+
+    Scores in doubles, with what they may be off by, leave few rows; only these are summed as whole numbers.
+    """
+    score, off = (near @ query), _rounding(query[None, :], near)[0]
+    low = np.maximum.reduceat(score - off, begins)
+    low[keys == own] = -np.inf
+    least = np.partition(low, -k)[-k] if len(low) >= k else -np.inf
+    of = np.searchsorted(begins, np.arange(len(near)), side="right") - 1
+    rows = np.flatnonzero((score + off >= max(least, bound)) & (keys[of] != own))
+    # Equal vectors, of which there may be many, are summed once.
+    same, which = np.unique(near[rows], axis=0, return_inverse=True)
+    whole = [int(x) for x in query]
+    sums = [sum(a * int(b) for a, b in zip(whole, row, strict=True)) for row in same]
+    best: dict[int, int] = {}
+    for key, at in zip(keys[of[rows]].tolist(), which.ravel().tolist(), strict=True):
+        best[key] = max(best.get(key, sums[at]), sums[at])
+    return sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+
+
 def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest pivot of each row, and the distance to it, rounded up a little."""
-    square = (x**2).sum(1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(1)[None, :]
+    sizes = (x**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :]
+    square = sizes - 2 * x @ pivots.T
     cell = square.argmin(axis=1)
-    away = np.sqrt(np.maximum(square[np.arange(len(x)), cell], 0))
+    at = np.arange(len(x)), cell
+    # Where large parts cancel out, what is left of the square is no better than their rounding.
+    off = sizes[at] * (ROUNDING * (x.shape[1] + 4))
+    away = np.sqrt(np.maximum(square[at], 0) + off)
     return cell, away * (1 + 1e-9) + 1e-6
 
 
@@ -82,15 +137,17 @@ def _bounds(pivots: np.ndarray, ids: np.ndarray, sample: np.ndarray, k: int):
         for batch in batches:
             x, own = _matrix(batch.column("vector"), pivots.shape[1]), batch.column("id").to_numpy()
             cell, away = _nearest(x, pivots)
-            bound = np.full(len(x), -(2**62), np.int64)
+            bound = np.full(len(x), -np.inf)
             for a in range(0, len(x), GROUP):
-                score = _product(x[a : a + GROUP], sample).astype(np.float64)
+                some = x[a : a + GROUP]
+                score = some @ sample.T
+                if _most(some, sample) >= 2**53:
+                    score -= _rounding(some, sample)
                 score[own[a : a + GROUP, None] == ids[None, :]] = -np.inf
                 if score.shape[1] >= k:
                     least = np.partition(score, -k, axis=1)[:, -k]
-                    # One below, so that rounding of a large score cannot cut it off.
-                    known = np.isfinite(least)
-                    bound[a : a + GROUP][known] = np.floor(least[known] * (1 - 1e-12 * np.sign(least[known]))) - 1
+                    # A little below, so that rounding of a large score cannot cut it off.
+                    bound[a : a + GROUP] = least - np.abs(least) * 1e-12 - 1
             columns = [batch.column("id"), batch.column("vector"), pa.array(cell), pa.array(away), pa.array(bound)]
             yield pa.record_batch(columns, ["id", "vector", "cell", "away", "bound"])
 
@@ -103,6 +160,7 @@ def _replicate(pivots: np.ndarray, cells: list[tuple[int, int, float, int]], par
     ``cells`` has a query group, one of its cells, that cell's largest distance and the group's bound.
     """
     group, cell, away, bound = (np.array(c) for c in zip(*cells, strict=True))
+    lengths = _lengths(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,8 +168,10 @@ def _replicate(pivots: np.ndarray, cells: list[tuple[int, int, float, int]], par
             for a in range(0, len(vectors), GROUP):
                 some = batch.slice(a, GROUP)
                 x = _matrix(some.column("vector"), pivots.shape[1])
-                reach = (x @ pivots.T)[:, cell] + np.sqrt((x**2).sum(1))[:, None] * away[None, :]
-                reach = reach + np.abs(reach) * 1e-9 + 1e-6
+                size = _lengths(x)[:, None]
+                reach = (x @ pivots.T)[:, cell] + size * away[None, :]
+                off = size * (lengths[cell] + away)[None, :] * (ROUNDING * (x.shape[1] + 4))
+                reach = reach + np.abs(reach) * 1e-9 + off + 1e-6
                 for g in np.unique(group):
                     of = group == g
                     rows = np.flatnonzero((reach[:, of] >= bound[of][None, :]).any(axis=1))
@@ -128,6 +188,16 @@ def _replicate(pivots: np.ndarray, cells: list[tuple[int, int, float, int]], par
     return run
 
 
+def _longs(best: list[tuple[int, int]]) -> tuple[np.ndarray, np.ma.MaskedArray]:
+    """Ids and scores; a score below all longs is masked, as better ones may push it out; one above is an error."""
+    if any(score >= 2**63 for _, score in best):
+        raise ValueError("a score does not fit a long")
+    below = [score < -(2**63) for _, score in best]
+    scores = [0 if b else score for b, (_, score) in zip(below, best, strict=True)]
+    keys = np.array([key for key, _ in best], np.int64)
+    return keys, np.ma.array(np.array(scores, np.int64), mask=np.array(below, bool))
+
+
 def _solve(width: int, k: int):
     """The best of a part of the data for each query of a group, where they reach the query's bound."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -147,6 +217,11 @@ def _solve(width: int, k: int):
         for a in range(0, len(ids), PART):
             keys, begins = ids[a : a + PART], firsts[a : a + PART]
             near = x[begins[0] : ends[a : a + PART][-1]]
+            if _most(q, near) >= 2**63:
+                for row in range(len(q)):
+                    best = _wide(q[row], own[row], bound[row], near, keys, begins - begins[0], k)
+                    out.append((np.full(len(best), own[row]), *_longs(best)))
+                continue
             score = _product(q, near).astype(np.int64)
             if len(near) > len(keys):
                 score = np.maximum.reduceat(score, begins - begins[0], axis=1)
@@ -159,9 +234,9 @@ def _solve(width: int, k: int):
                     more, ties = at[s[at] > least], at[s[at] == least]
                     at = np.concatenate((more, ties[: k - len(more)]))  # ids stand in order
                 at = at[s[at] > -(2**63)]
-                out.append((np.full(len(at), own[row]), keys[at], s[at]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], schema=schema)
+                out.append((np.full(len(at), own[row]), keys[at], np.ma.array(s[at], mask=False)))
+        columns = [np.ma.concatenate(c) for c in zip(*out, strict=True)]
+        return pa.table([pa.array(c.data, pa.int64(), mask=np.ma.getmaskarray(c)) for c in columns], schema=schema)
 
     return run
 
@@ -173,7 +248,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 20) -> DataFrame:
     part).  The score is the inner product; a shorter vector counts as filled up with zeros.  A row
     with the query's own id is no candidate.  Ties go to the smaller id; with fewer candidates all are returned.
     An id that has several rows counts once per query, with its best score; repeated rows change nothing.
-    Empty sides give no rows.
+    Empty sides give no rows.  Scores are exact at every size; one among the best that does not fit a long is an error.
     """
     spark = data.sparkSession
     clean = [
@@ -194,7 +269,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 20) -> DataFrame:
     bounds = _bounds(pivots, _column(picked, "id").to_numpy()[np.sort(at)], sample, k)
     known = durable(
         clean[0].mapInArrow(
-            bounds, "id long, vector array<double>, cell long, away double, bound long"
+            bounds, "id long, vector array<double>, cell long, away double, bound double"
         )
     )
     # Cells of queries side by side make groups; a large cell is dealt out over several.
@@ -227,6 +302,8 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 20) -> DataFrame:
         .applyInArrow(_solve(width, k), "query_id long, vec_id long, score long")
     )
     best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    ranked = best.withColumn("rank", rank).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    order = W.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), "vec_id")
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # A score below all longs has none.
+    wrong = F.raise_error(F.lit("a score does not fit a long")).cast("long")
+    return ranked.select("query_id", "rank", "vec_id", F.coalesce("score", wrong).alias("score"))

@@ -220,7 +220,7 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 def op6_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 best of all other embeddings for every twentieth one."""
     vectors = read(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("id"), knn.integer_vectors(F.col("embedding")).alias("vector")
+        F.col("vec_id").alias("id"), knn.integer_vectors(F.col("embedding"), largest=None).alias("vector")
     )
     return knn.top_k(vectors.where("id % 20 = 0"), vectors, k=20)
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stayspark.llm import knn
+from stayspark.llm import knn, queries
 
 
 def plain(queries, data, k):
@@ -50,6 +50,45 @@ def test_few_candidates_and_large_numbers(spark):
     assert run(spark, [(9, [1.0])], data, 2) == plain([(9, [1.0])], data, 2)
 
 
+@pytest.mark.parametrize("sizes", [(2048, 8192, 4096, 256), (7, 16, 30, 5)])
+def test_outliers_beside_usual_vectors(spark, monkeypatch, sizes):
+    for name, value in zip(("GROUP", "PART", "SAMPLE", "PIVOTS"), sizes, strict=True):
+        monkeypatch.setattr(knn, name, value)
+    rng = np.random.default_rng(6)
+    data = [(i, np.floor(rng.normal(0, 30, 4)).tolist()) for i in range(60)]
+    # Products beyond longs cancel out; doubles lose the small parts.
+    data = [(i, [v[0], v[1], v[0], v[3]]) if i % 2 else (i, [0.0, v[1], 0.0, v[3]]) for i, v in data]
+    data += [
+        (100, [2.0**62, 5.0, -(2.0**62), 2.0]), (101, [0.0, 2.0**40 + 1, 0.0, 9.0]), (102, [2.0**62, 6.0, -(2.0**62), 2.0]), (103, [0.0] * 4),
+    ]
+    asked = [(200, [0.0, 2.0**20 + 1, 0.0, 9.0]), (201, [1.0, 2.0, 1.0, 0.0]), (202, [2.0**45, 1.0, 2.0**45, 3.0])]
+    asked += [data[i] for i in (0, 1, 4, -1)]
+    want = plain(asked, data, 12)
+    assert max(abs(s) for *_, s in want) < 2**63
+    assert run(spark, asked, data, 12) == want
+
+
+def test_scores_that_fit_no_long(spark):
+    large = [(1, [2.0**62]), (2, [2.0**62]), (3, [-(2.0**62)]), (4, [1.0])]
+    with pytest.raises(Exception, match="does not fit a long"):
+        run(spark, [(9, [4.0])], large, 1)
+    with pytest.raises(Exception, match="does not fit a long"):
+        run(spark, [(9, [-4.0])], large, 4)
+    below = [(9, [-4.0])], [(1, [2.0**62]), (2, [2.0**62]), (4, [1.0]), (5, [0.0])]
+    assert run(spark, *below, 2) == plain(*below, 2)
+
+
+def test_query_keeps_all_finite_vectors(spark, tmp_path):
+    rows = [(0, [300_000.0, 1.0]), (1, [1.0, 2.0]), (2, [3e9, 0.5]), (3, [None, 1.0]), (4, [float("inf"), 1.0]), (5, [-2e8, 7.0])]
+    rows += [(20, [0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
+    f32 = lambda v: [int(np.floor(64 * float(np.float32(x)))) for x in v]
+    data = [(k, f32(v)) for k, v in rows if k not in (3, 4)]
+    got = {tuple(r) for r in queries.QUERIES["op6_top_k"](spark, str(tmp_path)).collect()}
+    assert got == plain([r for r in data if r[0] % 20 == 0], data, 20) and len(got) == 8
+
+
 def test_no_rows(spark):
     one = [(1, [1.0])]
     assert run(spark, [], one, 3) == set() == run(spark, one, [], 3) == run(spark, one, one, 3)
