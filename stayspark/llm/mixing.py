@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -21,19 +20,22 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stayspark.llm.joins import sized
 from stayspark.llm.tokens import text_slices, tidy
 from stayspark.session import durable
 
 # Text that is cut at a time.
 SLICE_BYTES = 4 << 20
+# Sources among which slots are drawn at a time, and shards that a task draws them for.
+CHUNK, SHARDS = 4096, 512
 
 
 @dataclass(frozen=True)
 class Mix:
     """Weights go to the sources in code point order, null last, over and over.
 
-    ``share`` of all words are to be taken, no source more than ``most`` times.  ``sources`` bounds
-    the list of sources, which like the weights is held whole; beyond it an error is raised.
+    ``share`` of all words are to be taken, no source more than ``most`` times.  Any number of sources is
+    mixed; where ``sources`` is given, more of them are an error.
     """
 
     weights: Sequence[float] = (5, 2, 1)
@@ -42,7 +44,7 @@ class Mix:
     block_words: int = 256
     shard_slots: int = 16_384
     seed: int = 42
-    sources: int = 10_000
+    sources: int | None = None
 
 
 def n_words(text: Column) -> Column:
@@ -53,7 +55,8 @@ def n_words(text: Column) -> Column:
 def targets(sizes: dict, mix: Mix) -> dict:
     """Words to take of each source: by weight, stopped at ``most`` times its size.
 
-    What stops is shared out again by weight among the others, until none is above.
+    What stops is shared out again by weight among the others, until none is above.  ``_with_targets``
+    does the same in Spark; this is for lists that are at hand.
     """
     ordered = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
     weight = {s: float(mix.weights[i % len(mix.weights)]) for i, s in enumerate(ordered)}
@@ -72,31 +75,40 @@ def targets(sizes: dict, mix: Mix) -> dict:
     return found
 
 
-def passes(sizes: dict, ordered: list, wanted: dict, mix: Mix) -> list[dict]:
-    """For each source, how many blocks and slots it has and what its last slot takes."""
-    found = []
-    for number, source in enumerate(ordered):
-        size, need = sizes[source], int(wanted[source])
-        if not need:
-            continue
-        blocks = -(-size // mix.block_words)
-        whole, rest = divmod(need, size)
-        slots, last = whole * blocks, 0
-        if rest:
-            # All blocks are full but for the last one; where does this pass take that?
-            short = size - (blocks - 1) * mix.block_words
-            at = int(unpermuted(np.array([blocks - 1]), blocks, key(mix, number, whole))[0])
-            used = -(-rest // mix.block_words)
-            lacks = mix.block_words - short
-            if at < used:
-                used += rest > used * mix.block_words - lacks
-                # With the short block among the slots, one of them may not be needed after all.
-            held = (used - 1) * mix.block_words - (lacks if at < used - 1 else 0)
-            slots, last = slots + used, rest - held
-        found.append(
-            {"source_no": number, "size": size, "blocks": blocks, "slots": slots, "last": last}
-        )
-    return found
+def source_slots(number: int, size: int, need: int, mix: Mix) -> tuple[int, int, int]:
+    """How many blocks and slots a source has and what its last slot takes (0: all of its block)."""
+    blocks = -(-size // mix.block_words)
+    whole, rest = divmod(need, size)
+    slots, last = whole * blocks, 0
+    if rest:
+        # All blocks are full but for the last one; where does this pass take that?
+        short = size - (blocks - 1) * mix.block_words
+        at = int(unpermuted(np.array([blocks - 1]), blocks, key(mix, number, whole))[0])
+        used = -(-rest // mix.block_words)
+        lacks = mix.block_words - short
+        if at < used:
+            used += rest > used * mix.block_words - lacks
+            # With the short block among the slots, one of them may not be needed after all.
+        held = (used - 1) * mix.block_words - (lacks if at < used - 1 else 0)
+        slots, last = slots + used, rest - held
+    return blocks, slots, last
+
+
+def _plan(sources: DataFrame, mix: Mix) -> DataFrame:
+    """``source_no``, ``size``, ``blocks``, ``slots``, ``last`` of every source that words are taken of."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [
+                (number, size, *source_slots(number, size, need, mix))
+                for number, size, need in batch.itertuples(index=False, name=None)
+            ]
+            yield pd.DataFrame(rows, columns=["source_no", "size", "blocks", "slots", "last"])
+
+    needed = sources.select("source_no", "source_size", F.col("target").cast("long").alias("need"))
+    return needed.where("need > 0").mapInPandas(
+        run, "source_no long, size long, blocks long, slots long, last long"
+    )
 
 
 def key(mix: Mix, source_no: int, number: int) -> int:
@@ -145,54 +157,97 @@ def _in_order(docs: DataFrame) -> DataFrame:
     """Documents with the words that stand before them in their source, without one long window."""
 
     def place(batches):
-        part, before = TaskContext.get().partitionId(), {}
+        part, last, words = TaskContext.get().partitionId(), -1, 0
         for batch in batches:
             number, size = batch["source_no"].to_numpy(), batch["size"].to_numpy()
-            start = np.zeros(len(batch), np.int64)
-            for source in np.unique(number):
-                of = number == source
-                ends = np.cumsum(size[of]) + before.get(source, 0)
-                start[of] = ends - size[of]
-                before[source] = int(ends[-1])
+            ends = np.cumsum(size)
+            # Sources stand one after the other; the first may go on from the batch before.
+            firsts = np.flatnonzero(np.diff(number, prepend=-1))
+            runs = np.diff(np.append(firsts, len(number)))
+            offset = (ends - size)[firsts]
+            if len(firsts) and number[0] == last:
+                offset[0] -= words
+            start = ends - size - np.repeat(offset, runs)
+            if len(firsts):
+                last, words = int(number[-1]), int(start[-1] + size[-1])
             yield batch.assign(part=part, start=start)
 
     order = ["source_no", "doc_id", "twin"]
     dealt = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = "doc_id long, size long, twin long, source_no int, part int, start long"
+    schema = "doc_id long, size long, twin long, source_no long, part int, start long"
     placed = durable(dealt.select("doc_id", "size", "twin", "source_no").mapInPandas(place, schema))
     # One row per task and source that it holds.
     sums = placed.groupBy("source_no", "part").agg(F.sum("size").alias("words"))
-    earlier = sums.selectExpr(
-        "source_no",
-        "part",
-        "sum(words) OVER (PARTITION BY source_no ORDER BY part) - words AS earlier",
+    earlier = durable(
+        sums.selectExpr(
+            "source_no",
+            "part",
+            "sum(words) OVER (PARTITION BY source_no ORDER BY part) - words AS earlier",
+        )
     )
-    joined = placed.join(F.broadcast(earlier), ["source_no", "part"])
+    joined = placed.join(sized(earlier, earlier.count()), ["source_no", "part"])
     return joined.select(
         "doc_id", "twin", "source_no", "size", (F.col("start") + F.col("earlier")).alias("start")
     )
 
 
-def _slots(spark, plan: list[dict], mix: Mix) -> DataFrame:
+def _draws(spark, plan: DataFrame, mix: Mix) -> tuple[DataFrame, int]:
+    """``shard``, ``source_no``, ``drawn`` where a shard draws slots of a source; and the number of shards.
+
+    A shard's slots are drawn first among chunks of sources, then among the sources of a chunk, which
+    together is one multinomial draw among all sources.
+    """
+    chunk = F.expr(f"source_no div {CHUNK}").alias("chunk")
+    chunks = plan.groupBy(chunk).agg(F.sum("slots").alias("slots")).orderBy("chunk").collect()
+    numbers = np.array([c["chunk"] for c in chunks], np.int64)
+    slots = sum(c["slots"] for c in chunks)
+    shards = -(-slots // mix.shard_slots)
+    share = np.array([c["slots"] for c in chunks], float) / slots
+
+    def among_chunks(batches):
+        for batch in batches:
+            for shard in batch["id"]:
+                drawn = np.random.default_rng([mix.seed, int(shard)]).multinomial(mix.shard_slots, share)
+                some = np.flatnonzero(drawn)
+                yield pd.DataFrame({"shard": int(shard), "chunk": numbers[some], "drawn": drawn[some]})
+
+    def among_sources(drawn: pa.Table, sources: pa.Table) -> pa.Table:
+        number, slots = (sources.column(c).to_numpy() for c in ("source_no", "slots"))
+        order = np.argsort(number)
+        number, part = number[order], slots[order] / max(slots.sum(), 1)
+        found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
+        for row in drawn.to_pylist():
+            # Chunks count from 1: a missing number would stand for 0.
+            seed = [mix.seed, row["shard"], row["chunk"] + 1]
+            drawn_of = np.random.default_rng(seed).multinomial(row["drawn"], part)
+            some = np.flatnonzero(drawn_of)
+            values = np.full(len(some), row["shard"]), number[some], drawn_of[some]
+            for column, value in zip(found, values, strict=True):
+                column.append(value)
+        return pa.table([np.concatenate(c) for c in found], ["shard", "source_no", "drawn"])
+
+    by_chunk = spark.range(0, shards, 1, min(shards, 200)).mapInPandas(
+        among_chunks, "shard long, chunk long, drawn long"
+    )
+    group = ["chunk", "bunch"]
+    by_chunk = by_chunk.withColumn("bunch", F.expr(f"shard div {SHARDS}"))
+    bunches = F.explode(F.expr(f"sequence(0L, {(shards - 1) // SHARDS}L)"))
+    sources = plan.select("source_no", "slots", chunk, bunches.alias("bunch"))
+    drawn = (
+        by_chunk.groupBy(*group)
+        .cogroup(sources.groupBy(*group))
+        .applyInArrow(among_sources, "shard long, source_no long, drawn long")
+    )
+    return durable(drawn), shards
+
+
+def _slots(spark, plan: DataFrame, planned: int, mix: Mix) -> DataFrame:
     """``source_no``, ``block``, ``pass``, ``shard``, ``slot``, ``words`` of every slot of the mix.
 
     ``slot`` counts a source's slots, ``words`` how many of its block's a slot takes: all, but in the last.
     Slots drawn beyond a source's need are left out, and what the draws leave short is in one more
-    shard, so each source gets exactly the words of its target.
+    shard, so each source gets exactly the words of its target.  ``planned`` is the number of rows of ``plan``.
     """
-    share = np.array([p["slots"] for p in plan], float)
-    share /= share.sum()
-    shards = ceil(sum(p["slots"] for p in plan) / mix.shard_slots)
-    numbers = [p["source_no"] for p in plan]
-
-    def draw(batches):
-        for batch in batches:
-            rows = []
-            for shard in batch["id"]:
-                drawn = np.random.default_rng([mix.seed, int(shard)])
-                for number, n in zip(numbers, drawn.multinomial(mix.shard_slots, share), strict=True):
-                    rows.append((int(shard), number, int(n)))
-            yield pd.DataFrame(rows, columns=["shard", "source_no", "drawn"])
 
     def look_up(batches):
         for batch in batches:
@@ -203,22 +258,15 @@ def _slots(spark, plan: list[dict], mix: Mix) -> DataFrame:
             yield batch.assign(block=block)
 
     columns = ["source_no", "size", "blocks", "slots", "last"]
-    table = F.broadcast(
-        spark.createDataFrame(
-            [tuple(p[c] for c in columns) for p in plan],
-            "source_no int, size long, blocks long, slots long, last long",
-        )
-    )
-    drawn = spark.range(0, shards, 1, min(shards, 200)).mapInPandas(
-        draw, "shard long, source_no int, drawn long"
-    )
+    table = sized(plan, planned)
+    drawn, shards = _draws(spark, plan, mix)
     drawn = drawn.selectExpr(
         "*", "sum(drawn) OVER (PARTITION BY source_no ORDER BY shard) - drawn AS first"
     )
+    sums = drawn.groupBy("source_no").agg(F.sum("drawn").alias("first"))
     short = (
-        drawn.groupBy("source_no")
-        .agg(F.sum("drawn").alias("first"))
-        .join(table, "source_no")
+        plan.join(sized(sums, planned), "source_no", "left")
+        .withColumn("first", F.coalesce("first", F.lit(0)))
         .where("first < slots")
         .selectExpr(f"CAST({shards} AS BIGINT) AS shard", "source_no", "slots - first AS drawn", "first")
     )
@@ -229,7 +277,7 @@ def _slots(spark, plan: list[dict], mix: Mix) -> DataFrame:
         .withColumn("pass", F.expr("slot div blocks"))
     )
     schema = (
-        "source_no int, size long, blocks long, slots long, last long, shard long, "
+        "source_no long, size long, blocks long, slots long, last long, shard long, "
         "slot long, pass long, block long"
     )
     kept = slots.select(*columns, "shard", "slot", "pass")
@@ -240,9 +288,9 @@ def _slots(spark, plan: list[dict], mix: Mix) -> DataFrame:
     )
 
 
-def _sized(docs: DataFrame, mix: Mix) -> tuple[DataFrame, dict]:
-    """The rows as id, source, size and hash of the text; and the words of each source."""
-    rows = durable(
+def _sized(docs: DataFrame) -> DataFrame:
+    """The rows as id, source, size and hash of the text."""
+    return durable(
         docs.select(
             F.col("doc_id").cast("long"),
             F.col("source").cast("string"),
@@ -250,10 +298,58 @@ def _sized(docs: DataFrame, mix: Mix) -> tuple[DataFrame, dict]:
             F.xxhash64(F.col("text").cast("string")).alias("twin"),
         )
     )
-    sums = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(mix.sources + 1).collect()
-    if len(sums) > mix.sources:
-        raise ValueError(f"more than {mix.sources} sources")
-    return rows, {r["source"]: r["size"] for r in sums}
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``source``, ``source_size``, ``source_no``: sources in code point order, null last, from 0 on."""
+
+    def place(batches):
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            at = pa.array(np.arange(before, before + len(batch)))
+            before += len(batch)
+            columns = [*batch.columns, pa.array(np.full(len(batch), part, np.int32)), at]
+            yield pa.record_batch(columns, ["source", "source_size", "part", "at"])
+
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    order = F.col("source").asc_nulls_last()
+    dealt = sums.repartitionByRange(order).sortWithinPartitions(order)
+    placed = durable(dealt.mapInArrow(place, "source string, source_size long, part int, at long"))
+    # One row per task.
+    parts, earlier = [], 0
+    for part in placed.groupBy("part").count().orderBy("part").collect():
+        parts.append((part["part"], earlier))
+        earlier += part["count"]
+    table = rows.sparkSession.createDataFrame(parts, "part int, earlier long")
+    return placed.join(F.broadcast(table), "part").select(
+        "source", "source_size", (F.col("earlier") + F.col("at")).alias("source_no")
+    )
+
+
+def _with_targets(sources: DataFrame, mix: Mix) -> DataFrame:
+    """``sources`` with ``target``, as ``targets`` has it: one aggregate for each round of sharing out."""
+    weights = [float(w) for w in mix.weights]
+    place = F.pmod("source_no", F.lit(len(weights)))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (place + 1).cast("int"))
+    cap = (F.col("source_size") * F.lit(mix.most)).cast("double")
+    closed, stopped = F.lit(False), -1
+    while True:
+        # Sizes are summed as longs by weight, so neither order nor partitions show in the sums.
+        sums = sources.groupBy(place.alias("place")).agg(
+            F.sum("source_size").alias("size"),
+            F.coalesce(F.sum(F.when(closed, F.col("source_size"))), F.lit(0)).alias("closed_size"),
+            F.count(F.when(closed, 1)).alias("closed"),
+            F.count(F.when(~closed, 1)).alias("open"),
+        )
+        found = sums.orderBy("place").collect()
+        before, stopped = stopped, sum(r["closed"] for r in found)
+        if stopped <= before:
+            return sources.withColumn("target", F.when(closed, cap).otherwise(share))
+        rest = mix.share * sum(r["size"] for r in found) - mix.most * sum(r["closed_size"] for r in found)
+        total = sum(weights[r["place"]] * r["open"] for r in found)
+        share = F.lit(float(rest)) * weight / F.lit(total) if total else F.lit(0.0)
+        # A share only grows, so what stopped once is above in each further round.
+        closed = share > cap if total else closed
 
 
 def mix_spans(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
@@ -269,27 +365,24 @@ def mix_spans(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
     last; a repeated row is a document of its own; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows, sizes = _sized(docs, mix)
-    ordered = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
-    wanted = targets(sizes, mix)
-    table = spark.createDataFrame(
-        [(n, s, int(sizes[s]), float(wanted[s])) for n, s in enumerate(ordered)],
-        "source_no int, source string, source_size long, target double",
-    )
-    # At most ``mix.sources`` rows.
-    numbered = rows.join(
-        F.broadcast(table.select("source_no", F.col("source").alias("name"))),
-        F.col("source").eqNullSafe(F.col("name")),
-    )
-    placed = durable(_in_order(numbered).join(F.broadcast(table), "source_no"))
-    plan = passes(sizes, ordered, wanted, mix)
-    if not plan:
-        none = "shard long, slot long, source_no int, start long, pass long, first long, words long"
+    rows = _sized(docs)
+    numbered = durable(_numbered(rows))
+    count = numbered.count()
+    if mix.sources is not None and count > mix.sources:
+        raise ValueError(f"more than {mix.sources} sources")
+    sources = durable(_with_targets(numbered, mix))
+    names = sources.select("source_no", F.col("source").alias("name"))
+    known = rows.join(sized(names, count), F.col("source").eqNullSafe(F.col("name")))
+    placed = durable(_in_order(known).join(sized(sources, count), "source_no"))
+    plan = durable(_plan(sources, mix))
+    planned = plan.count()
+    if not planned:
+        none = "shard long, slot long, source_no long, start long, pass long, first long, words long"
         return placed, spark.createDataFrame([], none)
     size = mix.block_words
     blocks = f"explode(sequence(start div {size}, (start + size - 1) div {size}))"
     pieces = placed.where("size > 0").select("source_no", "start", "size", F.expr(blocks).alias("block"))
-    taken = _slots(spark, plan, mix).selectExpr(
+    taken = _slots(spark, plan, planned, mix).selectExpr(
         "*", f"block * {size} AS begins", f"block * {size} + words AS ends"
     )
     spans = (

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_tables import FOLDER, load
 
-from stayspark.llm import mixing, queries
+from stayspark.llm import joins, mixing, queries
 
 
 def words(text):
@@ -132,6 +132,40 @@ def test_no_rows_and_no_words(spark):
     assert mixing.mixed_documents(empty).collect() == []
 
 
+def test_more_sources_than_were_let_in(spark):
+    rows = [(i, "a b c d e " * (1 + i % 7), f"site{i % 10_050}") for i in range(10_300)]
+    got = mixing.taken_words(odd(spark, rows)).orderBy("doc_id").collect()
+    assert [r.doc_id for r in got] == [k for k, _, _ in rows]
+    check(got, [(k, s, len(words(t))) for k, t, s in rows])
+
+
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_sources_in_chunks_and_shuffled_joins(spark, monkeypatch, bound):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(mixing, "CHUNK", 3)
+    monkeypatch.setattr(mixing, "SHARDS", 2)
+    rows = ODD + [(1000 + i, f"v{i} x y z " * (i % 9), f"s{i % 23}") for i in range(150)]
+    mix = mixing.Mix(block_words=4, shard_slots=50)
+    got = mixing.taken_words(odd(spark, rows).repartition(3), mix).collect()
+    source = {(k, len(words(t))): s for k, t, s in rows}
+    check(got, [(r.doc_id, source[r.doc_id, r["size"]], r["size"]) for r in got])
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((k, len(words(t))) for k, t, _ in rows)
+
+
+def test_draws_are_those_of_one_multinomial(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 2)
+    slots = [4000, 1, 2500, 3000, 500]
+    plan = spark.createDataFrame(list(enumerate(slots)), "source_no long, slots long")
+    drawn, shards = mixing._draws(spark, plan, mixing.Mix(shard_slots=100))
+    assert shards == 101
+    got, by_shard = Counter(), Counter()
+    for r in drawn.collect():
+        got[r.source_no] += r.drawn
+        by_shard[r.shard] += r.drawn
+    assert by_shard == {i: 100 for i in range(shards)}
+    assert all(abs(got[i] - n * 10_100 / 10_001) < 5 * n**0.5 + 5 for i, n in enumerate(slots))
+
+
 def test_too_many_sources(spark):
     with pytest.raises(ValueError):
         mixing.taken_words(odd(spark), mixing.Mix(sources=2))
