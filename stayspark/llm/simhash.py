@@ -49,7 +49,7 @@ def _windows(text: bytes, shingle: int) -> Iterator[list[bytes]]:
             end = gap.start() if gap else len(text)
         words = carried + text[at:end].split()
         yield words
-        carried = words[len(words) - shingle + 1 :] if shingle > 1 else []
+        carried = words[max(0, len(words) - shingle + 1) :] if shingle > 1 else []
         at = end
 
 

@@ -110,3 +110,9 @@ def test_windows_give_all_shingles(monkeypatch, window, shingle):
         runs = [words[i : i + shingle] for i in range(len(words) - shingle + 1)] or [words][: len(words)]
         want = [xxhash.xxh64_digest(" ".join(r), 42) for r in runs]
         assert [d for block in simhash._digests(text.encode(), shingle) for d in block] == want
+
+
+@pytest.mark.parametrize("window", [1, 2, 7])
+def test_windows_of_fewer_words_than_a_shingle(monkeypatch, window):
+    test_windows_give_all_shingles(monkeypatch, window, 5)
+    test_windows_give_all_shingles(monkeypatch, window, 4)
