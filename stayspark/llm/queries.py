@@ -12,16 +12,20 @@ from pyspark.sql import functions as F
 
 from stayspark.llm import (
     chat,
+    decontaminate,
     dedup,
     knn,
     license_scan,
+    merkle,
     mixing,
     packing,
+    prefix_trie,
     simhash,
     token_files,
     toxicity,
     url_filter,
 )
+from stayspark.session import durable
 
 # Where this package lies.
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -229,3 +233,180 @@ def op6_top_k(spark: SparkSession, folder: str) -> DataFrame:
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licenses named in all documents."""
     return license_scan.scan(read(spark, folder, "documents"))
+
+
+def _crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, bit by bit."""
+    return f"""list_reduce(
+      list_concat([4294967295::UBIGINT], list_transform(string_split({text}, ''), lambda d: ord(d)::UBIGINT)),
+      lambda c, d: list_reduce(
+        list_concat([xor(c, d)], list_resize([0::UBIGINT], 8, 0::UBIGINT)),
+        lambda a, b: xor(a >> 1, 3988292384::UBIGINT * (a & 1))))"""
+
+
+def _unsigned_crc32_sql(text: str) -> str:
+    return f"xor(4294967295::UBIGINT, {_crc32_sql(text)})"
+
+
+def _field_sql(column: str) -> str:
+    text = f"CAST({column} AS VARCHAR)"
+    return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    columns = ("doc_id", "source", "lang", n_chars, "text")
+    return f"sha256({' || '.join(map(_field_sql, columns))})"
+
+
+_TREE_SQL = """
+    {name} AS (
+      SELECT 0 AS level, {group} AS tree, {place} AS place, hash,
+        count(*) OVER (PARTITION BY {group}) AS size
+      FROM {source}
+      UNION ALL
+      SELECT level + 1, tree, place // 2,
+        sha256(string_agg(hash, '' ORDER BY place)), any_value((size + 1) // 2)
+      FROM {name} WHERE size > 1 GROUP BY level, tree, place // 2
+    )"""
+
+
+@query(
+    f"""
+    WITH RECURSIVE leaves AS (
+      SELECT doc_id, lang, {_leaf_sql("n_chars")} AS hash, {_leaf_sql("n_chars + 1")} AS forged,
+        {_unsigned_crc32_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0 AS tampered
+      FROM documents
+    ), placed AS (
+      SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place FROM leaves
+    ), {_TREE_SQL.format(name="low", group="coalesce('=' || lang, '')", place="place", source="placed")},
+    subroots AS (
+      SELECT tree AS lang, hash, row_number() OVER (ORDER BY tree) - 1 AS place, level AS height
+      FROM low WHERE size = 1
+    ), {_TREE_SQL.format(name="high", group="0", place="place", source="subroots")},
+    steps AS (
+      -- the place of a row on every level, first in its group's tree and then among the groups
+      SELECT p.doc_id, n.level, n.hash, n.place <> p.place // CAST(pow(2, n.level) AS BIGINT) AS sibling,
+        n.place AS own
+      FROM placed p JOIN low n ON n.tree = coalesce('=' || p.lang, '') AND n.size > 1
+        AND n.place // 2 = p.place // CAST(pow(2, n.level + 1) AS BIGINT)
+      UNION ALL
+      SELECT p.doc_id, 1000 + n.level, n.hash, n.place <> s.place // CAST(pow(2, n.level) AS BIGINT), n.place
+      FROM placed p JOIN subroots s ON s.lang = coalesce('=' || p.lang, '')
+        JOIN high n ON n.size > 1 AND n.place // 2 = s.place // CAST(pow(2, n.level + 1) AS BIGINT)
+    ), runs AS (
+      SELECT doc_id, level, max(hash) FILTER (sibling) AS other,
+        max(own) FILTER (sibling) < max(own) FILTER (NOT sibling) AS before
+      FROM steps GROUP BY doc_id, level
+    ), paths AS (
+      SELECT doc_id, list({{'other': other, 'before': before}} ORDER BY level) AS path,
+        string_agg(other, '' ORDER BY level) AS siblings
+      FROM runs GROUP BY doc_id
+    ), folded AS (
+      SELECT p.doc_id, p.hash AS leaf, s.hash AS subroot, (SELECT hash FROM high WHERE size = 1) AS root,
+        sha256(coalesce(t.siblings, '')) AS proof_sha256,
+        list_reduce(
+          list_concat(
+            [{{'other': CASE WHEN p.tampered THEN p.forged ELSE p.hash END, 'before': CAST(NULL AS BOOLEAN)}}],
+            coalesce(t.path, [])),
+          lambda a, b: {{'other': sha256(CASE WHEN b.other IS NULL THEN a.other
+            WHEN b.before THEN b.other || a.other ELSE a.other || b.other END), 'before': b.before}}
+        ).other AS folded_root
+      FROM placed p JOIN subroots s ON s.lang = coalesce('=' || p.lang, '') LEFT JOIN paths t USING (doc_id)
+    )
+    SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+    """
+)
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """A Merkle manifest of all documents, audited with every seventh one forged."""
+    proofs = merkle.manifest(read(spark, folder, "documents"))
+    return merkle.audit(proofs, F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+
+
+@query(
+    f"""
+    WITH t AS (
+      SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place
+      FROM conversations
+    ), c AS (
+      SELECT conv_id, conv_id - conv_id % 100 AS trunk, {_unsigned_crc32_sql("CAST(conv_id AS VARCHAR)")} % 6 AS h
+      FROM (SELECT DISTINCT conv_id FROM t)
+    ), rebuilt AS (
+      SELECT c.conv_id, 0 AS part, t.place, t.role, t.text FROM c JOIN t ON t.conv_id = c.trunk AND t.place < c.h
+      UNION ALL
+      SELECT c.conv_id, 1, t.place, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.place >= c.h
+    ), numbered AS (
+      SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth, text,
+        sha256(length(role) || ':' || role || text) AS hash
+      FROM rebuilt
+    ), beginnings AS (
+      SELECT conv_id, depth, length(text) AS tokens,
+        string_agg(hash, '') OVER (PARTITION BY conv_id ORDER BY depth) AS key
+      FROM numbered
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c
+    ), sizes AS (SELECT conv_id, max(depth) AS size FROM beginnings GROUP BY conv_id),
+    nodes AS (
+      SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(tokens) AS tokens,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = size), ''))
+          AS ends_sha256
+      FROM beginnings JOIN sizes USING (conv_id) GROUP BY key, depth
+    ), linked AS (
+      SELECT n.*, p.conv_id AS parent_conv_id,
+        (SELECT count(*) FROM nodes k WHERE k.depth = n.depth + 1 AND starts_with(k.key, n.key)) AS n_children
+      FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.key = left(n.key, 64 * (n.depth - 1))
+    ), sums AS (
+      SELECT left(below.key, 64 * d.depth) AS key, count(*) FILTER (below.n_children = 0) AS n_leaves,
+        sum((below.n_convs - 1) * below.tokens) AS saved_tokens
+      FROM linked below JOIN (SELECT unnest(range(0, 10000)) AS depth) d ON d.depth <= below.depth
+      GROUP BY 1
+    )
+    SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves,
+      CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+    FROM linked JOIN sums USING (key)
+    """
+)
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The trie of all conversations, rebuilt as branches of every hundredth one."""
+    placed = durable(prefix_trie.placed_turns(read(spark, folder, "conversations")))
+    return prefix_trie.prefix_trie(*prefix_trie.branched(placed)).drop("entered", "left")
+
+
+def _words_sql(text: str) -> str:
+    lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    f"""
+    WITH d AS (SELECT doc_id, {_words_sql("coalesce(text, '')")} AS words FROM documents),
+    i AS (SELECT item_id, {_words_sql("coalesce(text, '')")} AS words FROM benchmark),
+    windows AS (
+      SELECT DISTINCT item_id, least(len(words), 10) AS size,
+        array_to_string(words[k:k + least(len(words), 10) - 1], ' ') AS text
+      FROM (SELECT *, unnest(range(1, greatest(len(words) - 10, 0) + 2)) AS k FROM i WHERE len(words) > 0)
+    ), places AS (
+      SELECT doc_id, k, size, array_to_string(words[k:k + size - 1], ' ') AS text
+      FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS k
+            FROM d, (SELECT DISTINCT size FROM windows) WHERE len(words) >= size)
+    ), found AS (SELECT doc_id, k, size, item_id FROM places JOIN windows USING (size, text)),
+    hit AS (
+      SELECT doc_id, count(DISTINCT word) AS n_hit
+      FROM (SELECT doc_id, unnest(range(k, k + size)) AS word FROM found) GROUP BY doc_id
+    ), named AS (
+      SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+    )
+    SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+    """
+)
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold passages of the benchmark."""
+    found = decontaminate.find_items(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", decontaminate.n_hit().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("hit") > 0).alias("contaminated"),
+    )

@@ -16,4 +16,4 @@ def test_query_equals_sql(spark, name):
 def test_queries_are_registered():
     assert set(QUERIES) <= set(contract.queries())
     assert set(ORACLES) <= set(contract.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
