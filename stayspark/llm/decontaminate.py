@@ -204,7 +204,7 @@ class Patterns:
             pattern.append(search.name[which])
         hit: list[list[int]] = [[] for _ in range(len(texts))]
         items: list[list[str]] = [[] for _ in range(len(texts))]
-        if begin:
+        if sum(map(len, begin)):
             begin, end, pattern = (np.concatenate(x) for x in (begin, end, pattern))
             order = np.argsort(begin, kind="stable")
             begin, end, pattern = begin[order], end[order], pattern[order]
