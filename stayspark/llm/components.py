@@ -13,16 +13,31 @@ from pyspark.sql import functions as F
 from stayspark.session import durable
 
 
+# Parts that the links of a node are folded in before they meet: a star's centre may have any number.
+PARTS = 64
+
+
+def _least(links: DataFrame) -> DataFrame:
+    """``a`` and ``m``, the smallest of its ``b``.
+
+    Folding inside the map tasks leaves a row per task and node, so a star's centre would bring one
+    task as many rows as there are tasks.  Folding by a part of the other end first spreads those.
+    """
+    part = F.pmod(F.xxhash64("b"), F.lit(PARTS)).alias("part")
+    parts = links.groupBy("a", part).agg(F.min("b").alias("m"))
+    return parts.groupBy("a").agg(F.min("m").alias("m"))
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    least = _least(both)
     least = least.select("a", F.least("a", "m").alias("m"))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = _least(down)
     other = down.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return least.select("a", F.col("m").alias("b")).union(other)
 

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stayspark.llm.components import components
 from stayspark.llm.joins import sized
@@ -71,7 +72,7 @@ def _digests(text: bytes, shingle: int) -> Iterator[list[bytes]]:
         yield [digest(b" ".join(few), SEED)]
 
 
-def _fingerprints(shingle: int) -> Callable:
+def _fingerprints(shingle: int, into: str = "print", keep_text: bool = False) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "").cast(pa.binary())
@@ -103,7 +104,9 @@ def _fingerprints(shingle: int) -> Callable:
                 count()
             packed = np.packbits(2 * ones > sizes[:, None], axis=1)
             prints = packed.view(">i8").ravel().astype("<i8")
-            yield pa.record_batch([batch.column("doc_id"), pa.array(prints)], ["doc_id", "print"])
+            others = [c for c in batch.schema.names if c != "text" or keep_text]
+            columns = [*map(batch.column, others), pa.array(prints)]
+            yield pa.record_batch(columns, [*others, into])
 
     return run
 
@@ -292,9 +295,22 @@ def near_copies(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFra
 def drop_near_copies(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     """``docs`` without the rows whose component has a smaller id; all columns unchanged.
 
-    Rows without an id stay, as nothing names them; so do all rows with the id that stays.
+    Rows without an id stay, as nothing names them; so do all rows with the id that stays.  Of rows that share an
+    id, only those with the fingerprint of a near copy go.
     """
-    marked = near_copies(docs, shingle, distance)
-    dropped = durable(marked.where("component_id <> doc_id").select("doc_id").distinct())
-    dropped = sized(dropped.toDF("_near_id"), dropped.count())
-    return docs.join(dropped, docs["doc_id"] == dropped["_near_id"], "left_anti")
+    marked = durable(near_copies(docs, shingle, distance).where("doc_id IS NOT NULL"))
+    gone = F.col("component_id") < F.col("doc_id")
+    ids = marked.groupBy("doc_id").agg(F.count_if(gone).alias("gone"), F.count(F.lit(1)).alias("rows"))
+    ids = durable(ids.where("gone > 0").select(F.col("doc_id").alias("_near_id"), (F.col("gone") < F.col("rows")).alias("some")))
+    kept = docs.join(sized(ids, ids.count()), docs["doc_id"] == ids["_near_id"], "left_anti")
+    shared = ids.where("some").select("_near_id")
+    if shared.isEmpty():
+        return kept
+    # Ids of several rows of which some go: their rows are told apart by their fingerprints.
+    name = next(n for n in map("_near_print{}".format, range(len(docs.columns) + 1)) if n not in docs.columns)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+    rows = docs.join(shared, docs["doc_id"] == shared["_near_id"], "left_semi")
+    printed = rows.mapInArrow(tidy(_fingerprints(shingle, name, keep_text=True)), schema)
+    copies = marked.where(gone).select(F.col("doc_id").alias("_near_id"), "print").distinct()
+    same = (printed["doc_id"] == copies["_near_id"]) & (printed[name] == copies["print"])
+    return kept.unionByName(printed.join(copies, same, "left_anti").select(*docs.columns))

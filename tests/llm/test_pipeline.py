@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from llm_tables import FOLDER, plain_encoder
+from llm_tables import FOLDER, documents, plain_encoder
 from test_simhash import plain_components, plain_print
 
 import corpus_pipeline
@@ -65,3 +65,10 @@ def test_stages_keep_what_they_must(spark, tmp_path):
 def test_run_gives_the_rows_of_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, FOLDER)
     assert rows.columns[:4] == ["doc_id", "start", "length", "doc_tokens"] and rows.count() > 100
+
+
+def test_near_copies_leave_other_rows_of_their_id(spark):
+    said = "one two three four five six"
+    docs = documents(spark, [(3, said), (7, said + " "), (7, "nobody else says anything like it")])
+    kept = corpus_pipeline.drop_near_copies(spark, docs, FOLDER)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, said), (7, "nobody else says anything like it")]

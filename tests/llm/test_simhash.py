@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 from llm_tables import FOLDER, documents, load
+from pyspark.sql import functions as F
 
 from stayspark.llm import components, joins, queries, simhash
 
@@ -116,3 +117,27 @@ def test_windows_give_all_shingles(monkeypatch, window, shingle):
 def test_windows_of_fewer_words_than_a_shingle(monkeypatch, window):
     test_windows_give_all_shingles(monkeypatch, window, 5)
     test_windows_give_all_shingles(monkeypatch, window, 4)
+
+
+def test_largest_task_of_a_star_reads_a_row_per_part(spark):
+    links = spark.range(50_000).selectExpr("0L AS a", "id + 1 AS b").repartition(40)
+    folded = components._least(links.union(links.select("b", "a")))
+    assert folded.where("a = 0").first().m == 1 and folded.count() == 50_001
+    # What meets at the centre: its parts, not its links or the tasks that hold them.
+    by_part = links.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(components.PARTS))).count()
+    assert by_part.count() == components.PARTS
+    assert by_part.agg(F.max("count")).first()[0] < 2 * 50_000 / components.PARTS
+
+
+X = "one two three four five six"
+
+
+@pytest.mark.parametrize("shared", [True, False])
+def test_rows_that_share_an_id_are_told_apart(spark, shared):
+    rows = [(3, X), (7, X.replace(" ", "  ")), (8, X), (8, X), (None, X), (3, "other words on the smallest id")]
+    rows += [(7, "something else that nobody has said")] if shared else []
+    docs = documents(spark, rows).withColumn("_near_print0", F.lit(1)).withColumn("_near_id", F.lit(2))
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    want = [(3, X), (3, "other words on the smallest id"), (None, X)] + rows[6:]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
