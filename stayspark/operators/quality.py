@@ -131,6 +131,21 @@ def foreign_key_violations(
     return union_all(parts)
 
 
+def _common_types(
+    child: DataFrame, columns: Sequence[str], parent: DataFrame, parent_columns: Sequence[str]
+) -> list[str]:
+    """The types in which a join would compare the columns of a foreign key with those of its parent."""
+    own, other = dict(child.dtypes), dict(parent.dtypes)
+    pairs = [(own[c], other[p]) for c, p in zip(columns, parent_columns, strict=True)]
+    both = [f"coalesce(CAST(NULL AS {a}), CAST(NULL AS {b})) AS c{i}" for i, (a, b) in enumerate(pairs)]
+    return [kind for _, kind in child.sparkSession.range(0).selectExpr(*both).dtypes]
+
+
+def _slots(kinds: Sequence[str]) -> list[tuple[str, int]]:
+    """A place for each part of a key: its type, and its number among the parts of that type."""
+    return [(kind, list(kinds[:i]).count(kind)) for i, kind in enumerate(kinds)]
+
+
 def violations(
     tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec]
 ) -> DataFrame:
@@ -139,39 +154,57 @@ def violations(
     One pass tests the rules of single rows.  The other unfolds each row to its keys: those of the table itself, and
     those that children and parents of a foreign key share.  All key rules are then counted together,
     and a foreign key is broken where its key has child rows but no parent row.
+
+    Keys keep their types: a row of the unfolded keys has a column for each type that occurs, as often as one rule needs
+    it, and a foreign key is compared in the type in which a join of both sides would be.
     """
-    rules, keys = [], {name: [] for name in specs}
+    # Of each rule: table, kind, name, columns with their own types, and the places of its parts.
+    rules: list[tuple] = []
+    keys: dict[str, list[tuple]] = {name: [] for name in specs}
     for name, spec in specs.items():
-        own = [("primary_key", spec.primary_key), *[("unique", key) for key in spec.unique]]
-        for kind, columns in own:
-            keys[name].append((len(rules), columns, False))
-            rules.append((len(rules), name, kind, ",".join(columns)))
+        own = dict(tables[name].dtypes)
+        for kind, columns in [("primary_key", spec.primary_key), *[("unique", key) for key in spec.unique]]:
+            places = _slots([own[c] for c in columns])
+            keys[name].append((len(rules), columns, places, False))
+            rules.append((name, kind, ",".join(columns), [own[c] for c in columns], places))
         for fk in spec.foreign_keys:
-            keys[name].append((len(rules), fk.columns, False))
-            keys.setdefault(fk.parent, []).append((len(rules), fk.parent_columns, True))
-            rules.append((len(rules), name, "foreign_key", fk.name))
-    unfolded = []
-    for name, listed in keys.items():
-        if listed:
-            entries = ", ".join(
-                f"struct({rule} AS rule_no, array({', '.join(f'CAST({c} AS STRING)' for c in columns)})"
-                f" AS parts, {str(parent).lower()} AS parent)"
-                for rule, columns, parent in listed
-            )
-            unfolded.append(tables[name].selectExpr(f"inline(array({entries}))"))
-    counted = union_all(unfolded).groupBy("rule_no", "parts").agg(
+            kinds = _common_types(tables[name], fk.columns, tables[fk.parent], fk.parent_columns)
+            keys[name].append((len(rules), fk.columns, _slots(kinds), False))
+            keys.setdefault(fk.parent, []).append((len(rules), fk.parent_columns, _slots(kinds), True))
+            rules.append((name, "foreign_key", fk.name, [own[c] for c in fk.columns], _slots(kinds)))
+    slots = sorted({place for *_, places in rules for place in places})
+    held = {place: f"part_{i}" for i, place in enumerate(slots)}
+
+    def entry(rule: int, columns: Sequence[str], places: list[tuple[str, int]], parent: bool) -> str:
+        parts = dict(zip(places, columns, strict=True))
+        cells = [f"CAST({parts.get(p, 'NULL')} AS {p[0]}) AS {held[p]}" for p in slots]
+        hole = " OR ".join(f"{c} IS NULL" for c in columns)
+        return f"struct({rule} AS rule_no, ({hole}) AS hole, {str(parent).lower()} AS parent, {', '.join(cells)})"
+
+    unfolded = [
+        tables[name].selectExpr(f"inline(array({', '.join(entry(*e) for e in listed)}))")
+        for name, listed in keys.items()
+        if listed
+    ]
+    counted = union_all(unfolded).groupBy("rule_no", "hole", *held.values()).agg(
         F.count_if(~F.col("parent")).alias("row_count"), F.max("parent").alias("parent")
     )
     spark = next(iter(tables.values())).sparkSession
     # As many rows as the model has key rules.
-    named = spark.createDataFrame(rules, "rule_no int, table_name string, kind string, rule string")
-    holes = F.exists("parts", F.isnull)
+    named = spark.createDataFrame(
+        [(i, *rule[:3]) for i, rule in enumerate(rules)], "rule_no int, table_name string, kind string, rule string"
+    )
     broken = (
-        F.when(F.col("kind") == "primary_key", (F.col("row_count") > 1) | holes)
-        .when(F.col("kind") == "unique", (F.col("row_count") > 1) & ~holes)
-        .otherwise((F.col("row_count") > 0) & ~holes & ~F.col("parent"))
+        F.when(F.col("kind") == "primary_key", (F.col("row_count") > 1) | F.col("hole"))
+        .when(F.col("kind") == "unique", (F.col("row_count") > 1) & ~F.col("hole"))
+        .otherwise((F.col("row_count") > 0) & ~F.col("hole") & ~F.col("parent"))
     )
-    key = F.concat_ws("|", F.transform("parts", lambda part: F.coalesce(part, F.lit("NULL"))))
+    # The key as its own table writes it; only broken ones become text.
+    texts = [
+        f"WHEN {i} THEN " + key_text([f"CAST({held[p]} AS {kind})" for p, kind in zip(places, kinds, strict=True)])
+        for i, (*_, kinds, places) in enumerate(rules)
+    ]
+    key = F.expr(f"CASE rule_no {' '.join(texts)} END")
     by_key = counted.join(F.broadcast(named), "rule_no").where(broken)
     report = by_key.select("table_name", "kind", "rule", key.alias("key"), "row_count")
     return union_all([report, *[row_violations(tables[n], s) for n, s in specs.items()]])

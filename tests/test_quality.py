@@ -2,6 +2,7 @@
 
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from stayspark.model import BOOKING, FEEDBACK, INVOICE, TABLES, Check, ForeignKey, TableSpec
@@ -95,3 +96,48 @@ def test_column_kinds_are_known():
     kinds = {k for s in TABLES.values() for k in s.kinds.values()}
     assert kinds == {"int", "str", "bool", "date"}
     assert BOOKING.kinds["Cancellation"] == "bool" and FEEDBACK.kinds["Rating"] == "int"
+
+
+def _report(frame):
+    return sorted(map(tuple, frame.select("table_name", "kind", "rule", "key", "row_count").collect()))
+
+
+@pytest.mark.parametrize(
+    "child,parent",
+    [
+        ("decimal(10,2)", "bigint"), ("bigint", "decimal(10,2)"), ("int", "bigint"), ("string", "int"), ("int", "string"),
+        ("double", "int"), ("date", "timestamp"), ("decimal(12,4)", "decimal(8,1)"), ("string", "string"),
+    ],
+)
+def test_keys_of_different_types_are_compared_as_in_a_join(spark, child, parent):
+    dates = {"date", "timestamp"}
+    values = ["DATE'2020-01-0{}'", "{}"][not {child, parent} & dates]
+    cell = lambda n, kind: f"CAST({values.format(n)} AS {kind})"
+    kids = spark.sql(
+        " UNION ALL ".join(f"SELECT {i}L AS id, {cell(n, child)} AS p" for i, n in enumerate([1, 2, 2, 3, 3]))
+        + f" UNION ALL SELECT 9L, CAST(NULL AS {child})"
+    )
+    homes = spark.sql(" UNION ALL ".join(f"SELECT {cell(n, parent)} AS k" for n in (1, 2)))
+    specs = {
+        "kid": TableSpec("kid", ("id",), foreign_keys=(ForeignKey(("p",), "home", ("k",)),)),
+        "home": TableSpec("home", ("k",)),
+    }
+    tables = {"kid": kids, "home": homes}
+    want = quality.foreign_key_violations(tables, specs["kid"])
+    assert _report(quality.violations(tables, specs)) == _report(want)
+    assert [r.row_count for r in want.collect()] == [2]
+
+
+def test_composite_keys_of_mixed_types(spark):
+    rows = spark.sql(
+        "SELECT * FROM VALUES (1L, 'a', 1), (1L, 'a', 1), (1L, 'b', 2), (2L, NULL, 2), (NULL, 'a', 5), (3L, 'x', NULL) AS t(a, b, c)"
+    )
+    up = spark.sql("SELECT * FROM VALUES (1, 'a'), (1, 'b') AS t(x, y)")
+    spec = TableSpec("t", ("a", "b"), unique=(("c",), ("b", "c")), foreign_keys=(ForeignKey(("a", "b"), "up", ("x", "y")),))
+    tables = {"t": rows, "up": up}
+    parts = [
+        quality.primary_key_violations(rows, spec), quality.unique_violations(rows, spec),
+        quality.foreign_key_violations(tables, spec),
+    ]
+    specs = {"t": spec, "up": TableSpec("up", ("x", "y"))}
+    assert _report(quality.violations(tables, specs)) == sorted(x for p in parts for x in _report(p))
