@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 
 from stayspark.session import durable
 
-EVERY = 16
+EVERY = 128
 # Elements of a list that one task ranks by itself.
-ONE_TASK = 256
+ONE_TASK = 512
 
 
 def _walked(sums: list[str]):
@@ -46,7 +46,7 @@ def prefix_sums(elements: DataFrame, sums: list[str], salt: int = 0) -> DataFram
     elements = durable(elements.select("id", "pred", *[F.col(s).cast("long").alias(s) for s in sums]))
     if elements.count() <= ONE_TASK:
         schema = T.StructType([elements.schema["id"], *[T.StructField(s, T.LongType()) for s in sums]])
-        return elements.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_walked(sums), schema)
+        return durable(elements.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_walked(sums), schema))
 
     def ruler(element: Column) -> Column:
         return F.pmod(F.xxhash64(F.lit(salt), element), F.lit(EVERY)) == 0
@@ -72,6 +72,5 @@ def prefix_sums(elements: DataFrame, sums: list[str], salt: int = 0) -> DataFram
     rulers = prefix_sums(state.where(ruler(F.col("id"))), sums, salt + 1)
     known = rulers.select(F.col("id").alias("_id"), *[F.col(s).alias(f"_{s}") for s in sums])
     others = state.where(~ruler(F.col("id"))).join(known, F.col("pred") == F.col("_id"), "left")
-    return rulers.unionByName(
-        others.select("id", *[(F.col(s) + F.coalesce(f"_{s}", F.lit(0))).alias(s) for s in sums])
-    )
+    found = others.select("id", *[(F.col(s) + F.coalesce(f"_{s}", F.lit(0))).alias(s) for s in sums])
+    return durable(rulers.unionByName(found))

@@ -151,10 +151,12 @@ def _toured(tree: DataFrame) -> DataFrame:
         F.col("id").alias("_id"), *[F.col(s).alias(f"to_{s}") for s in SUMS]
     )
     # Of a run: what comes before its first arc, less what comes before that on its path.
-    shifts = runs.join(ranked, F.col("id") == F.col("_id")).select(
-        "id.conv_id", "id.run",
-        *[(F.col(f"to_{s}") - F.col(s) - F.col(f"_{s}")).alias(f"shift_{s}") for s in SUMS],
-    )
+    shifts = durable(
+        runs.join(ranked, F.col("id") == F.col("_id")).select(
+            "id.conv_id", "id.run",
+            *[(F.col(f"to_{s}") - F.col(s) - F.col(f"_{s}")).alias(f"shift_{s}") for s in SUMS],
+        )
+    )
     at = {s: F.col(s) + F.col(f"shift_{s}") for s in SUMS}
 
     def between(s: str) -> Column:
@@ -191,9 +193,7 @@ def _ends(convs: DataFrame, keyed: DataFrame, nodes: DataFrame, least: int) -> D
     turnless = convs.join(last, "conv_id", "left_anti").select(
         "conv_id", F.lit(least).cast("long").alias("node"), F.lit(0).cast("long").alias("depth")
     )
-    ranked = running(
-        durable(ended.union(turnless)), ["node", "depth"], ["conv_id"], {"rank": ("sum", F.lit(1).cast("long"))}
-    )
+    ranked = running(ended.union(turnless), ["node", "depth"], ["conv_id"], {"rank": ("sum", F.lit(1).cast("long"))})
     ids = F.transform(F.array_sort(F.collect_list("conv_id")), lambda c: c.cast("string"))
     pieces = ranked.groupBy("node", "depth", F.floor(F.col("rank") / PIECE).alias("piece")).agg(
         F.array_join(ids, ",").alias("text")
@@ -224,11 +224,9 @@ def prefix_trie(convs: DataFrame, placed: DataFrame) -> DataFrame:
     )
     tree = durable(_tree(keyed, nodes, least, count))
     none = F.lit(hashlib.sha256().hexdigest())
-    rows = (
-        tree.join(_toured(tree), ["conv_id", "depth"])
-        .join(_ends(convs, keyed, nodes, least), ["conv_id", "depth"], "left")
-        .where(F.lit(count) > 0)
-    )
+    toured = durable(_toured(tree))
+    ends = durable(_ends(convs, keyed, nodes, least))
+    rows = tree.join(toured, ["conv_id", "depth"]).join(ends, ["conv_id", "depth"], "left").where(F.lit(count) > 0)
     return rows.select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
         F.coalesce("ends_sha256", none).alias("ends_sha256"), "entered", "left",

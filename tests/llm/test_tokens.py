@@ -15,7 +15,8 @@ from stayspark.llm.tokens import TextEncoder, text_slices
 ODD = [
     "", " ", "It's  a\ttest\n", "İstanbul ΣΑΣ ΟΔΟΣ", "é ́e ạ́b", "<|endoftext|>x <|endoftext|>",
     "a b c\x85d\x1ce", "日本語 text 1234 don't", "\x0b\x0cab\r\n", "🙂🙂 <|startoftext|>", None, "x" * 3000,
-    "word " * 5000,
+    "word " * 5000, "<|ENDOFTEXT|> x. <|EndOfText|>.", "UPPER. Lower, (x) a-b! don't. it's, 'tis' end", "naïve… fin.? ÀÉÎ.,; ǅ. ŉ! ﬁn, ſ.",
+    "e\u0301. a\u0323\u0301, \u0301x.", "\x00ctrl\x07. \x1b[0m, a\x00b.", "ΑΣ. ΑΣ, Σ.Α", "K. Å, ß. ẞ.", "<|endoftext|>. a<|startoftext|>b,",
 ]
 
 
@@ -32,6 +33,23 @@ def test_chunks_give_the_ids_of_whole_texts():
     assert whole.tolist() == ids.tolist() and same.tolist() == offsets.tolist()
 
 
+PIECES = ["a", "Word", "ß", "É", "e\u0301", "İ", "Σ", "'s", "'", ".", ",", "!?", "<|", "|>", "<|endoftext|>", "7", " ", "\n", "\x85", "\x00", "日", "🙂"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=12).map("".join), min_size=1, max_size=4))
+def test_chunks_of_any_kind(texts):
+    for size in (0, 1000):
+        encode = TextEncoder(queries.word_bpe(), cached=size) if size not in ENCODERS else ENCODERS[size]
+        ENCODERS[size] = encode
+        ids, offsets = encode(pa.array(texts, pa.string()))
+        for row, text in enumerate(texts):
+            assert ids[offsets[row] : offsets[row + 1]].tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+ENCODERS = {}
+
+
 def test_slices_cover_all_rows_once():
     texts = pa.array(["a" * n for n in (5, 0, 30, 1, 1, 12)] + [None])
     slices = list(text_slices(texts, 12))
