@@ -188,8 +188,11 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ends(convs: DataFrame, keyed: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     """``conv_id``, ``depth``, ``ends_sha256`` of every node at which conversations end."""
     last = keyed.groupBy("conv_id").agg(F.max(F.struct("depth", *KEY)).alias("last"))
-    last = last.select("conv_id", "last.*")
-    ended = _with_keys(last, KEY, F.col("depth"), nodes).select("conv_id", F.col("found").alias("node"), "depth")
+    last = durable(last.select("conv_id", "last.*"))
+    # A join by itself, of which any number of rows may have one key: adaptive execution can split it.
+    ended = durable(
+        _with_keys(last, KEY, F.col("depth"), nodes).select("conv_id", F.col("found").alias("node"), "depth")
+    )
     turnless = convs.join(last, "conv_id", "left_anti").select(
         "conv_id", F.lit(least).cast("long").alias("node"), F.lit(0).cast("long").alias("depth")
     )
