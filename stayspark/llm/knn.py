@@ -10,6 +10,7 @@ solved locally, and only scores that reach their query's bound travel to the fin
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,17 +29,16 @@ GROUP, PART = 2048, 8192
 GROUPS = 4096
 # Components up to this size give inner products that fit into a long, for any usual dimension.
 LARGEST = 2**24
-# Beyond it squares are no finite doubles.
+# Where components are beyond it, bounds are found on vectors scaled down, as squares would be no finite doubles.
 FINITE = 2.0**500
 # Rounding of an inner product of doubles, as a share of the product of the lengths, for each dimension.
 ROUNDING = 2.0**-50
 
 
-def integer_vectors(embedding: Column, scale: int = 64, largest: float | None = LARGEST) -> Column:
+def integer_vectors(embedding: Column, scale: int = 64, largest: float | None = None) -> Column:
     """floor(scale * x) of every component, as doubles; null for a vector that takes no part.
 
-    That is one that is null or holds a component that is null, not finite, or beyond ``largest``; with None
-    vectors of every finite size take part.
+    That is one that is null or holds a component that is null or not finite; or beyond ``largest``, where it is given.
     """
 
     def whole(x: Column) -> Column:
@@ -55,17 +55,17 @@ def integer_vectors(embedding: Column, scale: int = 64, largest: float | None =
     return F.when(embedding.isNotNull() & ~odd, F.transform(embedding, whole))
 
 
-def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
-    """Vectors as rows; shorter ones count as filled up with zeros."""
+def _matrix(vectors: pa.Array, width: int, shift: int = 0) -> np.ndarray:
+    """Vectors as rows, divided by ``2 ** shift``; shorter ones count as filled up with zeros."""
     out = np.zeros((len(vectors), width))
     offsets = vectors.offsets.to_numpy()
     sizes = np.diff(offsets)
     flat = vectors.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
     row = np.repeat(np.arange(len(sizes)), sizes)
     out[row, np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], sizes)] = flat
-    if not (np.abs(out) < FINITE).all():
-        raise ValueError("a component is not a number below 2**500")
-    return out
+    if not np.isfinite(out).all():
+        raise ValueError("a component is not a finite number")
+    return np.ldexp(out, -shift) if shift else out
 
 
 def _column(batch, name: str) -> pa.Array:
@@ -74,8 +74,8 @@ def _column(batch, name: str) -> pa.Array:
 
 
 def _most(a: np.ndarray, b: np.ndarray) -> float:
-    """What no inner product, and no part of its sum, is beyond."""
-    return np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
+    """What no inner product, and no part of its sum, is beyond; infinite where doubles end."""
+    return float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -89,20 +89,25 @@ def _lengths(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x**2).sum(axis=1))
 
 
-def _rounding(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _rounding(a: np.ndarray, b: np.ndarray, shift: int = 0) -> np.ndarray:
     """How far each inner product in doubles may be from the exact one; 0 where doubles hold it."""
     width = a.shape[1]
+    if shift:  # products of scaled vectors may also be too small for a double
+        return _lengths(a)[:, None] * _lengths(b)[None, :] * (ROUNDING * (width + 2)) + width * 2.0**-600
     held = np.abs(a).max(axis=1)[:, None] * np.abs(b).max(axis=1)[None, :] * width < 2**53
     off = _lengths(a)[:, None] * _lengths(b)[None, :] * (ROUNDING * (width + 2))
     return np.where(held, 0.0, off)
 
 
-def _wide(query: np.ndarray, own: int, bound: float, near: np.ndarray, keys: np.ndarray, begins: np.ndarray, k: int):
+def _wide(
+    query: np.ndarray, own: int, bound: float, near: np.ndarray, keys: np.ndarray, begins: np.ndarray, k: int, shift: int
+):
     """The ``k`` best of ``near`` for one query, where scores may not fit a long: ids and whole scores.
 
     Scores in doubles, with what they may be off by, leave few rows; only these are summed as whole numbers.
     """
-    score, off = (near @ query), _rounding(query[None, :], near)[0]
+    small = [np.ldexp(x, -shift) if shift else x for x in (query, near)]
+    score, off = (small[1] @ small[0]), _rounding(small[0][None, :], small[1], shift)[0]
     low = np.maximum.reduceat(score - off, begins)
     low[keys == own] = -np.inf
     least = np.partition(low, -k)[-k] if len(low) >= k else -np.inf
@@ -130,19 +135,19 @@ def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return cell, away * (1 + 1e-9) + 1e-6
 
 
-def _bounds(pivots: np.ndarray, ids: np.ndarray, sample: np.ndarray, k: int):
+def _bounds(pivots: np.ndarray, ids: np.ndarray, sample: np.ndarray, k: int, shift: int):
     """For each query its cell, its distance to the pivot, and the k-th best score in the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, own = _matrix(batch.column("vector"), pivots.shape[1]), batch.column("id").to_numpy()
+            x, own = _matrix(batch.column("vector"), pivots.shape[1], shift), batch.column("id").to_numpy()
             cell, away = _nearest(x, pivots)
             bound = np.full(len(x), -np.inf)
             for a in range(0, len(x), GROUP):
                 some = x[a : a + GROUP]
                 score = some @ sample.T
-                if _most(some, sample) >= 2**53:
-                    score -= _rounding(some, sample)
+                if shift or _most(some, sample) >= 2**53:
+                    score -= _rounding(some, sample, shift)
                 score[own[a : a + GROUP, None] == ids[None, :]] = -np.inf
                 if score.shape[1] >= k:
                     least = np.partition(score, -k, axis=1)[:, -k]
@@ -154,7 +159,7 @@ def _bounds(pivots: np.ndarray, ids: np.ndarray, sample: np.ndarray, k: int):
     return run
 
 
-def _replicate(pivots: np.ndarray, cells: list[tuple[int, int, float, int]], parts: int):
+def _replicate(pivots: np.ndarray, cells: list[tuple[int, int, float, int]], parts: int, shift: int):
     """Each data vector once for every query group that it may matter to.
 
     ``cells`` has a query group, one of its cells, that cell's largest distance and the group's bound.
@@ -167,7 +172,7 @@ def _replicate(pivots: np.ndarray, cells: list[tuple[int, int, float, int]], par
             vectors = batch.column("vector")
             for a in range(0, len(vectors), GROUP):
                 some = batch.slice(a, GROUP)
-                x = _matrix(some.column("vector"), pivots.shape[1])
+                x = _matrix(some.column("vector"), pivots.shape[1], shift)
                 size = _lengths(x)[:, None]
                 reach = (x @ pivots.T)[:, cell] + size * away[None, :]
                 off = size * (lengths[cell] + away)[None, :] * (ROUNDING * (x.shape[1] + 4))
@@ -198,7 +203,7 @@ def _longs(best: list[tuple[int, int]]) -> tuple[np.ndarray, np.ma.MaskedArray]:
     return keys, np.ma.array(np.array(scores, np.int64), mask=np.array(below, bool))
 
 
-def _solve(width: int, k: int):
+def _solve(width: int, k: int, shift: int):
     """The best of a part of the data for each query of a group, where they reach the query's bound."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -219,7 +224,7 @@ def _solve(width: int, k: int):
             near = x[begins[0] : ends[a : a + PART][-1]]
             if _most(q, near) >= 2**63:
                 for row in range(len(q)):
-                    best = _wide(q[row], own[row], bound[row], near, keys, begins - begins[0], k)
+                    best = _wide(q[row], own[row], bound[row], near, keys, begins - begins[0], k, shift)
                     out.append((np.full(len(best), own[row]), *_longs(best)))
                 continue
             score = _product(q, near).astype(np.int64)
@@ -228,7 +233,7 @@ def _solve(width: int, k: int):
             score[own[:, None] == keys[None, :]] = -(2**63)
             for row in range(len(q)):
                 s = score[row]
-                at = np.flatnonzero(s >= bound[row])
+                at = np.flatnonzero(s >= np.ldexp(bound[row], 2 * shift))
                 if len(at) > k:
                     least = np.partition(s[at], -k)[-k]
                     more, ties = at[s[at] > least], at[s[at] == least]
@@ -261,12 +266,16 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 20) -> DataFrame:
     if not count or not asked:
         return spark.createDataFrame([], schema)
     width = max(width, wide, 1)
+    largest = max(
+        side.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x))))).first()[0] for side in clean
+    )
+    shift = math.frexp(largest)[1] - 400 if largest >= FINITE else 0
     # Spread over the data by a hash: rows that are everywhere the same in number, whatever the size.
     picked = clean[1].orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
     _, at = np.unique(_column(picked, "id").to_numpy(), return_index=True)
-    sample = _matrix(_column(picked, "vector"), width)[np.sort(at)]
+    sample = _matrix(_column(picked, "vector"), width, shift)[np.sort(at)]
     pivots = np.unique(sample[:PIVOTS], axis=0)
-    bounds = _bounds(pivots, _column(picked, "id").to_numpy()[np.sort(at)], sample, k)
+    bounds = _bounds(pivots, _column(picked, "id").to_numpy()[np.sort(at)], sample, k, shift)
     known = durable(
         clean[0].mapInArrow(
             bounds, "id long, vector array<double>, cell long, away double, bound double"
@@ -291,7 +300,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 20) -> DataFrame:
     low = summary.withColumn("bound", F.min("bound").over(W.partitionBy("grp"))).collect()
     parts = -(-count // PART)
     copies = clean[1].mapInArrow(
-        _replicate(pivots, [(r["grp"], r["cell"], r["away"], r["bound"]) for r in low], parts),
+        _replicate(pivots, [(r["grp"], r["cell"], r["away"], r["bound"]) for r in low], parts, shift),
         "grp int, part int, id long, vector array<double>",
     )
     spread = grouped.withColumn("part", F.explode(F.expr(f"sequence(0, {parts - 1})")))
@@ -299,7 +308,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 20) -> DataFrame:
         spread.select("grp", "part", "id", "vector", "bound")
         .groupBy("grp", "part")
         .cogroup(copies.groupBy("grp", "part"))
-        .applyInArrow(_solve(width, k), "query_id long, vec_id long, score long")
+        .applyInArrow(_solve(width, k, shift), "query_id long, vec_id long, score long")
     )
     best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), "vec_id")

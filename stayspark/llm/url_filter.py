@@ -10,8 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Entries that are broadcast as one trie, some 500 bytes each; more are refused.
+from stayspark.session import durable
+
+# Entries that are broadcast as one trie, some 500 bytes each; more are matched block by block.
 MAX_RULES = 500_000
+FOUND = "size int, host_size int, blocks boolean, rule string"
 
 
 @dataclass(frozen=True)
@@ -106,9 +109,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def judge(spark: SparkSession, rules: Sequence[Rule], host: Column, path: Column) -> Column:
-    """``rule`` (text of the longest rule that fits, else null) and its ``verdict``, as a struct."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+    """The longest of at most ``MAX_RULES`` rules that fits, as a struct that is larger for a rule that counts before
+    another; null where none fits."""
     shared = spark.sparkContext.broadcast(Trie(rules))
 
     def look_up(hosts: pa.Array, paths: pa.Array) -> pa.Array:
@@ -120,25 +122,35 @@ def judge(spark: SparkSession, rules: Sequence[Rule], host: Column, path: Column
             for h, p in zip(codes.indices.to_pylist(), paths.to_pylist(), strict=True)
         ]
         columns = [
+            pa.array([r and len(r.text) for r in found], pa.int32()),
+            pa.array([r and len(r.host) for r in found], pa.int32()),
+            pa.array([r and r.verdict == "block" for r in found], pa.bool_()),
             pa.array([r and r.text for r in found], pa.string()),
-            pa.array([r and r.verdict for r in found], pa.string()),
         ]
-        return pa.StructArray.from_arrays(columns, ["rule", "verdict"])
+        names = [c.split()[0] for c in FOUND.split(", ")]
+        return pa.StructArray.from_arrays(columns, names, mask=pa.array([r is None for r in found]))
 
     look_up.__annotations__ = {"hosts": pa.Array, "paths": pa.Array, "return": pa.Array}
-    return F.arrow_udf(look_up, "rule string, verdict string")(host, path)
+    return F.arrow_udf(look_up, FOUND)(host, path)
 
 
 def judge_pages(pages: DataFrame, rules: Sequence[Rule], otherwise: str = "allow") -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict`` for every row of ``pages``.
 
-    Where no rule fits, ``rule`` is null and the verdict is ``otherwise``; so for a null or odd URL.
+    Where no rule fits, ``rule`` is null and the verdict is ``otherwise``; so for a null or odd URL.  Rules beyond
+    ``MAX_RULES`` are matched in several passes over hosts and paths, each with a trie of that many.
     Repeated rows are judged alike; an empty table gives no rows; other columns are not read.
     """
     host, path = host_and_path(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
-    found = split.withColumn(
-        "found", judge(pages.sparkSession, rules, F.col("host"), F.col("path"))
-    )
-    verdict = F.coalesce("found.verdict", F.lit(otherwise))
+    blocks = [rules[i : i + MAX_RULES] for i in range(0, len(rules), MAX_RULES)] or [[]]
+    found = split
+    for n, block in enumerate(blocks):
+        best = judge(pages.sparkSession, block, F.col("host"), F.col("path"))
+        if n:
+            # Stored, so that no worker holds two tries at a time.
+            found = durable(found).withColumn("next", best).withColumn("found", F.greatest("found", "next")).drop("next")
+        else:
+            found = found.withColumn("found", best)
+    verdict = F.when(F.col("found.blocks"), "block").when(F.col("found").isNotNull(), "allow").otherwise(otherwise)
     return found.select("page_id", "host", "path", "found.rule", verdict.alias("verdict"))

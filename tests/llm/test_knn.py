@@ -100,4 +100,16 @@ def test_which_vectors_take_part(spark):
     ]
     frame = spark.createDataFrame(rows, "id long, embedding array<float>")
     got = {r.id: r.v for r in frame.select("id", knn.integer_vectors(F.col("embedding")).alias("v")).collect()}
-    assert got == {1: [32, -1], 2: None, 3: None, 4: None, 5: None, 6: [], 7: None}
+    assert got == {1: [32, -1], 2: None, 3: None, 4: None, 5: None, 6: [], 7: [64 * float(np.float32(3e38))]}
+
+
+@pytest.mark.parametrize("size", [2.0**499, 2.0**500, 2.0**600, 2.0**1015])
+def test_components_of_any_finite_size(spark, monkeypatch, size):
+    monkeypatch.setattr(knn, "PIVOTS", 3)
+    rng = np.random.default_rng(7)
+    data = [(i, [0.0, *map(float, rng.integers(-90, 90, 3))]) for i in range(60)]
+    data += [(100, [size, 1.0, 2.0, 3.0]), (101, [-size, 80.0, 80.0, 80.0]), (102, [size, 0.0, 0.0, 0.0])]
+    asked = [(200, [0.0, 3.0, -2.0, 5.0]), (201, [0.0, 1.0, 1.0, 9.0]), data[0], (202, [0.0] * 4)]
+    assert run(spark, asked, data, 5) == plain(asked, data, 5)
+    with pytest.raises(Exception, match="does not fit a long"):
+        run(spark, [(300, [4.0])], data, 1)

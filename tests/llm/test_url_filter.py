@@ -49,10 +49,18 @@ def test_odd_urls(spark):
     assert url_filter.judge_pages(frame.limit(0), URL_RULES).collect() == []
 
 
-def test_rules_are_checked(spark, monkeypatch):
+def test_rules_are_checked():
     with pytest.raises(ValueError):
         url_filter.Trie([Rule("maybe", "org")])
-    monkeypatch.setattr(url_filter, "MAX_RULES", 2)
-    frame = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
-    with pytest.raises(ValueError):
-        url_filter.judge_pages(frame, URL_RULES)
+
+
+@pytest.mark.parametrize("limit", [1, 2])
+def test_rules_beyond_one_trie(spark, monkeypatch, limit):
+    rules = [*URL_RULES, Rule("allow", "example.org", "/es/"), Rule("block", "example.org", "/es/"), Rule("allow", "a.org", "")]
+    urls = [
+        "http://a.org/", "http://x.example.org/es/1", "http://example.org/en/12", "http://b.com/fr/", "http://b.com/de/", "http://c.net/", None,
+    ]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = sorted(map(tuple, url_filter.judge_pages(frame, rules).collect()))
+    monkeypatch.setattr(url_filter, "MAX_RULES", limit)
+    assert sorted(map(tuple, url_filter.judge_pages(frame, rules).collect())) == want
