@@ -7,12 +7,14 @@ The rulers make up a list a fraction as long, which is ranked likewise, down to
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stayspark.session import durable
+from stayspark.session import durable, in_rounds
 
 EVERY = 128
 # Elements of a list that one task ranks by itself.
@@ -37,6 +39,28 @@ def _walked(sums: list[str]):
     return run
 
 
+def _doubled(state: DataFrame, sums: list[str], reached: Callable[[Column], Column]) -> DataFrame:
+    """``state`` with every pointer moved on until it is ``there``, and the sums of what it has passed."""
+    moving = True
+    while moving:
+        next_ = state.select(
+            F.col("id").alias("_id"), F.col("pred").alias("_pred"), F.col("there").alias("_there"),
+            *[F.col(s).alias(f"_{s}") for s in sums],
+        )
+        # Elements that are there meet theirs as well and keep what they have: no union, whose parts would add up.
+        step = ~F.col("there")
+        met = state.join(next_, F.col("pred") == F.col("_id"), "left")
+        state = durable(
+            met.select(
+                "id", F.when(step, F.col("_pred")).otherwise(F.col("pred")).alias("pred"),
+                *[(F.col(s) + F.when(step, F.col(f"_{s}")).otherwise(0)).alias(s) for s in sums],
+                F.when(step, F.col("_there")).otherwise(F.lit(True)).alias("there"),
+            )
+        )
+        moving = not state.where("NOT there").isEmpty()
+    return state
+
+
 def prefix_sums(elements: DataFrame, sums: list[str], salt: int = 0) -> DataFrame:
     """``id`` and, for every column of ``sums``, its sum from the first element of the list up to this one.
 
@@ -55,20 +79,8 @@ def prefix_sums(elements: DataFrame, sums: list[str], salt: int = 0) -> DataFram
         return pointer.isNull() | ruler(pointer)
 
     state = elements.withColumn("there", reached(F.col("pred")))
-    moving = True
-    while moving:
-        next_ = state.select(
-            F.col("id").alias("_id"), F.col("pred").alias("_pred"), F.col("there").alias("_there"),
-            *[F.col(s).alias(f"_{s}") for s in sums],
-        )
-        stepped = state.where("NOT there").join(next_, F.col("pred") == F.col("_id"))
-        stepped = stepped.select(
-            "id", F.col("_pred").alias("pred"), *[(F.col(s) + F.col(f"_{s}")).alias(s) for s in sums],
-            F.col("_there").alias("there"),
-        )
-        state = durable(state.where("there").unionByName(stepped))
-        moving = not state.where("NOT there").isEmpty()
-
+    with in_rounds(elements.sparkSession):
+        state = _doubled(state, sums, reached)
     rulers = prefix_sums(state.where(ruler(F.col("id"))), sums, salt + 1)
     known = rulers.select(F.col("id").alias("_id"), *[F.col(s).alias(f"_{s}") for s in sums])
     others = state.where(~ruler(F.col("id"))).join(known, F.col("pred") == F.col("_id"), "left")
