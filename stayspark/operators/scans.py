@@ -20,15 +20,25 @@ def _joined(kind: str, before: Column, inside: Column) -> Column:
 
 
 def running(
-    rows: DataFrame, group: list[str], order: list[Column | str], values: dict[str, tuple[str, Column]]
+    rows: DataFrame,
+    group: list[str],
+    order: list[Column | str],
+    values: dict[str, tuple[str, Column]],
+    small: bool = False,
 ) -> DataFrame:
     """``rows`` with one more column per entry of ``values``: what the rows before it in its group add up to.
 
-    ``values`` gives a kind, ``sum`` or ``max``, and a column that is never null.  Before the first row of a group a
+    ``values`` gives a kind, ``sum`` or ``max``, and a column, of which nulls do not count.  Before the first row of a group a
     sum is 0 and a maximum null.  Rows stand in the order of ``order``; equal ones
     stand in any order, but the same one for all values.  A null is a group of its own.
+
+    ``small`` says that every group has been counted and fits into a task: a plain window does then.
     """
     names = list(values)
+    if small:
+        before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        sums = {n: getattr(F, kind)(c).over(before) for n, (kind, c) in values.items()}
+        return rows.withColumns({n: F.coalesce(s, F.lit(0)) if values[n][0] == "sum" else s for n, s in sums.items()})
     inputs = {f"_in_{n}": c for n, (_, c) in values.items()}
     placed = rows.withColumns(inputs).repartitionByRange(*group, *order)
     # Stored, so that a repeated task finds every row in the stretch it was in before.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayspark.model import Check, ForeignKey, TableSpec
-from stayspark.operators import changes
+from stayspark.operators import change_log, changes
 from stayspark.operators.catalogue import field
 from stayspark.plans import edit
 from stayspark.registry.base import query, read
@@ -346,3 +346,83 @@ WHERE NOT (o_custkey IN (SELECT user_id FROM events)
 )
 def apply_delete_by_column(spark: SparkSession, folder: str) -> DataFrame:
     return _delete_by_customer(spark, folder).table
+
+
+# One log over two tables: events insert, move and remove suppliers, and remove and bring back the parts that they supply.
+# The SQL enters them one by one: the recursion carries the parts that are there, and the suppliers with part and nickname.
+_NICKED = TableSpec(
+    "supplier",
+    ("s_suppkey",),
+    not_null=("s_nick",),
+    unique=(("s_nick",),),
+    foreign_keys=(ForeignKey(("s_partkey",), "part", ("p_partkey",)),),
+)
+_PARTS = TableSpec("part", ("p_partkey",))
+_LOG = """
+WITH RECURSIVE b AS (
+  SELECT event_id, row_number() OVER (ORDER BY event_id) AS n, event_id % 8 AS kind, user_id + 150 * (event_id // 8 % 40) AS who,
+    CAST(json_extract_string(props, '$.k') AS BIGINT) % 30 + 30 * (user_id % 20) + 1 AS part,
+    user_id + 150 * (event_id // 8 % 40) + event_id % 3 AS nick
+  FROM events),
+s AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS reason,
+    (SELECT list(CAST(p_partkey AS BIGINT)) FROM part) AS parts,
+    (SELECT map(list(CAST(s_suppkey AS BIGINT)), list({'part': CAST(s_nationkey + 1 AS BIGINT), 'nick': CAST(s_suppkey AS BIGINT)}))
+     FROM supplier) AS held
+  UNION ALL
+  SELECT n, event_id, CASE WHEN reason = 'unknown key' THEN reason WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END,
+    CASE WHEN reason <> 'unknown key' THEN reason END,
+    CASE WHEN reason IS NOT NULL THEN parts WHEN kind = 5 THEN list_filter(parts, lambda x: x <> part)
+      WHEN kind = 6 THEN list_append(parts, part) ELSE parts END,
+    CASE WHEN reason IS NOT NULL OR kind IN (5, 6) THEN held
+      WHEN kind = 4 THEN map_from_entries(list_filter(map_entries(held), lambda e: e.key <> who))
+      ELSE map_concat(held, map([who], [{
+        'part': CASE WHEN kind IN (0, 1, 2) THEN part ELSE held[who].part END,
+        'nick': CASE WHEN kind IN (0, 1, 3, 7) THEN nick ELSE held[who].nick END}])) END
+  FROM (
+    SELECT b.*, s.parts, s.held, CASE
+      WHEN kind IN (0, 1, 2) AND part IS NOT NULL AND NOT list_contains(s.parts, part) THEN 'foreign_key s_partkey->part'
+      WHEN kind IN (0, 1) AND s.held[who] IS NOT NULL THEN 'duplicate s_suppkey'
+      WHEN kind IN (2, 3, 4, 7) AND s.held[who] IS NULL THEN 'unknown key'
+      WHEN kind = 5 AND NOT list_contains(s.parts, part) THEN 'unknown key'
+      WHEN kind = 6 AND list_contains(s.parts, part) THEN 'duplicate p_partkey'
+      WHEN kind IN (0, 1, 3, 7) AND len(list_filter(map_entries(s.held), lambda e: e.key <> who AND e.value.nick = nick)) > 0
+        THEN 'duplicate s_nick'
+      WHEN kind = 5 AND len(list_filter(map_values(s.held), lambda v: v.part = part)) > 0 THEN 'referenced' END AS reason
+    FROM s JOIN b ON b.n = s.n + 1))
+SELECT event_id, CASE WHEN kind IN (5, 6) THEN 'part' ELSE 'supplier' END AS table_name,
+  CASE WHEN kind IN (0, 1, 6) THEN 'insert' WHEN kind IN (4, 5) THEN 'delete' ELSE 'update' END AS op, outcome, reason
+FROM s JOIN b USING (event_id)
+"""
+
+
+def _log(spark: SparkSession, folder: str) -> change_log.Logged:
+    kind = F.col("event_id") % 8
+    who = F.col("user_id").cast("long") + 150 * (F.floor(F.col("event_id") / 8) % 40)
+    part = _event_number().cast("long") % 30 + 30 * (F.col("user_id") % 20) + 1
+    events = _events(spark, folder).select(
+        "event_id", kind.alias("kind"), who.alias("who"), part.alias("part"), (who + F.col("event_id") % 3).alias("nick")
+    )
+    op = F.when(F.col("kind").isin(0, 1, 6), "insert").when(F.col("kind").isin(4, 5), "delete").otherwise("update")
+    column = F.when(F.col("kind") == 2, "s_partkey").when(F.col("kind").isin(3, 7), "s_nick")
+    suppliers = events.where("kind NOT IN (5, 6)").select(
+        "event_id", op.alias("op"), column.alias("op_column"), F.col("who").alias("s_suppkey"),
+        F.col("part").alias("s_partkey"), F.col("nick").alias("s_nick"),
+    )
+    parts = events.where("kind IN (5, 6)").select(
+        "event_id", op.alias("op"), F.lit(None).cast("string").alias("op_column"), F.col("part").alias("p_partkey")
+    )
+    tables = {
+        "supplier": read(spark, folder, "supplier").selectExpr(
+            "CAST(s_suppkey AS BIGINT) AS s_suppkey", "CAST(s_nationkey + 1 AS BIGINT) AS s_partkey", "CAST(s_suppkey AS BIGINT) AS s_nick"
+        ),
+        "part": read(spark, folder, "part").selectExpr("CAST(p_partkey AS BIGINT) AS p_partkey"),
+    }
+    specs = {"supplier": _NICKED, "part": _PARTS}
+    return change_log.apply_log(tables, {"supplier": suppliers, "part": parts}, specs, "event_id")
+
+
+@query(_LOG)
+def apply_log(spark: SparkSession, folder: str) -> DataFrame:
+    """What became of every operation of a log over suppliers and parts."""
+    return _log(spark, folder).outcomes

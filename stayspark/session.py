@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import os
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +53,26 @@ def durable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def in_rounds(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """For loops in which each stored result is joined to make the next one: gives what stores a result.
+
+    A checkpoint keeps the planner's guess of its size, which joins square, so after some twenty rounds it is a number
+    of a million digits.  Here results are written as Parquet to the shared folder and read again with their true size.  All of
+    them are removed at the end; what is needed longer must be made durable before.
+    """
+    folder = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
+    number = count()
+
+    def store(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{next(number)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield store
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
