@@ -39,7 +39,7 @@ def _walked(sums: list[str]):
     return run
 
 
-def _doubled(state: DataFrame, sums: list[str], reached: Callable[[Column], Column]) -> DataFrame:
+def _doubled(state: DataFrame, sums: list[str], store: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``state`` with every pointer moved on until it is ``there``, and the sums of what it has passed."""
     moving = True
     while moving:
@@ -50,7 +50,7 @@ def _doubled(state: DataFrame, sums: list[str], reached: Callable[[Column], Colu
         # Elements that are there meet theirs as well and keep what they have: no union, whose parts would add up.
         step = ~F.col("there")
         met = state.join(next_, F.col("pred") == F.col("_id"), "left")
-        state = durable(
+        state = store(
             met.select(
                 "id", F.when(step, F.col("_pred")).otherwise(F.col("pred")).alias("pred"),
                 *[(F.col(s) + F.when(step, F.col(f"_{s}")).otherwise(0)).alias(s) for s in sums],
@@ -79,8 +79,8 @@ def prefix_sums(elements: DataFrame, sums: list[str], salt: int = 0) -> DataFram
         return pointer.isNull() | ruler(pointer)
 
     state = elements.withColumn("there", reached(F.col("pred")))
-    with in_rounds(elements.sparkSession):
-        state = _doubled(state, sums, reached)
+    with in_rounds(elements.sparkSession) as store:
+        state = durable(_doubled(state, sums, store))
     rulers = prefix_sums(state.where(ruler(F.col("id"))), sums, salt + 1)
     known = rulers.select(F.col("id").alias("_id"), *[F.col(s).alias(f"_{s}") for s in sums])
     others = state.where(~ruler(F.col("id"))).join(known, F.col("pred") == F.col("_id"), "left")
