@@ -11,6 +11,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stayspark.operators.scans import running
+
 # The fields of a hotel document.
 HOTEL_FIELDS = ("ID", "NAME", "STAR", "CITY", "COUNTRY")
 
@@ -78,6 +80,20 @@ def delete_first(docs: DataFrame, keys: DataFrame, name: str) -> Deleted:
     return Deleted(docs.join(victims.select("seq"), "seq", "left_anti"), victims)
 
 
+def delete_in_turn(docs: DataFrame, keys: DataFrame, name: str) -> Deleted:
+    """For every row of ``keys``, delete the first document that is left whose field has that value.
+
+    So n requests for a value delete its first n documents, all if there are fewer.  Requests are counted per value, and
+    documents before each one of the same value by running sums: no task holds all documents of a value.
+    """
+    asked = keys.where(F.col(keys.columns[0]).isNotNull()).groupBy(F.col(keys.columns[0]).alias("key"))
+    asked = asked.agg(F.count(F.lit(1)).alias("requests"))
+    found = docs.select("seq", field(name).alias("key")).join(asked, "key")
+    ranked = running(found, ["key"], ["seq"], {"before": ("sum", F.lit(1).cast("long"))})
+    victims = ranked.where("before < requests").select("key", "seq")
+    return Deleted(docs.join(victims.select("seq"), "seq", "left_anti"), victims)
+
+
 def with_item(docs: DataFrame, name: str, item: str) -> DataFrame:
     """Documents whose list field contains an item."""
     return docs.where(F.array_contains(field(name, "array<string>"), item))

@@ -144,6 +144,22 @@ def doc_deleted(spark: SparkSession, folder: str) -> DataFrame:
     return _delete_first(spark, folder).deleted.select("key", "seq")
 
 
+@query(
+    _HOTELS
+    + """, asked AS (SELECT n_name AS key, count(*) AS requests FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1),
+  ranked AS (SELECT seq, "CITY" AS key, row_number() OVER (PARTITION BY "CITY" ORDER BY seq) AS n FROM hotels)
+SELECT key, seq FROM ranked JOIN asked USING (key) WHERE n <= requests"""
+)
+def doc_deleted_in_turn(spark: SparkSession, folder: str) -> DataFrame:
+    """A city is named once for each of its suppliers, and each time loses the first hotel that is left."""
+    cities = (
+        read(spark, folder, "supplier")
+        .join(read(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .select("n_name")
+    )
+    return catalogue.delete_in_turn(_hotels(spark, folder), cities, "CITY").deleted
+
+
 @query(
     """SELECT p_partkey AS seq, CAST(p_partkey AS VARCHAR) AS "ID" FROM part
 WHERE list_contains(string_split(p_name, ' '), 'ring')"""

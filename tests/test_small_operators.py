@@ -159,6 +159,22 @@ def test_only_the_first_match_is_deleted(spark):
     assert catalogue.count(done.remaining).first().documents == 2
 
 
+@pytest.mark.parametrize("times", [0, 1, 2, 5, 50])
+def test_each_request_deletes_one_document(spark, times):
+    cities = ["hot"] * 20 + ["b", "hot", "b", "c", None, "b"] * 7
+    docs = collection(spark, [{"ID": i, "CITY": c} for i, c in enumerate(cities)])
+    asked = ["hot"] * times + ["b"] * (times // 2) + ["nowhere", None] * 2 + ["c"]
+    done = catalogue.delete_in_turn(docs, spark.createDataFrame([(c,) for c in asked], "k string"), "CITY")
+    left = list(enumerate(cities, 1))
+    for key in asked:
+        hit = next((d for d in left if key is not None and d[1] == key), None)
+        if hit is not None:
+            left.remove(hit)
+    gone = {s for s, _ in enumerate(cities, 1)} - {d[0] for d in left}
+    assert {r.seq for r in done.deleted.collect()} == gone
+    assert {r.seq for r in done.remaining.collect()} == {d[0] for d in left}
+
+
 def test_flexible_shapes(spark):
     odd = [{"ID": 7, "FACILITIES": ["pool", "bar"]}, {"NAME": {"x": 1}}, {"ID": "8", "FACILITIES": ["bar"]}]
     docs = catalogue.insert(collection(spark, CATALOGUE), collection(spark, odd, 10))
