@@ -292,7 +292,7 @@ def _inside(predicate: str, columns: tuple[str, ...]) -> str:
     return re.sub(rf"(?<![\w.'])({names})(?![\w'])", r"_r.\1", predicate)
 
 
-def _doubled(judged: DataFrame, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def doubled(judged: DataFrame, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``at``, ``implied`` of every operation that hangs on another: the ``ok`` at the end of its chain, turned over as
     often as the chain says."""
     chain = store(judged.where("hangs_on IS NOT NULL").select("at", "hangs_on", "flip"))
@@ -350,7 +350,7 @@ def _settled(
             return found
         rounds += 1
         if rounds >= PATIENCE:
-            met = found.join(_doubled(found, store), "at", "left")
+            met = found.join(doubled(found, store), "at", "left")
             found = store(met.withColumn("ok", F.coalesce("implied", "ok")).drop("implied"))
 
 

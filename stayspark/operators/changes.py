@@ -9,7 +9,7 @@ for the results.  Write a result to a new path: a plan must not overwrite the fi
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
 
@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from stayspark.model import Check, ForeignKey, TableSpec, children_of
 from stayspark.operators import quality
+from stayspark.operators.change_log import doubled
 from stayspark.operators.joins import keys_among
 from stayspark.operators.unions import union_all
-from stayspark.session import durable
+from stayspark.session import durable, in_rounds
 
 
 class Applied(NamedTuple):
@@ -101,35 +102,67 @@ def _admit(valid: DataFrame, rules: Sequence[Sequence[str]], order: str) -> Data
 
     With one rule that is the first row of every key.  With several, a row that loses on one key
     must not block another row on its other key.  Each round admits every row that comes first on
-    all its keys (in the first round, also all whose keys occur once) and drops the rows that share a
-    key with it; the earliest pending row is always admitted, so the rounds end, and the outcome
-    is the one-by-one outcome exactly.  A round stores one result, the pending rows with their marks.
+    all its keys and drops the rows that share a key with it.  A row with exactly one earlier pending row among those it shares
+    a key with gets in exactly if that one does not; chains of such rows are followed by pointer doubling,
+    so that a round decides all of a chain that begins at an admitted row.  The earliest pending row is always admitted, so the
+    rounds end, and the outcome is the one-by-one outcome exactly.
 
-    The rounds grow with the longest chain of rows in which each is blocked by one key of the row before
-    it and by nothing earlier: linear in that chain at worst, whatever the size of the batch.
+    Stored results: one per round, and in a round with chains the logarithm of the longest.  The rounds grow with the
+    longest chain of rows that each have two or more undecided rows before them.
     """
     if len(rules) == 1:
         return _first_per_key(valid, rules[0], order).select(order)
     columns = list(dict.fromkeys(c for rule in rules for c in rule))
-    keyed = sum((F.when(_present(rule), 1).otherwise(0) for rule in rules), F.lit(0))
-    pending = valid.select(order, *columns, keyed.alias("_keyed"))
+    with in_rounds(valid.sparkSession) as store:
+        admitted = _admitted(store(valid.select(order, *columns)), rules, order, store)
+        return durable(admitted) if admitted is not None else valid.select(order).limit(0)
+
+
+def _rivals(pending: DataFrame, rules: Sequence[Sequence[str]], order: str) -> DataFrame:
+    """``pending`` with ``_earlier``, the one earlier row that shares a key with it (null: none), and ``_more``, if there are more."""
+    rows = pending
+    for i, rule in enumerate(rules):
+        first = _first_per_key(pending, rule, order).withColumnRenamed(order, f"_first{i}")
+        rows = rows.join(first, list(rule), "left")
+    for i, rule in enumerate(rules):
+        later = rows.where(F.col(order) > F.col(f"_first{i}"))
+        second = _first_per_key(later.select(order, *rule), rule, order).withColumnRenamed(order, f"_second{i}")
+        rows = rows.join(second, list(rule), "left")
+    ahead = [F.when(F.col(order) > F.col(f"_first{i}"), F.col(f"_first{i}")) for i in range(len(rules))]
+    crowd = [F.coalesce(F.col(order) > F.col(f"_second{i}"), F.lit(False)) for i in range(len(rules))]
+    names = F.array_distinct(F.array_compact(F.array(*ahead)))
+    more = reduce(lambda a, b: a | b, crowd, F.size(names) > 1)
+    return rows.select(*pending.columns, F.get(names, 0).alias("_earlier"), more.alias("_more"))
+
+
+def _admitted(
+    pending: DataFrame, rules: Sequence[Sequence[str]], order: str, store: Callable[[DataFrame], DataFrame]
+) -> DataFrame | None:
     admitted = []
     while True:
-        firsts = union_all(_first_per_key(pending, rule, order).select(order) for rule in rules)
-        wins = firsts.groupBy(order).agg(F.count(F.lit(1)).alias("_wins"))
-        won = F.coalesce("_wins", F.lit(0)) == F.col("_keyed")
-        marked = durable(
-            pending.join(wins, order, "left").select(order, *columns, "_keyed", won.alias("_won"))
-        )
-        winners = marked.where("_won")
-        if winners.isEmpty():
+        marked = store(_rivals(pending, rules, order))
+        free = F.col("_earlier").isNull()
+        if marked.where(free).isEmpty():
             break
+        single = ~free & ~F.col("_more")
+        judged = marked.select(
+            F.col(order).alias("at"), F.when(single, F.col("_earlier")).alias("hangs_on"), F.lit(True).alias("flip"),
+            F.when(free, F.lit(True)).alias("ok"),
+        )
+        won = F.when(free, F.lit(True))
+        if not marked.where(single).isEmpty():
+            followed = doubled(judged, store).toDF("_at", "_implied")
+            marked = marked.join(followed, F.col(order) == F.col("_at"), "left")
+            won = F.coalesce(won, "_implied")
+        marked = store(marked.select(*pending.columns, won.alias("_won")))
+        winners = marked.where("_won")
         admitted.append(winners.select(order))
-        pending = marked.where("NOT _won").drop("_won")
+        pending = marked.where("_won IS NULL").drop("_won")
         for rule in rules:
             taken = winners.where(_present(rule)).select(*rule)
             pending = pending.join(taken, list(rule), "left_anti")
-    return union_all(admitted) if admitted else valid.select(order).limit(0)
+        pending = store(pending)
+    return union_all(admitted)
 
 
 def insert_rows(

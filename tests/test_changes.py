@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from contextlib import contextmanager
 from datetime import date
 
 import pytest
@@ -437,3 +438,23 @@ def test_delete_by_column_refuses_whole_keys(spark):
     got = changes.delete_rows(frame, keys, TableSpec("t", ("id",)), "grp", children)
     assert {r.id for r in got.table.collect()} == {i for i in range(30) if i % 4 != 2}
     assert [r.grp for r in got.rejected.collect()] == [1]
+
+
+def test_a_long_chain_of_rows_takes_few_rounds(spark, monkeypatch):
+    """Each row shares one key with the row before it and one with the row after it: every second one gets in."""
+    spec = TableSpec("claim", ("a",), unique=(("b",),))
+    n = 10_000
+    # Rows 2i and 2i + 1 share a; rows 2i + 1 and 2i + 2 share b.
+    batch = spark.range(n).selectExpr("id DIV 2 AS a", "(id + 1) DIV 2 AS b", "id AS at").repartition(4)
+    written = []
+    plain = changes.in_rounds
+
+    @contextmanager
+    def counted(session):
+        with plain(session) as store:
+            yield lambda df: written.append(1) or store(df)
+
+    monkeypatch.setattr(changes, "in_rounds", counted)
+    done = changes.insert_rows(batch.select("a", "b").limit(0), batch, spec, "at")
+    assert sorted(r["at"] for r in done.outcomes.where("outcome = 'accepted'").collect()) == list(range(0, n, 2))
+    assert len(written) <= 30
