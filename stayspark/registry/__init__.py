@@ -5,6 +5,7 @@ from stayspark.registry import (  # noqa: F401
     catalogue,
     changes,
     generator,
+    increments,
     ingest,
     lookup,
     quality,

@@ -55,6 +55,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def scratch_folder(spark: SparkSession, kind: str) -> Iterator[str]:
+    """A new folder that driver and executors share, removed at the end; what is needed longer must be made durable before."""
+    folder = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def in_rounds(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """For loops in which each stored result is joined to make the next one: gives what stores a result.
@@ -63,16 +74,12 @@ def in_rounds(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
     of a million digits.  Here results are written as Parquet to the shared folder and read again with their true size.  All of
     them are removed at the end; what is needed longer must be made durable before.
     """
-    folder = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
     number = count()
+    with scratch_folder(spark, "rounds") as folder:
 
-    def store(df: DataFrame) -> DataFrame:
-        path = f"{folder}/{next(number)}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        def store(df: DataFrame) -> DataFrame:
+            path = f"{folder}/{next(number)}"
+            df.write.parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
 
-    try:
         yield store
-    finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
