@@ -67,13 +67,20 @@ def _unequal(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     return grouped.where(" OR ".join(f"{name} <> 0" for name in _SUMS)).select(key, "first_rows", "second_rows")
 
 
+def _first_level(first: DataFrame, second: DataFrame) -> int:
+    """The lowest level of so few ranges that looking at the levels above saves nothing."""
+    ranges = first.unionByName(second).groupBy("level").agg(F.countDistinct("range").alias("n"))
+    few = [row["level"] for row in ranges.where(F.col("n") <= 2**BITS).collect()]  # at most LEVELS rows
+    return min(few, default=LEVELS - 1)
+
+
 def differing_ranges(first: DataFrame, second: DataFrame) -> DataFrame:
     """``range`` of the lowest level whose content differs between two trees of the same width.
 
-    Both are read level by level; from the second on only below ranges that differ.
+    Both are read level by level, from the first with at most 256 ranges; below it only where ranges differ.
     """
     wanted = None
-    for level in reversed(range(LEVELS)):
+    for level in reversed(range(_first_level(first, second) + 1)):
         sides = []
         for tree in (first, second):
             side = tree.where(F.col("level") == level).select("range", *_SUMS)
