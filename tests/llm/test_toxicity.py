@@ -110,3 +110,33 @@ def test_scorer_sees_the_features_of_whole_texts():
     for text, score in zip(texts, got, strict=True):
         counts = toxicity.text_features(text or "")
         assert score == pytest.approx(sum(w * np.log1p(counts[f]) for f, w in weights.items()))
+
+
+def planted(rng, grade):
+    """Text of 40 to 120 words whose share of mild and of harsh words follows a planted severity, with noise.
+
+    No word tells a grade by itself, and lengths do not depend on it.
+    """
+    harsh = np.clip((grade - 1) * 0.08 + rng.normal(0, 0.02), 0, 1)
+    mild = np.clip(grade * 0.06 + rng.normal(0, 0.02), 0, 1) if grade < 3 else 0.06
+    kinds = rng.choice(3, rng.integers(40, 120), p=[1 - harsh - mild, mild, harsh])
+    words = ("zebra lemon table river cloud paper stone glass".split(), "gruff snarky pesky".split(),
+             "vilebrute scumlout hatemonger".split())
+    return " ".join(words[kind][rng.integers(len(words[kind]))] for kind in kinds)
+
+
+def test_planted_grades_are_ranked(spark):
+    """Grades that come from a planted severity, not from the features: fitted on half, judged on the others."""
+    rng = np.random.default_rng(5)
+    grades = {i: i % 4 for i in range(1200)}
+    docs = documents(spark, [(i, planted(rng, grade)) for i, grade in grades.items()])
+    labels = graded(spark, list(grades.items()))
+    model = toxicity.fit_model(docs, labels.where("doc_id < 600"), toxicity.Fit(grades=None, least_z=2.0))
+    assert len(model.thresholds) == 3 and list(model.thresholds) == sorted(model.thresholds)
+    rows = toxicity.score_documents(docs.where("doc_id >= 600"), model).select("doc_id", "severity").collect()
+    assert len(rows) == 600
+    by_grade = [np.array([r.severity for r in rows if grades[r.doc_id] == g]) for g in range(4)]
+    means = [float(s.mean()) for s in by_grade]
+    off = float(np.abs(np.concatenate([s - g for g, s in enumerate(by_grade)])).mean())
+    # Guessing 1.5 for every text would be off by 1.  How well neighbouring grades are told apart is in the README.
+    assert means == sorted(means) and off < 0.5
