@@ -169,3 +169,39 @@ def test_draws_are_those_of_one_multinomial(spark, monkeypatch):
 def test_too_many_sources(spark):
     with pytest.raises(ValueError):
         mixing.taken_words(odd(spark), mixing.Mix(sources=2))
+
+
+def rebuilt(sizes, mix):
+    """Words taken per document, slot by slot and word by word: (doc_id, source, size) with ids that differ."""
+    sources = sorted({s for _, s, _ in sizes}, key=lambda s: (s is None, s or ""))
+    total = {source: sum(n for _, s, n in sizes if s == source) for source in sources}
+    want = mixing.targets(total, mix)
+    taken = Counter()
+    for number, source in enumerate(sources):
+        rows = sorted((k, n) for k, s, n in sizes if s == source)
+        owner = [k for k, n in rows for _ in range(n)]
+        blocks = [owner[at : at + mix.block_words] for at in range(0, len(owner), mix.block_words)]
+        left, turn = int(want[source]), 0
+        while left:
+            secret = mixing.key(mix, number, turn)
+            for block in mixing.permuted(np.arange(len(blocks)), len(blocks), secret).tolist():
+                slot = blocks[block][:left]
+                taken.update(slot)
+                left -= len(slot)
+            turn += 1
+    return taken
+
+
+def test_whole_table_equals_a_plain_rebuild(spark):
+    sizes = [(k, s, len(words(t))) for k, s, t in load("SELECT doc_id, source, text FROM documents ORDER BY 1")]
+    rows = queries.QUERIES["op4_mixing"](spark, FOLDER).collect()
+    assert {r.doc_id: r.taken for r in rows if r.taken} == dict(rebuilt(sizes, mixing.Mix()))
+
+
+@pytest.mark.parametrize("block", [1, 7, 100_000])
+def test_odd_rows_equal_a_plain_rebuild(spark, block):
+    mix = mixing.Mix(block_words=block, shard_slots=50)
+    rows = [(k, t, s) for k, t, s in ODD if k is not None and k != 7]
+    got = mixing.taken_words(odd(spark, rows).repartition(3), mix).collect()
+    want = rebuilt([(k, s, len(words(t))) for k, t, s in rows], mix)
+    assert {r.doc_id: r.taken for r in got if r.taken} == dict(want)
