@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
-from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +24,8 @@ from stayspark.llm import (
     toxicity,
     url_filter,
 )
-from stayspark.session import durable
+from stayspark.session import durable, find_package
 
-# Where this package lies.
-ROOT = str(Path(__file__).resolve().parents[2])
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,17 +43,6 @@ def query(sql: str | None = None):
     return register
 
 
-def find_package(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package from where the driver has it.
-
-    Elsewhere it is installed or sent with ``--py-files``, as any package.
-    """
-    environment = spark.sparkContext.environment
-    known = environment.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in known:
-        environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
-
-
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     find_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -4,12 +4,14 @@ Whether an operation is accepted depends on earlier ones only: is its row there,
 still point at the row, does another row hold the value.  All of these are counts that go up and down along the log:
 of rows per key, of references per parent, of holders per value.  So, given a guess of which operations are accepted, every
 operation is judged by sums over the earlier events of the keys it asks about (``operators.scans``), which turns one
-guess into the next.  The right outcome is the only guess that stays as it is; every round settles at least all operations that depend
-on settled ones.
+guess into the next.  The right outcome is the only guess that stays as it is.
 
-Long chains, in which each decision hangs on the one before it, such as a value that is handed on from row to row, are not
-followed link by link: an operation with one open question points at the operation that answers it, and pointers are doubled
-along the chain.
+Decisions hang on one another in long webs: hundreds deep where some hundred thousand operations share few keys.  A round
+therefore deals the log out in slices of consecutive operations, of which each task enters its own one by one, from the counts and
+values that the guess gives for the slice's start.  Every round settles at least one more slice.
+
+Long chains that run through many slices, such as a value that is handed on from row to row, are not followed slice by slice:
+an operation with one open question points at the operation that answers it, and pointers are doubled along the chain.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping
 from functools import reduce
+from itertools import groupby
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayspark.model import TableSpec
@@ -31,7 +35,9 @@ from stayspark.session import durable, in_rounds
 OPS = ("insert", "update", "delete")
 # Events of one key that a task may sort; beyond that they are spread over tasks.
 SMALL = 100_000
-# Rounds after which chains are followed by doubling; short ones end before.
+# Operations that a task enters one by one.
+SLICE = 100_000
+# Every so many rounds chains are followed by doubling; short ones end before.
 PATIENCE = 4
 # Reasons in the order in which they are reported; rules of one kind by their place in the model.
 MISSING, CHECK, PARENT, ROW, TIED, TAKEN, REFERENCED = range(1000, 8000, 1000)
@@ -42,6 +48,16 @@ class Logged(NamedTuple):
     outcomes: DataFrame
 
 
+class _Rules(NamedTuple):
+    """What entering an operation on a table asks and changes; columns by their place among the followed ones, -1: the key."""
+
+    name: str
+    duplicate: str
+    fks: list[tuple[str, tuple[int, ...], int, str]]
+    uniques: list[tuple[str, tuple[int, ...], int, str]]
+    parent_of: bool
+
+
 def _key(*parts: Column) -> Column:
     """Values of any type as one text; null where a part is null."""
     text = F.lit("")
@@ -122,10 +138,10 @@ class _Table:
 
     def judged(self, guess: DataFrame, small: bool) -> DataFrame:
         """The operations with ``ok`` as guessed, and each followed column before and after the operation."""
-        ok = self.log.join(guess.select(F.col("at").alias("_order"), "ok"), F.col(self.order) == F.col("_order"))
-        ok = ok.drop("_order")
+        guess = guess.select(F.col("at").alias("_order"), "ok", "slice", F.col("static").isNull().alias("sound"))
+        ok = self.log.join(guess, F.col(self.order) == F.col("_order")).drop("_order")
         if not self.followed:
-            return ok
+            return ok.withColumn("_again", F.lit(False))
         written = {
             f"_last_{c}": (
                 "max",
@@ -137,10 +153,11 @@ class _Table:
         for c in self.followed:
             last = F.col(f"_last_{c}")
             held = F.when(last.isNotNull(), last["value"]).otherwise(F.col(f"_base_{c}"))
-            rows = rows.withColumn(f"_before_{c}", F.when(~self.insert, held))
+            rows = rows.withColumn(f"_held_{c}", held).withColumn(f"_before_{c}", F.when(~self.insert, held))
             after = F.when(self.writes(c), F.col(c)).when(self.update, F.col(f"_before_{c}"))
             rows = rows.withColumn(f"_after_{c}", after)
-        return rows.drop(*written)
+        again = [F.coalesce(F.col(f"{last}.at") == F.col(self.order), F.lit(False)) for last in written]
+        return rows.withColumn("_again", _either(again)).drop(*written)
 
     def tied_failures(self) -> list[tuple[Column, str]]:
         """Checks over several columns that an update of one of them breaks, and their reasons."""
@@ -210,11 +227,38 @@ class _Table:
         for space, key, some, priority, reason in self.questions():
             entries.append(entry(space, key, 0, some, priority, reason))
         return (
-            rows.select(F.col(self.order).alias("at"), F.explode(F.array(*entries)).alias("e"))
-            .select("at", "e.*")
+            rows.select(F.col(self.order).alias("at"), "slice", F.explode(F.array(*entries)).alias("e"))
+            .select("at", "slice", "e.*")
             .where("key IS NOT NULL")
         )
 
+    def entered(self, number: int, rows: DataFrame) -> DataFrame:
+        """The judged operations as rows of one shape, with values as texts, for entering them one by one."""
+
+        def texts(columns: list[str]) -> Column:
+            return F.array(*[F.col(c).cast("string") for c in columns]).cast("array<string>")
+
+        tied = [_failing(TIED + i, bad, reason) for i, (bad, reason) in enumerate(self.tied_failures())]
+        none = F.lit(None).cast("struct<priority:int,reason:string>")
+        column = reduce(lambda c, i: c.when(F.col("op_column") == self.followed[i], i), range(len(self.followed)), F.when(F.lit(False), -1))
+        return rows.select(
+            "slice", F.col(self.order).alias("at"), F.col("_again").alias("again"), F.lit(number).alias("number"), "op",
+            column.alias("column"), "sound", F.col(self.pk).cast("string").alias("pk"), texts(self.followed).alias("new"),
+            texts([f"_held_{c}" for c in self.followed]).alias("held"), F.coalesce(*tied, none).alias("tied"),
+        ).select("*", "tied.*").drop("tied")
+
+    def rules(self) -> _Rules:
+        place = {c: i for i, c in enumerate(self.followed)} | {self.pk: -1}
+        fks = [
+            (fk.parent, tuple(place[c] for c in fk.columns), PARENT + i, f"foreign_key {fk.name}")
+            for i, fk in enumerate(self.spec.foreign_keys)
+        ]
+        uniques = [
+            (f"unique {self.name} {','.join(u)}", tuple(place[c] for c in u), TAKEN + i, f"duplicate {','.join(u)}")
+            for i, u in enumerate(self.unique)
+        ]
+        return _Rules(self.name, f"duplicate {self.pk}", fks, uniques, self.parent_of)
+
     def held(self, parts: list[_Table], tables: Mapping[str, DataFrame]) -> list[DataFrame]:
         """What the stored tables count for keys that operations ask about: ``space``, ``key``, ``delta``."""
 
@@ -313,45 +357,151 @@ def doubled(judged: DataFrame, store: Callable[[DataFrame], DataFrame]) -> DataF
     return chain.join(ends, F.col("hangs_on") == F.col("_at")).select("at", (F.col("ok") != F.col("flip")).alias("implied"))
 
 
+def _key_of(values: list[str | None], pk: str, places: tuple[int, ...]) -> str | None:
+    """As ``_key``."""
+    parts = [pk if i < 0 else values[i] for i in places]
+    return None if None in parts else "".join(f"{len(v)}:{v}" for v in parts)
+
+
+def _entered(rules: list[_Rules], ops: pa.Table, starts: pa.Table) -> pa.Table:
+    """The operations of one slice entered one by one: the first rule that each one breaks by what was there before it."""
+    counts = dict(zip(zip(starts["space"].to_pylist(), starts["key"].to_pylist(), strict=True), starts["count"].to_pylist(), strict=True))
+    held: dict[tuple[int, str], list[str | None]] = {}
+
+    def looked_up(row: tuple) -> tuple[str | None, list, list, list]:
+        """The operation's own key, the followed columns before and after it, and which of them it writes."""
+        _, _, number, op, column, _, pk, new, was, *_ = row
+        before = held.setdefault((number, pk), list(was))
+        wrote = [op == "insert" or (op == "update" and i == column) for i in range(len(new))]
+        after = [n if w else b if op == "update" else None for n, b, w in zip(new, before, wrote, strict=True)]
+        return None if pk is None else f"{len(pk)}:{pk}", [None] * len(new) if op == "insert" else before, after, wrote
+
+    def broken(row: tuple) -> list[tuple[int, str]]:
+        _, _, number, op, _, _, pk, _, _, priority, reason = row
+        rule = rules[number]
+        own, before, after, wrote = looked_up(row)
+        found = [] if priority is None else [(priority, reason)]
+        there = counts.get((f"row {rule.name}", own), 0) > 0
+        if own is not None and op is not None and there == (op == "insert"):
+            found.append((ROW, rule.duplicate if there else "unknown key"))
+        for parent, places, priority, reason in rule.fks:
+            key = _key_of(after, pk, places) if any(wrote[i] for i in places if i >= 0) or (-1 in places and op == "insert") else None
+            if key is not None and counts.get((f"row {parent}", key), 0) <= 0:
+                found.append((priority, reason))
+        for space, places, priority, reason in rule.uniques:
+            key = _key_of(after, pk, places) if any(wrote[i] for i in places if i >= 0) else None
+            if key is not None and key != _key_of(before, pk, places) and counts.get((space, key), 0) > 0:
+                found.append((priority, reason))
+        if rule.parent_of and op == "delete" and counts.get((f"to {rule.name}", own), 0) > 0:
+            found.append((REFERENCED, "referenced"))
+        return found
+
+    def enter(row: tuple) -> None:
+        _, _, number, op, _, _, pk, new, *_ = row
+        rule = rules[number]
+        own, before, after, wrote = looked_up(row)
+        moves = [(f"row {rule.name}", own if op == "delete" else None, own if op == "insert" else None)]
+        for space, places in [*((f"to {fk[0]}", fk[1]) for fk in rule.fks), *(u[:2] for u in rule.uniques)]:
+            moves.append((space, _key_of(before, pk, places), _key_of(after, pk, places)))
+        for space, old, key in moves:
+            if old != key:
+                counts[space, old] = counts.get((space, old), 0) - 1
+                counts[space, key] = counts.get((space, key), 0) + 1
+        held[number, pk] = [n if w else b for n, b, w in zip(new, held[number, pk], wrote, strict=True)]
+
+    columns = ["at", "again", "number", "op", "column", "sound", "pk", "new", "held", "priority", "reason"]
+    rows = sorted(zip(*(ops[c].to_pylist() for c in columns), strict=True), key=lambda row: row[:2])
+    unmet = []
+    # Operations of one order number do not see one another.
+    for at, same in groupby(rows, key=lambda row: row[0]):
+        same = list(same)
+        found = min((b for row in same for b in broken(row)), default=None)
+        if found is not None:
+            unmet.append((at, *found))
+            continue
+        for row in same:
+            if row[5]:
+                enter(row)
+    ats, priorities, reasons = zip(*unmet, strict=True) if unmet else ([], [], [])
+    return pa.table(
+        {"at": pa.array(ats, pa.int64()), "priority": pa.array(priorities, pa.int32()), "reason": pa.array(reasons, pa.string())}
+    )
+
+
+def _replayed(parts: list[_Table], found: DataFrame, stored: DataFrame, small: bool, slices: int) -> DataFrame:
+    """``at``, ``unmet`` of each operation that its slice refuses, when slices start from what the guess gives."""
+    judged = [p.judged(found, small) for p in parts]
+    events = union_all(p.stream(rows) for p, rows in zip(parts, judged, strict=True))
+    moved = events.groupBy("space", "key", "slice").agg(
+        F.sum("delta").alias("delta"), F.max(F.col("some").isNotNull()).alias("asked")
+    )
+    held = stored.select("space", "key", F.lit(-1).alias("slice"), F.col("delta").cast("long").alias("delta"), F.lit(False).alias("asked"))
+    # A key has as many rows as there are slices, and those of the stored tables.
+    before = Window.partitionBy("space", "key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = moved.unionByName(held).withColumn("count", F.sum("delta").over(before)).where("asked AND count IS NOT NULL")
+    starts = starts.select(F.col("slice").alias("_of"), "space", "key", "count").repartition(slices, "_of")
+    ops = union_all(p.entered(i, rows) for i, (p, rows) in enumerate(zip(parts, judged, strict=True)))
+    rules = [p.rules() for p in parts]
+    done = ops.repartition(slices, "slice").groupBy("slice").cogroup(starts.groupBy("_of")).applyInArrow(
+        lambda ops, starts: _entered(rules, ops, starts), "at long, priority int, reason string"
+    )
+    return done.select("at", F.struct("priority", "reason").alias("unmet"))
+
+
 def _settled(
-    parts: list[_Table], found: DataFrame, stored: DataFrame, small: bool, store: Callable[[DataFrame], DataFrame]
+    parts: list[_Table], found: DataFrame, stored: DataFrame, small: bool, slices: int, store: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
     """The guess that stays as it is: each operation with ``ok`` and ``reason``."""
     rounds = 0
     while True:
-        stream = union_all(p.stream(p.judged(found, small)) for p in parts)
-        events = stream.unionByName(stored, allowMissingColumns=True)
-        effect = F.when((F.col("delta") != 0) & F.col("at").isNotNull(), F.struct("at", "delta"))
-        counts = running(
-            events, ["space", "key"], ["at", F.col("some").isNull()],
-            {"count": ("sum", F.col("delta")), "last": ("max", effect)}, small,
-        )
-        answered = counts.where("some IS NOT NULL").select(
-            "at", "priority", "reason", (F.col("some") == (F.col("count") > 0)).alias("met"),
-            F.col("last.at").alias("on"), (F.col("some") == (F.col("last.delta") > 0)).alias("implied"),
-        )
-        hangs = F.col("met") == F.col("implied")  # null where nothing happened before
-        answers = answered.groupBy("at").agg(
-            F.min(F.when(~F.col("met"), F.struct("priority", "reason"))).alias("unmet"),
-            F.count_if(hangs).alias("open"),
-            F.count_if(~F.col("met") & ~F.coalesce(hangs, F.lit(False))).alias("settled"),
-            F.max(F.when(hangs, F.struct("on", (~F.col("implied")).alias("flip")))).alias("link"),
-        )
-        rows = found.select("at", "table_name", "op", "static", F.col("ok").alias("was")).join(answers, "at", "left")
+        answers = _replayed(parts, found, stored, small, slices)
+        rows = found.select("at", "slice", "table_name", "op", "static", F.col("ok").alias("was")).join(answers, "at", "left")
         rows = rows.withColumn("first", F.array_min(F.array_compact(F.array("static", "unmet"))))
-        link = F.when(F.col("static").isNull() & (F.col("open") == 1) & (F.col("settled") == 0), F.col("link"))
         found = store(
             rows.select(
-                "at", "table_name", "op", "static", "was", F.col("first.reason").alias("reason"),
-                F.col("first").isNull().alias("ok"), link["on"].alias("hangs_on"), link["flip"].alias("flip"),
+                "at", "slice", "table_name", "op", "static", "was", F.col("first.reason").alias("reason"),
+                F.col("first").isNull().alias("ok"),
             )
-        )
+        )
         if found.where("ok <> was").isEmpty():
             return found
         rounds += 1
-        if rounds >= PATIENCE:
-            met = found.join(doubled(found, store), "at", "left")
-            found = store(met.withColumn("ok", F.coalesce("implied", "ok")).drop("implied"))
+        if rounds % PATIENCE == 0:
+            found = _along_chains(parts, found, stored, small, store)
+
+
+def _along_chains(
+    parts: list[_Table], found: DataFrame, stored: DataFrame, small: bool, store: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """The next guess, with chains of operations that hang on one another followed to their ends."""
+    events = union_all(p.stream(p.judged(found, small)) for p in parts).unionByName(stored, allowMissingColumns=True)
+    effect = F.when((F.col("delta") != 0) & F.col("at").isNotNull(), F.struct("at", "delta"))
+    counts = running(
+        events, ["space", "key"], ["at", F.col("some").isNull()],
+        {"count": ("sum", F.col("delta")), "last": ("max", effect)}, small,
+    )
+    answered = counts.where("some IS NOT NULL").select(
+        "at", "priority", "reason", (F.col("some") == (F.col("count") > 0)).alias("met"),
+        F.col("last.at").alias("on"), (F.col("some") == (F.col("last.delta") > 0)).alias("implied"),
+    )
+    hangs = F.col("met") == F.col("implied")  # null where nothing happened before
+    answers = answered.groupBy("at").agg(
+        F.min(F.when(~F.col("met"), F.struct("priority", "reason"))).alias("unmet"),
+        F.count_if(hangs).alias("open"),
+        F.count_if(~F.col("met") & ~F.coalesce(hangs, F.lit(False))).alias("settled"),
+        F.max(F.when(hangs, F.struct("on", (~F.col("implied")).alias("flip")))).alias("link"),
+    )
+    rows = found.select("at", "slice", "table_name", "op", "static").join(answers, "at", "left")
+    rows = rows.withColumn("first", F.array_min(F.array_compact(F.array("static", "unmet"))))
+    link = F.when(F.col("static").isNull() & (F.col("open") == 1) & (F.col("settled") == 0), F.col("link"))
+    judged = store(
+        rows.select(
+            "at", "slice", "table_name", "op", "static", F.col("first.reason").alias("reason"),
+            F.col("first").isNull().alias("ok"), link["on"].alias("hangs_on"), link["flip"].alias("flip"),
+        )
+    )
+    met = judged.join(doubled(judged, store), "at", "left")
+    return store(met.withColumn("ok", F.coalesce("implied", "ok")).drop("implied", "hangs_on", "flip"))
 
 
 def apply_log(
@@ -371,15 +521,17 @@ def apply_log(
     An update or delete of a row that is not there at that moment is of an unknown key, unless its value breaks a rule.
 
     A key may have any number of operations: once it has more events than a task should sort, sums over them are spread over
-    tasks.  A round stores one result; there are as many rounds as decisions that overturn one another other than along
-    chains, of which the length only counts by its logarithm.
+    tasks.  A task enters the operations of one slice, about ``SLICE`` of them.  There are at most about as many rounds as slices, fewer
+    where slices hardly depend on earlier ones; along chains the length only counts by its logarithm.
     """
     parts = [_Table(name, tables[name], log, specs, order) for name, log in logs.items()]
     found = union_all(
         p.log.select(F.col(order).alias("at"), F.lit(p.name).alias("table_name"), "op", "static", F.col("static").isNull().alias("ok"))
         for p in parts
     )
-    found = durable(found)
+    # Ranges of about as many operations each; equal order numbers stay together.
+    slices = -(-max(found.count(), 1) // SLICE)
+    found = durable(found.repartitionByRange(slices, "at").withColumn("slice", F.spark_partition_id()))
     # An operation has up to two events at a key that it names, and one at a key that it leaves.
     named = union_all(p.log.select(F.lit(s).alias("space"), _key(c).alias("key")) for p in parts for s, c in p.mentions())
     most = named.groupBy("space", "key").count().where("key IS NOT NULL").agg(F.max("count")).first()[0] or 0
@@ -388,7 +540,7 @@ def apply_log(
     held = [f for p in parts for f in [*p.held(parts, tables), *p.references(tables, specs)]]
     stored = durable(union_all(held).select(F.lit(None).cast("long").alias("at"), "*"))
     with in_rounds(found.sparkSession) as store:
-        found = durable(_settled(parts, found, stored, small, store))
+        found = durable(_settled(parts, found, stored, small, slices, store))
     outcome = F.when(F.col("ok"), "accepted").when(F.col("reason") == "unknown key", "unknown key").otherwise("rejected")
     reason = F.when(F.col("reason") != "unknown key", F.col("reason"))
     outcomes = found.select(

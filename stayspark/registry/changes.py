@@ -10,6 +10,7 @@ from stayspark.operators import change_log, changes
 from stayspark.operators.catalogue import field
 from stayspark.plans import edit
 from stayspark.registry.base import query, read
+from stayspark.session import find_package
 
 _NATION = ForeignKey(("s_nationkey",), "nation", ("n_nationkey",))
 
@@ -397,6 +398,7 @@ FROM s JOIN b USING (event_id)
 
 
 def _log(spark: SparkSession, folder: str) -> change_log.Logged:
+    find_package(spark)
     kind = F.col("event_id") % 8
     who = F.col("user_id").cast("long") + 150 * (F.floor(F.col("event_id") / 8) % 40)
     part = _event_number().cast("long") % 30 + 30 * (F.col("user_id") % 20) + 1

@@ -7,9 +7,13 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from itertools import count
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Where this package lies.
+ROOT = str(Path(__file__).resolve().parents[1])
+
 
 def local_session(cores: str = "8", app: str = "stayspark", **conf: str) -> SparkSession:
     """A local session with the settings the jobs expect; a cluster supplies its own."""
@@ -42,6 +46,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has it.
+
+    Elsewhere it is installed or sent with ``--py-files``, as any package.
+    """
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and cut its lineage.
 

@@ -172,3 +172,24 @@ def test_logs_that_do_not_fit_are_refused(spark):
     log = spark.createDataFrame([], "at long, op string, h long, name string")
     with pytest.raises(ValueError):
         apply_log({"home": home}, {"home": log}, {"home": HOME}, "at")
+
+
+def test_dense_logs_in_slices(spark, monkeypatch):
+    """Decisions that hang on several others, far along the log: at most a round per slice, besides those for chains."""
+    rng = random.Random(11)
+    keys = range(4)
+    log = []
+    for at in range(300):
+        op = rng.choice(["insert", "update", "update", "delete"])
+        if rng.random() < 0.3:
+            log.append((at, "home", op, "name" if op == "update" else None, (rng.choice(keys), "x")))
+        else:
+            column = rng.choice(["p", "seat"]) if op == "update" else None
+            log.append((at, "kid", op, column, kid(rng.choice(keys), rng.choice(keys), 1, None, rng.choice("xyzv"))))
+    rounds = []
+    plain = change_log._Table.stream
+    monkeypatch.setattr(change_log._Table, "stream", lambda self, rows: rounds.append(self.name) or plain(self, rows))
+    monkeypatch.setattr(change_log, "SLICE", 100)
+    tables = {"home": [(0, "n"), (2, "n")], "kid": [kid(0, 0, seat="x"), kid(1, 2, seat="y")]}
+    check(spark, tables, log)
+    assert len(rounds) <= 2 * (3 + 1 + 1)
