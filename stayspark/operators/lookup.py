@@ -69,6 +69,12 @@ def same_content(first: DataFrame, second: DataFrame) -> DataFrame:
     return one.crossJoin(two).select("row_count", same.alias("same"))  # one row each
 
 
+def dealt_out(table: DataFrame) -> DataFrame:
+    """The same rows in other places: in several tasks for each part that the table is read in, so that
+    their number follows its size."""
+    return table.repartition(4 * table.rdd.getNumPartitions() + 1)
+
+
 def value_types(table: DataFrame, *columns: str) -> DataFrame:
     """The distinct combinations of runtime types the columns hold."""
     return table.select(*[F.typeof(c).alias(c) for c in columns]).distinct()

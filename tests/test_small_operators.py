@@ -190,3 +190,11 @@ def test_broken_json_is_null(spark):
     frame = spark.createDataFrame([(1, "{oops"), (2, '{"ID": "1"}')], "seq bigint, text string")
     docs = catalogue.collection(frame, "text", "seq")
     assert {r.seq: r.ID for r in catalogue.project(docs, ["ID"]).collect()} == {1: None, 2: "1"}
+
+
+def test_rows_dealt_out_by_size(spark):
+    """More rows go to more tasks, with the same content."""
+    rows = spark.range(0, 80_000, 1, 8).select("id", F.md5(F.col("id").cast("string")).alias("text"))
+    sizes = [r["count"] for r in lookup.dealt_out(rows).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 5_000
+    assert lookup.same_content(rows, lookup.dealt_out(rows)).first().same
