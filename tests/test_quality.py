@@ -141,3 +141,14 @@ def test_composite_keys_of_mixed_types(spark):
     ]
     specs = {"t": spec, "up": TableSpec("up", ("x", "y"))}
     assert _report(quality.violations(tables, specs)) == sorted(x for p in parts for x in _report(p))
+
+
+def test_keys_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TASK_ROWS", 100)
+    hot = F.when(F.col("id") < 400, 7).when(F.col("id") < 410, None).otherwise(F.col("id"))
+    rows = spark.range(0, 2000, 1, 8).select(hot.alias("k"), F.lit("x").alias("v"))
+    counts = quality._key_counts(rows, ["k"])
+    held = counts.groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) > 12 and max(r["count"] for r in held) < 250
+    found = report(quality.primary_key_violations(rows, TableSpec("t", ("k",))))
+    assert found == {("t", "primary_key", "k", "7"): 400, ("t", "primary_key", "k", "NULL"): 10}
