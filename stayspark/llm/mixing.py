@@ -21,11 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayspark.llm.joins import sized
-from stayspark.llm.tokens import text_slices, tidy
+from stayspark.llm.tokens import let_go
 from stayspark.session import durable
 
-# Text that is cut at a time.
-SLICE_BYTES = 4 << 20
 # Sources among which slots are drawn at a time, and shards that a task draws them for.
 CHUNK, SHARDS = 4096, 512
 
@@ -157,6 +155,7 @@ def _in_order(docs: DataFrame) -> DataFrame:
     """Documents with the words that stand before them in their source, without one long window."""
 
     def place(batches):
+        let_go()
         part, last, words = TaskContext.get().partitionId(), -1, 0
         for batch in batches:
             number, size = batch["source_no"].to_numpy(), batch["size"].to_numpy()
@@ -410,10 +409,8 @@ def taken_words(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def cut_text(text: str, first: int, words: int, size: int) -> str:
-    """``words`` words from the ``first`` on, with the white space between them; all of them: the text."""
-    if words == size:
-        return text
+def cut_text(text: str, first: int, words: int) -> str:
+    """``words`` words from the ``first`` on, with the white space between them."""
     begin = end = 0
     for number, found in enumerate(WORD.finditer(text)):
         if number == first:
@@ -434,8 +431,9 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """
     placed, spans = mix_spans(docs, mix)
     lists = spans.groupBy("source_no", "start", "pass").agg(
-        # The pieces of one document in one pass.
-        F.sort_array(F.collect_list(F.struct("first", "words"))).alias("pieces")
+        # The pieces of one document in one pass, which share no word.
+        F.sort_array(F.collect_list(F.struct("first", "words"))).alias("pieces"),
+        F.sum("words").alias("words"),
     )
     taken = (
         placed.where("size > 0")
@@ -444,8 +442,7 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
             F.col("doc_id").alias("_mix_id"),
             F.col("source").alias("_mix_source"),
             F.col("twin").alias("_mix_twin"),
-            F.col("size").alias("_mix_size"),
-            F.col("pieces").alias("_mix_pieces"),
+            F.when(F.col("words") < F.col("size"), F.col("pieces")).alias("_mix_pieces"),
         )
     )
     twin = F.xxhash64(F.col("text").cast("string"))
@@ -459,33 +456,26 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         & F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))
         & (rows["_mix_twin"] == taken["_mix_twin"])
     )
-    joined = rows.join(taken, same).select(
-        *[rows[f"`{c}`"] for c in docs.columns], "_mix_size", "_mix_pieces"
+    joined = rows.join(taken, same).select(*[rows[f"`{c}`"] for c in docs.columns], "_mix_pieces")
+    # Texts that are taken whole stay where they are; the others reach a worker a few rows at a time.
+    some = F.col("_mix_pieces").isNotNull()
+    cut = F.udf(cut_texts, "array<string>", useArrow=False)
+    cuts = cut(F.when(some, F.col("text").cast("string")), "_mix_pieces")
+    stretches = F.when(some, cuts).otherwise(F.array(F.col("text").cast("string")))
+    out = joined.withColumn("_mix_text", F.explode(stretches))
+    kinds = {field.name: field.dataType for field in docs.schema}
+    made = {"text": F.col("_mix_text"), "n_chars": F.char_length("_mix_text")}
+    return out.select(
+        *[made[c].cast(kinds[c]).alias(c) if c in made else F.col(f"`{c}`") for c in docs.columns]
     )
-    names = docs.columns
-    kinds = docs.schema
 
-    def cut(batches):
-        for batch in batches:
-            for first_row, last_row in text_slices(batch.column("text"), SLICE_BYTES):
-                part = batch.slice(first_row, last_row - first_row)
-                taken_rows, cuts = [], []
-                for row, (text, size, pieces) in enumerate(
-                    zip(*(part.column(c) for c in ("text", "_mix_size", "_mix_pieces")), strict=True)
-                ):
-                    text, size = text.as_py(), size.as_py()
-                    for first, words in merged(pieces.as_py()):
-                        taken_rows.append(row)
-                        cuts.append(cut_text(text, first, words, size))
-                index = pa.array(taken_rows, pa.int64())
-                arrays = {n: part.column(n).take(index) for n in names if n != "text"}
-                arrays["text"] = pa.array(cuts, pa.string())
-                if "n_chars" in arrays:
-                    lengths = pa.array([len(t) for t in cuts], pa.int64())
-                    arrays["n_chars"] = lengths.cast(arrays["n_chars"].type)
-                yield pa.record_batch([arrays[n] for n in names], names)
-
-    return joined.mapInArrow(tidy(cut), kinds)
+
+def cut_texts(text: str | None, pieces: list | None) -> list[str] | None:
+    """The stretches of a text that its pieces make; null where there are no pieces."""
+    let_go()
+    if pieces is None:
+        return None
+    return [cut_text(text, first, words) for first, words in merged(pieces)]
 
 
 def merged(pieces: list[dict]) -> list[tuple[int, int]]:

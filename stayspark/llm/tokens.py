@@ -210,6 +210,13 @@ def held(key: tuple, make: Callable[[], object]):
     return _held[key]
 
 
+def let_go() -> None:
+    """Forget what the worker process remembers, for tasks that need none of it."""
+    if _held:
+        _held.clear()
+        give_back()
+
+
 def encoder(path: str, chunked: bool = True, cached: int = CACHED_CHUNKS) -> TextEncoder:
     """An encoder that lives from task to task, with its cache."""
     key = ("encoder", path, chunked, cached)

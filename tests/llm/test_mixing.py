@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_tables import FOLDER, load
 
-from stayspark.llm import joins, mixing, queries
+from stayspark.llm import joins, mixing, queries, tokens
 
 
 def words(text):
@@ -205,3 +205,26 @@ def test_odd_rows_equal_a_plain_rebuild(spark, block):
     got = mixing.taken_words(odd(spark, rows).repartition(3), mix).collect()
     want = rebuilt([(k, s, len(words(t))) for k, t, s in rows], mix)
     assert {r.doc_id: r.taken for r in got if r.taken} == dict(want)
+
+
+def test_texts_reach_python_only_to_be_cut(spark):
+    """One Arrow batch held all texts of a task, off the heap, and whole texts went through it too."""
+    seen = "\t lead  and　trail \n" + "é𝄞 w\x0bx\x85y " * 40
+    docs = odd(spark, [(i, seen + f" {i}", f"s{i % 3}") for i in range(60)])
+    got = mixing.mixed_documents(docs, mixing.Mix(block_words=16, shard_slots=50))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" not in plan and "BatchEvalPython" in plan
+    rows = got.collect()
+    whole = [r for r in rows if len(words(r.text)) == len(words(seen)) + 1]
+    assert 0 < len(whole) < len(rows)
+    assert all(r.text == seen + f" {r.doc_id}" for r in whole)
+    for r in rows:
+        assert r.n_chars == len(r.text) and r.text in seen + f" {r.doc_id}"
+        assert r in whole or r.text == r.text.strip(" \t\n\x0b\x0c\r")
+
+
+def test_a_worker_forgets_what_mixing_does_not_need():
+    tokens.held(("model", 1), lambda: [0])
+    assert mixing.cut_texts("a  b c", [{"first": 0, "words": 1}, {"first": 1, "words": 1}]) == ["a  b"]
+    assert not tokens._held
+    assert mixing.cut_texts(None, None) is None
