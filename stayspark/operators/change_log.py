@@ -6,8 +6,13 @@ of rows per key, of references per parent, of holders per value.  So, given a gu
 operation is judged by sums over the earlier events of the keys it asks about (``operators.scans``), which turns one
 guess into the next.  The right outcome is the only guess that stays as it is.
 
-Decisions hang on one another in long webs: hundreds deep where some hundred thousand operations share few keys.  A round
-therefore deals the log out in slices of consecutive operations, of which each task enters its own one by one, from the counts and
+Decisions hang on one another in long webs: thousands deep where some million operations share few keys.  Where the keys that
+an operation asks about stand in the log itself, no guess is needed: the log is entered in windows of consecutive operations,
+one after the other.  For each one the counts and values that its operations ask about are gathered from the stored tables and from what
+earlier windows changed, over all tasks; one task then enters the window's operations one by one.  Every operation is entered once.
+
+Rules over several columns, such as a composite UNIQUE key, ask about values that depend on earlier outcomes.  There each round
+deals the log out in slices of consecutive operations, of which each task enters its own one by one, from the counts and
 values that the guess gives for the slice's start.  Every round settles at least one more slice.
 
 Long chains that run through many slices, such as a value that is handed on from row to row, are not followed slice by slice:
@@ -17,12 +22,15 @@ an operation with one open question points at the operation that answers it, and
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 from itertools import groupby
+from operator import itemgetter
 from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,15 +38,23 @@ from stayspark.model import TableSpec
 from stayspark.operators import quality
 from stayspark.operators.scans import running
 from stayspark.operators.unions import union_all
-from stayspark.session import durable, in_rounds
+from stayspark.session import durable, in_rounds, scratch_folder
 
 OPS = ("insert", "update", "delete")
 # Events of one key that a task may sort; beyond that they are spread over tasks.
 SMALL = 100_000
-# Operations that a task enters one by one.
+# Operations that a task enters one by one, starting from a guess.
 SLICE = 100_000
+# Operations that a task enters one by one where what they ask about is known.
+WINDOW = 500_000
+# Files in which the operations of a window are stored.
+FILES = 4
+# Windows after which what they changed is folded into one state.
+RUNS = 16
 # Every so many rounds chains are followed by doubling; short ones end before.
 PATIENCE = 4
+# The place of a column that is not followed.
+OTHER = -2
 # Reasons in the order in which they are reported; rules of one kind by their place in the model.
 MISSING, CHECK, PARENT, ROW, TIED, TAKEN, REFERENCED = range(1000, 8000, 1000)
 
@@ -247,6 +263,30 @@ class _Table:
             texts([f"_held_{c}" for c in self.followed]).alias("held"), F.coalesce(*tied, none).alias("tied"),
         ).select("*", "tied.*").drop("tied")
 
+    def known(self) -> bool:
+        """Whether the keys that operations ask about stand in the log, whatever becomes of earlier ones."""
+        return not self.tied and all(sum(c != self.pk for c in u) == 1 for u in self.unique)
+
+    def placed(self, number: int, sound: DataFrame, width: int) -> DataFrame:
+        """The operations as rows of one shape, with values as texts: ``v0`` and so on are the followed columns."""
+        column = reduce(lambda c, i: c.when(F.col("op_column") == self.followed[i], i), range(len(self.followed)), F.when(F.lit(False), -1))
+        return self.log.join(sound, F.col(self.order) == F.col("_order")).select(
+            "slice", F.col(self.order).cast("long").alias("at"), F.lit(number).alias("number"), "op", F.coalesce(column, F.lit(OTHER)).alias("column"),
+            "sound", F.col(self.pk).cast("string").alias("pk"), *self._texts(list(self.followed), width),
+        )
+
+    def rows_held(self, number: int, width: int) -> DataFrame:
+        """The followed columns of stored rows that operations name, as a state of windows."""
+        held = self.log.where(_either([F.col(f"_base_{c}").isNotNull() for c in self.followed])).select(
+            _key(F.col(self.pk)).alias("key"), F.struct(*self._texts([f"_base_{c}" for c in self.followed], width)).alias("v")
+        )
+        return held.groupBy("key").agg(F.max("v").alias("v")).select(F.lit(f"held {number}").alias("space"), "key", "v.*")
+
+    @staticmethod
+    def _texts(columns: list[str], width: int) -> list[Column]:
+        cells = [F.col(c).cast("string") for c in columns] + [F.lit(None).cast("string")] * (width - len(columns))
+        return [c.alias(f"v{i}") for i, c in enumerate(cells)]
+
     def rules(self) -> _Rules:
         place = {c: i for i, c in enumerate(self.followed)} | {self.pk: -1}
         fks = [
@@ -357,74 +397,230 @@ def doubled(judged: DataFrame, store: Callable[[DataFrame], DataFrame]) -> DataF
     return chain.join(ends, F.col("hangs_on") == F.col("_at")).select("at", (F.col("ok") != F.col("flip")).alias("implied"))
 
 
-def _key_of(values: list[str | None], pk: str, places: tuple[int, ...]) -> str | None:
+def _key_of(values: list[str | None], pk: str | None, places: tuple[int, ...]) -> str | None:
     """As ``_key``."""
-    parts = [pk if i < 0 else values[i] for i in places]
-    return None if None in parts else "".join(f"{len(v)}:{v}" for v in parts)
+    text = ""
+    for i in places:
+        value = pk if i < 0 else values[i]
+        if value is None:
+            return None
+        text += f"{len(value)}:{value}"
+    return text
 
 
-def _entered(rules: list[_Rules], ops: pa.Table, starts: pa.Table) -> pa.Table:
-    """The operations of one slice entered one by one: the first rule that each one breaks by what was there before it."""
-    counts = dict(zip(zip(starts["space"].to_pylist(), starts["key"].to_pylist(), strict=True), starts["count"].to_pylist(), strict=True))
-    held: dict[tuple[int, str], list[str | None]] = {}
-
-    def looked_up(row: tuple) -> tuple[str | None, list, list, list]:
-        """The operation's own key, the followed columns before and after it, and which of them it writes."""
-        _, _, number, op, column, _, pk, new, was, *_ = row
-        before = held.setdefault((number, pk), list(was))
-        wrote = [op == "insert" or (op == "update" and i == column) for i in range(len(new))]
-        after = [n if w else b if op == "update" else None for n, b, w in zip(new, before, wrote, strict=True)]
-        return None if pk is None else f"{len(pk)}:{pk}", [None] * len(new) if op == "insert" else before, after, wrote
-
-    def broken(row: tuple) -> list[tuple[int, str]]:
-        _, _, number, op, _, _, pk, _, _, priority, reason = row
-        rule = rules[number]
-        own, before, after, wrote = looked_up(row)
-        found = [] if priority is None else [(priority, reason)]
-        there = counts.get((f"row {rule.name}", own), 0) > 0
-        if own is not None and op is not None and there == (op == "insert"):
+class _Entry(NamedTuple):
+    """What one operation breaks by what is there before it, and what it changes if it breaks nothing."""
+
+    broken: tuple[int, str] | None
+    row: tuple[int, str | None]
+    values: list[str | None]
+    moves: list[tuple[str, str | None, str | None]]
+
+
+class _State:
+    """Counts by space and key, and followed columns by table and primary key, as they are while operations are entered."""
+
+    def __init__(self, rules: list[_Rules]):
+        self.rules = rules
+        self.counts: dict[str, dict[str, int]] = defaultdict(dict)
+        self.held: dict[tuple[int, str | None], list[str | None]] = {}
+        self.written: set[tuple[int, str | None]] = set()
+
+    def judged(self, number: int, op: str | None, column: int, pk: str | None, new: list, was: list, broken: tuple[int, str] | None) -> _Entry:
+        """An operation; ``was`` holds the columns of its row where no operation has named the row before."""
+        rule, counts = self.rules[number], self.counts
+        own = None if pk is None else f"{len(pk)}:{pk}"
+        held = self.held.setdefault((number, own), was)
+        insert = op == "insert"
+        if insert:
+            before, after = [None] * len(new), new
+        elif op == "update":
+            before, after = held, held.copy()
+            if column >= 0:
+                after[column] = new[column]
+        else:
+            before, after = held, [None] * len(new)
+        found = [] if broken is None else [broken]
+        there = counts[f"row {rule.name}"].get(own, 0) > 0
+        if own is not None and op is not None and there == insert:
             found.append((ROW, rule.duplicate if there else "unknown key"))
+        moves = [(f"row {rule.name}", own if op == "delete" else None, own if insert else None)]
         for parent, places, priority, reason in rule.fks:
-            key = _key_of(after, pk, places) if any(wrote[i] for i in places if i >= 0) or (-1 in places and op == "insert") else None
-            if key is not None and counts.get((f"row {parent}", key), 0) <= 0:
+            old, key = _key_of(before, pk, places), _key_of(after, pk, places)
+            if key is not None and (insert or (op == "update" and column in places)) and counts[f"row {parent}"].get(key, 0) <= 0:
                 found.append((priority, reason))
+            moves.append((f"to {parent}", old, key))
         for space, places, priority, reason in rule.uniques:
-            key = _key_of(after, pk, places) if any(wrote[i] for i in places if i >= 0) else None
-            if key is not None and key != _key_of(before, pk, places) and counts.get((space, key), 0) > 0:
+            old, key = _key_of(before, pk, places), _key_of(after, pk, places)
+            if key is not None and key != old and (insert or (op == "update" and column in places)) and counts[space].get(key, 0) > 0:
                 found.append((priority, reason))
-        if rule.parent_of and op == "delete" and counts.get((f"to {rule.name}", own), 0) > 0:
+            moves.append((space, old, key))
+        if rule.parent_of and op == "delete" and counts[f"to {rule.name}"].get(own, 0) > 0:
             found.append((REFERENCED, "referenced"))
-        return found
+        return _Entry(min(found, default=None), (number, own), held if op == "delete" else after, moves)
 
-    def enter(row: tuple) -> None:
-        _, _, number, op, _, _, pk, new, *_ = row
-        rule = rules[number]
-        own, before, after, wrote = looked_up(row)
-        moves = [(f"row {rule.name}", own if op == "delete" else None, own if op == "insert" else None)]
-        for space, places in [*((f"to {fk[0]}", fk[1]) for fk in rule.fks), *(u[:2] for u in rule.uniques)]:
-            moves.append((space, _key_of(before, pk, places), _key_of(after, pk, places)))
-        for space, old, key in moves:
+    def enter(self, entry: _Entry) -> None:
+        for space, old, key in entry.moves:
             if old != key:
-                counts[space, old] = counts.get((space, old), 0) - 1
-                counts[space, key] = counts.get((space, key), 0) + 1
-        held[number, pk] = [n if w else b for n, b, w in zip(new, held[number, pk], wrote, strict=True)]
-
-    columns = ["at", "again", "number", "op", "column", "sound", "pk", "new", "held", "priority", "reason"]
-    rows = sorted(zip(*(ops[c].to_pylist() for c in columns), strict=True), key=lambda row: row[:2])
-    unmet = []
-    # Operations of one order number do not see one another.
-    for at, same in groupby(rows, key=lambda row: row[0]):
-        same = list(same)
-        found = min((b for row in same for b in broken(row)), default=None)
-        if found is not None:
-            unmet.append((at, *found))
-            continue
-        for row in same:
-            if row[5]:
-                enter(row)
-    ats, priorities, reasons = zip(*unmet, strict=True) if unmet else ([], [], [])
-    return pa.table(
-        {"at": pa.array(ats, pa.int64()), "priority": pa.array(priorities, pa.int32()), "reason": pa.array(reasons, pa.string())}
+                counts = self.counts[space]
+                if old is not None:
+                    counts[old] = counts.get(old, 0) - 1
+                if key is not None:
+                    counts[key] = counts.get(key, 0) + 1
+        self.held[entry.row] = entry.values
+        self.written.add(entry.row)
+
+    def entered(self, rows: Iterable[tuple]) -> pa.Table:
+        """Of operations in order, given as ``at``, ``sound`` and what ``judged`` takes, the first rule that each refused one breaks."""
+        unmet = []
+        # Operations of one order number do not see one another.
+        for at, same in groupby(rows, key=itemgetter(0)):
+            same = [(sound, asked, self.judged(*asked)) for _, sound, *asked in same]
+            found = min((entry.broken for *_, entry in same if entry.broken is not None), default=None)
+            if found is not None:
+                unmet.append((at, *found))
+                continue
+            first = True
+            for sound, asked, entry in same:
+                if sound:
+                    self.enter(entry if first else self.judged(*asked))
+                    first = False
+        ats, priorities, reasons = zip(*unmet, strict=True) if unmet else ([], [], [])
+        return pa.table(
+            {"at": pa.array(ats, pa.int64()), "priority": pa.array(priorities, pa.int32()), "reason": pa.array(reasons, pa.string())}
+        )
+
+
+def _entered(rules: list[_Rules], ops: pa.Table, starts: pa.Table) -> pa.Table:
+    """The operations of one slice entered one by one: the first rule that each one breaks by what was there before it."""
+    state = _State(rules)
+    for space, key, count in zip(*(starts[c].to_pylist() for c in ("space", "key", "count")), strict=True):
+        state.counts[space][key] = count
+    columns = ["at", "again", "sound", "number", "op", "column", "pk", "new", "held", "priority", "reason"]
+    rows = sorted(zip(*(ops[c].to_pylist() for c in columns), strict=True), key=itemgetter(0, 1))
+    return state.entered(
+        (at, sound, number, op, OTHER if column is None else column, pk, new, held, None if priority is None else (priority, reason))
+        for at, _, sound, number, op, column, pk, new, held, priority, reason in rows
+    )
+
+
+def _texts_of(column: pa.ChunkedArray) -> list[str | None]:
+    return column.combine_chunks().to_numpy(zero_copy_only=False).tolist()
+
+
+def _window_entered(rules: list[_Rules], width: int, ops: pa.Table, starts: pa.Table) -> pa.Table:
+    """The operations of one window entered one by one: the first rule that each refused one breaks, and what the window changes."""
+    state, values = _State(rules), [f"v{i}" for i in range(width)]
+    numbers = {f"held {i}": i for i in range(len(rules))}
+    for space in pc.unique(starts["space"]).to_pylist():
+        some = starts.filter(pc.equal(starts["space"], space))
+        if space in numbers:
+            cells = zip(*(_texts_of(some[v]) for v in values), strict=True)
+            state.held |= {(numbers[space], key): list(row) for key, row in zip(_texts_of(some["key"]), cells, strict=True)}
+        else:
+            state.counts[space] = dict(zip(_texts_of(some["key"]), some["delta"].to_numpy().tolist(), strict=True))
+    before = {space: counts.copy() for space, counts in state.counts.items()}
+    ops = ops.take(pc.sort_indices(ops, [("at", "ascending")]))
+    rows = zip(
+        ops["at"].to_numpy().tolist(), ops["sound"].to_numpy().tolist(), ops["number"].to_numpy().tolist(), _texts_of(ops["op"]),
+        ops["column"].to_numpy().tolist(), _texts_of(ops["pk"]), *(_texts_of(ops[v]) for v in values), strict=True,
+    )
+    unmet = state.entered((at, sound, n, op, column, pk, new, [None] * width, None) for at, sound, n, op, column, pk, *new in rows)
+    spaces, keys, deltas = [], [], []
+    for space, counts in state.counts.items():
+        was = before.pop(space, {})
+        for key, count in counts.items():
+            if count != was.get(key, 0):
+                spaces.append(space)
+                keys.append(key)
+                deltas.append(count - was.get(key, 0))
+    moved = pa.table({"space": pa.array(spaces, pa.string()), "key": pa.array(keys, pa.string()), "delta": pa.array(deltas, pa.int64())})
+    rows = [row for row in state.written if row[1] is not None and width]
+    held = pa.table(
+        {"space": pa.array([f"held {n}" for n, _ in rows], pa.string()), "key": pa.array([key for _, key in rows], pa.string())}
+        | {v: pa.array([state.held[row][i] for row in rows], pa.string()) for i, v in enumerate(values)}
+    )
+    changed = pa.concat_tables([moved, held], promote_options="default").select(["space", "key", "delta", *values])
+    return pa.concat_tables([unmet, changed], promote_options="default").select([*unmet.column_names, *changed.column_names])
+
+
+def _asked(rules: list[_Rules]) -> Column:
+    """Spaces and keys whose counts and values operations of windows ask about."""
+    insert, update, delete = (F.col("op") == op for op in OPS)
+    own, none = _key(F.col("pk")), F.lit(None).cast("string")
+    each = none
+    for number, rule in enumerate(rules):
+        found = [*((f"row {fk[0]}", fk[1]) for fk in rule.fks), *(u[:2] for u in rule.uniques)]
+        spaces = [(f"row {rule.name}", own)] + ([(f"held {number}", own)] if found else [])
+        for space, places in found:
+            key = _key(*[F.col("pk" if i < 0 else f"v{i}") for i in places])
+            spaces.append((space, F.when(insert | (update & F.col("column").isin(*places)), key)))
+        if rule.parent_of:
+            spaces.append((f"to {rule.name}", F.when(delete, own)))
+        keys = F.array(*[F.struct(F.lit(space).alias("space"), key.alias("key")) for space, key in spaces])
+        each = F.when(F.col("number") == number, keys) if number == 0 else each.when(F.col("number") == number, keys)
+    return F.explode(each)
+
+
+def _in_windows(parts: list[_Table], found: DataFrame, stored: DataFrame, windows: int) -> DataFrame:
+    """The outcome: each operation with ``ok`` and ``reason``.  What operations ask about must be known from the log."""
+    spark, rules, width = found.sparkSession, [p.rules() for p in parts], max(len(p.followed) for p in parts)
+    sound = found.select(F.col("at").alias("_order"), "slice", F.col("static").isNull().alias("sound"))
+    values = [f"v{i}" for i in range(width)]
+    texts = "".join(f", {v} string" for v in values)
+    # Of a key, counts of all runs are added up, and values are those of the last.
+    state = f"space string, key string, delta long{texts}, run int"
+    with scratch_folder(spark, "log") as folder:
+        ops = union_all(p.placed(i, sound, width) for i, p in enumerate(parts))
+        dealt = ops.repartition(FILES * windows, "slice", F.pmod(F.hash("at"), F.lit(FILES)))
+        dealt.write.partitionBy("slice").parquet(f"{folder}/ops")
+        ops = spark.read.schema(ops.schema).parquet(f"{folder}/ops")
+
+        def entered(of: Iterable[int]) -> DataFrame:
+            paths = [f"{folder}/entered/run={i}" for i in of]
+            kinds = f"at long, priority int, reason string, {state}"
+            return spark.read.schema(kinds).option("basePath", f"{folder}/entered").parquet(*paths)
+
+        def folded(rows: DataFrame) -> DataFrame:
+            last = F.max(F.struct("run", *values)).alias("last")
+            return rows.groupBy("space", "key").agg(F.sum("delta").alias("delta"), last).select(
+                "space", "key", "delta", *[f"last.{v}" for v in values], "last.run"
+            ).where("delta IS NULL OR delta <> 0")
+
+        held = [p.rows_held(i, width) for i, p in enumerate(parts) if p.followed]
+        base = union_all([stored.select("space", "key", F.col("delta").cast("long").alias("delta"), *[F.lit(None).cast("string").alias(v) for v in values]),
+                          *[h.select("space", "key", F.lit(None).cast("long").alias("delta"), *values) for h in held]])
+        base.withColumn("run", F.lit(-1)).write.parquet(f"{folder}/state/0")
+        since = 0
+        kept = spark.read.schema(state).parquet(f"{folder}/state/0")
+        for run in range(windows):
+            so_far = kept
+            if run > since:
+                so_far = kept.unionByName(entered(range(since, run)).where("space IS NOT NULL").select(kept.columns))
+            if run - since == RUNS:
+                folded(so_far).write.parquet(f"{folder}/state/{run}")
+                since = run
+                so_far = kept = spark.read.schema(state).parquet(f"{folder}/state/{run}")
+            mine = ops.where(F.col("slice") == run)
+            asked = mine.select(_asked(rules).alias("a")).select("a.*").where("key IS NOT NULL").distinct()
+            # Not broadcast: as files, operations are far smaller than the keys that they name.
+            starts = folded(so_far.join(asked.hint("merge"), ["space", "key"], "left_semi")).withColumn("_of", F.lit(run))
+            done = mine.groupBy("slice").cogroup(starts.groupBy("_of")).applyInArrow(
+                lambda ops, starts: _window_entered(rules, width, ops, starts),
+                f"at long, priority int, reason string, space string, key string, delta long{texts}",
+            )
+            done.write.parquet(f"{folder}/entered/run={run}")
+        answers = entered(range(windows)).where("at IS NOT NULL").select("at", F.struct("priority", "reason").alias("unmet"))
+        # As files they are far smaller than as rows.
+        return durable(_answered(found, answers.hint("merge")))
+
+
+def _answered(found: DataFrame, answers: DataFrame) -> DataFrame:
+    """Each operation with ``ok`` and ``reason``, and what it ``was`` taken for."""
+    rows = found.select("at", "slice", "table_name", "op", "static", F.col("ok").alias("was")).join(answers, "at", "left")
+    rows = rows.withColumn("first", F.array_min(F.array_compact(F.array("static", "unmet"))))
+    return rows.select(
+        "at", "slice", "table_name", "op", "static", "was", F.col("first.reason").alias("reason"), F.col("first").isNull().alias("ok")
     )
 
 
@@ -454,15 +650,7 @@ def _settled(
     """The guess that stays as it is: each operation with ``ok`` and ``reason``."""
     rounds = 0
     while True:
-        answers = _replayed(parts, found, stored, small, slices)
-        rows = found.select("at", "slice", "table_name", "op", "static", F.col("ok").alias("was")).join(answers, "at", "left")
-        rows = rows.withColumn("first", F.array_min(F.array_compact(F.array("static", "unmet"))))
-        found = store(
-            rows.select(
-                "at", "slice", "table_name", "op", "static", "was", F.col("first.reason").alias("reason"),
-                F.col("first").isNull().alias("ok"),
-            )
-        )
+        found = store(_answered(found, _replayed(parts, found, stored, small, slices)))
         if found.where("ok <> was").isEmpty():
             return found
         rounds += 1
@@ -520,9 +708,10 @@ def apply_log(
     ``outcomes`` has ``order``, ``table_name``, ``op``, ``outcome`` (accepted, unknown key or rejected) and the first ``reason``.
     An update or delete of a row that is not there at that moment is of an unknown key, unless its value breaks a rule.
 
-    A key may have any number of operations: once it has more events than a task should sort, sums over them are spread over
-    tasks.  A task enters the operations of one slice, about ``SLICE`` of them.  There are at most about as many rounds as slices, fewer
-    where slices hardly depend on earlier ones; along chains the length only counts by its logarithm.
+    A key may have any number of operations.  Where the rules are over single columns, windows of about ``WINDOW`` operations are entered
+    one after the other, each in one task.  Otherwise outcomes are guessed in rounds: a task enters the operations of one slice, about ``SLICE``
+    of them, and sums over more events of a key than a task should sort are spread over tasks.  There are at most about as many rounds
+    as slices, fewer where slices hardly depend on earlier ones; along chains the length only counts by its logarithm.
     """
     parts = [_Table(name, tables[name], log, specs, order) for name, log in logs.items()]
     found = union_all(
@@ -530,17 +719,20 @@ def apply_log(
         for p in parts
     )
     # Ranges of about as many operations each; equal order numbers stay together.
-    slices = -(-max(found.count(), 1) // SLICE)
+    known = all(p.known() for p in parts)
+    slices = -(-max(found.count(), 1) // (WINDOW if known else SLICE))
     found = durable(found.repartitionByRange(slices, "at").withColumn("slice", F.spark_partition_id()))
-    # An operation has up to two events at a key that it names, and one at a key that it leaves.
-    named = union_all(p.log.select(F.lit(s).alias("space"), _key(c).alias("key")) for p in parts for s, c in p.mentions())
-    most = named.groupBy("space", "key").count().where("key IS NOT NULL").agg(F.max("count")).first()[0] or 0
-    small = 3 * most <= SMALL
     # Stored rows count from the start.
     held = [f for p in parts for f in [*p.held(parts, tables), *p.references(tables, specs)]]
     stored = durable(union_all(held).select(F.lit(None).cast("long").alias("at"), "*"))
-    with in_rounds(found.sparkSession) as store:
-        found = durable(_settled(parts, found, stored, small, slices, store))
+    if known:
+        found = _in_windows(parts, found, stored, slices)
+    else:
+        # An operation has up to two events at a key that it names, and one at a key that it leaves.
+        named = union_all(p.log.select(F.lit(s).alias("space"), _key(c).alias("key")) for p in parts for s, c in p.mentions())
+        most = named.groupBy("space", "key").count().where("key IS NOT NULL").agg(F.max("count")).first()[0] or 0
+        with in_rounds(found.sparkSession) as store:
+            found = durable(_settled(parts, found, stored, 3 * most <= SMALL, slices, store))
     outcome = F.when(F.col("ok"), "accepted").when(F.col("reason") == "unknown key", "unknown key").otherwise("rejected")
     reason = F.when(F.col("reason") != "unknown key", F.col("reason"))
     outcomes = found.select(

@@ -193,3 +193,43 @@ def test_dense_logs_in_slices(spark, monkeypatch):
     tables = {"home": [(0, "n"), (2, "n")], "kid": [kid(0, 0, seat="x"), kid(1, 2, seat="y")]}
     check(spark, tables, log)
     assert len(rounds) <= 2 * (3 + 1 + 1)
+
+
+def test_logs_over_single_columns_enter_each_operation_once(spark, monkeypatch):
+    """Dense decisions over many windows, with states folded in between: no rounds of guesses."""
+    plain = TableSpec("kid", ("k",), not_null=("a",), checks=KID.checks[:1], unique=(("seat",),), foreign_keys=KID.foreign_keys)
+    monkeypatch.setitem(SPECS, "kid", plain)
+    rng = random.Random(5)
+    keys = range(6)
+    some = lambda values: rng.choice(list(values)) if rng.random() < 0.95 else None
+    log = []
+    for at in range(360):
+        op = rng.choice(["insert", "update", "update", "delete"]) if at % 50 else "replace"
+        if rng.random() < 0.3:
+            log.append((at * 2, "home", op, "name" if op == "update" else None, (some(keys), some("x"))))
+        else:
+            column = rng.choice(["p", "seat", "a"]) if op == "update" else None
+            log.append((at * 2, "kid", op, column, kid(some(keys), some(keys), rng.choice([1, 2, 95]), None, some("vwxyz"))))
+    rounds = []
+    stream = change_log._Table.stream
+    monkeypatch.setattr(change_log._Table, "stream", lambda self, rows: rounds.append(self.name) or stream(self, rows))
+    monkeypatch.setattr(change_log, "SLICE", 60)
+    monkeypatch.setattr(change_log, "WINDOW", 60, raising=False)
+    monkeypatch.setattr(change_log, "RUNS", 2, raising=False)
+    tables = {"home": [(0, "n"), (2, "n"), (4, "n")], "kid": [kid(0, 0, seat="x"), kid(1, 2, seat="y"), kid(5, None, seat=None)]}
+    # The replay knows of no operation but these three; the others are refused by themselves.
+    known = [x for x in log if x[2] != "replace"]
+    frames = {n: spark.createDataFrame(rows, SCHEMAS[n]) for n, rows in tables.items()}
+    logs = {
+        n: spark.createDataFrame([(at, op, c, *v) for at, t, op, c, v in log if t == n], f"at long, op string, op_column string, {SCHEMAS[n]}")
+        for n in SPECS
+    }
+    done = apply_log(frames, logs, SPECS, "at")
+    want, outcomes = replay(tables, known)
+    got = {r["at"]: (r.outcome, r.reason) for r in done.outcomes.collect()}
+    assert {at: got[at] for at in outcomes} == outcomes
+    assert {o for at, (o, _) in got.items() if at not in outcomes} == {"rejected"}
+    assert {"foreign_key p->home", "duplicate k", "duplicate h", "duplicate seat", "referenced"} <= {r for _, r in outcomes.values()}
+    for n, rows in want.items():
+        assert sorted(map(tuple, done.tables[n].collect()), key=str) == rows
+    assert not rounds
